@@ -24,19 +24,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import checkpointed, raw, small_batches, text_column, written
+from ._common import checkpointed, raw, release, small_batches, text_column, written
 
-#: Places that may share an anchor's rank and still be sorted in one task.
-HOT = 2_000
+#: Covers that an anchor's rank may have and still be compared in one task, which then holds some 100 MB of string ranks.
+HOT = 20_000
 #: Bytes of the anchors' strings.
 GRAM = 128
-#: Bytes of surroundings that a worker ranks at once.
-BLOCK_BYTES = 8_000_000
+#: Bytes of surroundings that a worker ranks at once, and ranked strings after which whole groups are compared.
+BLOCK_BYTES, BLOCK_STRINGS = 1_000_000, 1_000_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _KEY = ["t1", "t2"]
 
@@ -64,9 +65,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def prefix_ranks(data: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
     """Ranks of the strings of each length (ascending) at each position, by doubling; equal strings have equal ranks."""
     out, doubled, size = [], {1: _BYTES[data]}, 1
+    steps = {1 << b for n in lengths for b in range(n.bit_length()) if n >> b & 1}
     for length in lengths:
         while size * 2 <= length:
-            r = doubled[size]
+            r = doubled[size] if size in steps else doubled.pop(size)
             doubled[size * 2] = r[:-size] * _power(size) + r[size:] if len(r) > size else r[:0]
             size *= 2
         made, have = None, 0
@@ -241,19 +243,16 @@ def _found(t1: np.ndarray, t2: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
 
 
 def _within_groups(threshold: int, gram: int):
-    """Rows sorted by rank: whole groups are put into a block, and of its strings those with a common rank are found."""
+    """Rows sorted by rank: strings are ranked block by block, and of whole groups those with a common rank are found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
+        held: list[tuple[np.ndarray, ...]] = []
+        count, last = 0, None
 
-        def ranked() -> Iterator[pa.RecordBatch]:
-            batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            rows, first, string = _strings(batch, threshold, gram)
-            if not len(rows):
+        def compared() -> Iterator[pa.RecordBatch]:
+            t1, t2, rank, first, string = (np.concatenate(x) for x in zip(*held, strict=True))
+            if not len(string):
                 return
-            t1, t2 = batch.column(0).to_numpy()[rows], batch.column(1).to_numpy()[rows]
-            rank = batch.column(3).to_numpy()[rows]
             order = np.lexsort((string, rank))
             a, b = order[:-1], order[1:]
             same = (string[a] == string[b]) & (rank[a] == rank[b])
@@ -266,29 +265,37 @@ def _within_groups(threshold: int, gram: int):
             if len(kept):
                 yield _found(t1[kept], t2[kept], first[kept])
 
-        last = None
+        step = max(1, BLOCK_BYTES // (2 * threshold))
         for batch in batches:
             ranks = batch.column(3).to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(ranks)) + 1).tolist(), len(ranks)]
-            for begin, end in zip(edges, edges[1:], strict=False):
-                if begin == end:
-                    continue
-                if size > BLOCK_BYTES and ranks[begin] != last:
-                    yield from ranked()
-                    held, size = [], 0
-                part = batch.slice(begin, end - begin)
-                last = ranks[begin]
-                held.append(part)
-                size += (end - begin) * (2 * threshold - gram)
+            edges = np.flatnonzero(np.diff(ranks)) + 1
+            at = 0
+            while at < len(ranks):
+                if held and count > BLOCK_STRINGS:  # go on to the end of the open group
+                    stop = at if ranks[at] != last else int(edges[edges > at][0]) if (edges > at).any() else len(ranks)
+                    if stop == at:
+                        yield from compared()
+                        held, count = [], 0
+                        continue
+                else:
+                    stop = len(ranks)
+                stop = min(stop, at + step)
+                part = batch.slice(at, stop - at)
+                rows, first, string = _strings(part, threshold, gram)
+                t1, t2, rank = (part.column(k).to_numpy()[rows] for k in (0, 1, 3))
+                held.append((t1, t2, rank, first.astype(np.int32), string))
+                count, last, at = count + len(string), ranks[stop - 1], stop
         if held:
-            yield from ranked()
+            yield from compared()
 
     return run
 
 
 def _hot_rows(threshold: int, gram: int):
+    around = _surroundings(threshold, gram, True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in around(batches):
             rows, first, string = _strings(batch, threshold, gram)
             if len(rows):
                 t1, t2, rank = (batch.column(k).to_numpy()[rows] for k in (0, 1, 3))
@@ -344,19 +351,26 @@ def text_verdicts(docs: DataFrame, threshold: int = 400, *, id_col: str = "doc_i
     texts = keyed(docs.select(F.col(id_col).alias("id"), text_column(text_col).alias("text"))).where(F.octet_length("text") >= threshold)
     copies = checkpointed(texts.groupBy(*_KEY).agg(F.count("*").alias("copies"), F.min("id").alias("one"), F.min(F.octet_length("text")).cast("long").alias("n_bytes")))
     places = written(texts.select(*_KEY, "text").mapInArrow(_anchor_rows(threshold, gram), ANCHORS), "anchors")
-    place = F.struct(*_KEY, "pos")
-    covers = checkpointed(places.groupBy("rank", "cover").agg(F.min(place).alias("a"), F.max(place).alias("b")))
-    found = places.join(covers.where("a <> b").select("rank", "cover"), ["rank", "cover"]).select(*_KEY, "first", "last")
+    # a hash stands for a place: 64 bits more, among the few places that share a rank
+    places = places.withColumn("place", F.xxhash64(*_KEY, "pos"))
+    several = places.groupBy("rank").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("rank")
+    places = written(places.join(several, "rank", "left_semi"), "candidates")
+    release(docs.sparkSession)
+    covers = checkpointed(places.groupBy("rank", "cover").agg(F.min("place").alias("a"), F.max("place").alias("b")))
     ranks = covers.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1")
-    open_places = covers.join(ranks, "rank").select("a.*", "rank", (F.col("n") > HOT).alias("hot"))
-    listed = open_places.groupBy(*_KEY).agg(F.collect_set(F.struct("pos", "rank", "hot")).alias("places"))
+    some = covers.join(ranks, "rank", "left").where("a <> b or n is not null")
+    shared = written(places.join(some, ["rank", "cover"]).select(*_KEY, "pos", "first", "last", "rank", F.expr("a <> b").alias("found"), F.expr("n is not null and place = a").alias("open"), (F.col("n") > HOT).alias("hot")), "shared")
+    release(docs.sparkSession)
+    found = shared.where("found").select(*_KEY, "first", "last")
+    listed = shared.where("open").groupBy(*_KEY).agg(F.collect_set(F.struct("pos", "rank", "hot")).alias("places"))
     touched = listed.join(found.select(*_KEY).distinct(), _KEY, "full").join(copies, _KEY).where("places is not null or copies = 1")
     one = (F.col("id").eqNullSafe(F.col("one"))) & (F.col("m1") == F.col("t1")) & (F.col("m2") == F.col("t2"))
     involved = written(texts.withColumnsRenamed({"t1": "m1", "t2": "m2"}).join(touched, one).select(*_KEY, "text", "places", "copies"), "involved")
+    release(docs.sparkSession)
     opened = involved.where("places is not null").select(*_KEY, "text", "places")
     cool = opened.mapInArrow(_surroundings(threshold, gram, False), AROUND)
     within = cool.repartition("rank").sortWithinPartitions("rank").mapInArrow(_within_groups(threshold, gram), FOUND)
-    strings = opened.where(F.exists("places", lambda x: x["hot"])).mapInArrow(_surroundings(threshold, gram, True), AROUND).mapInArrow(_hot_rows(threshold, gram), HOT_ROWS)
+    strings = opened.where(F.exists("places", lambda x: x["hot"])).mapInArrow(_hot_rows(threshold, gram), HOT_ROWS)
     start = F.struct(*_KEY, "first")
     again = strings.groupBy("rank", "string").agg(F.min(start).alias("a"), F.max(start).alias("b")).where("a <> b").select("rank", "string")
     hot = strings.join(again, ["rank", "string"]).select(*_KEY, "first").mapInArrow(_runs_of, FOUND)
@@ -385,5 +399,5 @@ def whole_characters(data):
 
 
 @F.pandas_udf(T.StringType())
-def _valid(data):
+def _valid(data: pd.Series) -> pd.Series:
     return data.map(lambda x: bytes(x).decode("utf-8", "ignore"))

@@ -525,3 +525,27 @@ def test_arc_versions(version):
     assert len({x[0] for x in got}) == 3 and got[2][8] == sha(bytes(range(256)))
     with pytest.raises(ValueError):
         list(warc.parse_arc(warc.arc_file(records, version)[:-40]))
+
+
+def test_groups_beyond_a_block_of_strings_stay_whole(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_STRINGS", 10)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 1600)
+    rng = np.random.default_rng(4)
+    shared = bytes(rng.integers(0, 256, 700, dtype=np.uint8))
+    data = [bytes(rng.integers(0, 256, 50 * (k % 3), dtype=np.uint8)) + shared[: 500 + k] + bytes(rng.integers(0, 256, 90, dtype=np.uint8)) for k in range(12)]
+    rows = []
+    for k, text in enumerate(data):
+        at, _, _, rank, _ = suffix_dedup.anchors(np.frombuffer(text, np.uint8), 400, 128)
+        for pos, r in zip(at.tolist(), rank.view(np.int64).tolist(), strict=True):
+            begin = max(0, pos - 272)
+            rows.append((k, 0, pos, r, begin, text[begin : pos + 400]))
+    rows.sort(key=lambda x: x[3])
+    schema = suffix_dedup._ARROW_AROUND
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 7], strict=True), schema, strict=True)], schema=schema) for at in range(0, len(rows), 7)]
+    gone = collections.defaultdict(set)
+    for out in suffix_dedup._within_groups(400, 128)(iter(batches)):
+        for x in out.to_pylist():
+            gone[x["t1"]] |= set(range(x["first"], x["last"] + 400))
+    assert [len(gone[k]) for k in range(12)] == [w[1] for w in plain_spans(data)]
