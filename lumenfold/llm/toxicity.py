@@ -23,12 +23,13 @@ GRAMS = (4, 5)
 BUCKETS = 1 << 20
 #: Labelled rows that a model is fitted on at most, those of the smallest hashes.
 SAMPLE_ROWS = 20_000
-#: N-grams that a model keeps: those whose shares differ most beyond chance.
-FEATURES = 256
+#: N-grams that a model keeps: of those with a larger share in toxic texts the ones whose shares differ most beyond chance, down to
+#: half the largest difference (in standard deviations), so that the words of a text with many copies don't pass for signs.
+FEATURES, LEAST_SIGN = 256, 0.5
 #: Added to the counts in the ratios.
 SMOOTH = 1.0
-RIDGE = 1.0
-_BLOCK_CHARS = 2_000_000
+RIDGE = 0.3
+_BLOCK_CHARS = 300_000
 
 
 @dataclass(frozen=True)
@@ -144,7 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, i
     counts = texts.mapInArrow(count, "bucket long, c0 long, c1 long").groupBy("bucket").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     p = (F.col("c0") + F.col("c1")) / (n0 + n1)
     z = F.abs(F.col("c1") / n1 - F.col("c0") / n0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1) + F.lit(1e-9))
-    best = counts.where("c0 + c1 >= 3").orderBy(z.desc(), "bucket").limit(FEATURES).collect()
+    best = counts.where(f"c1 >= 3 and c1 * {n0} > c0 * {n1}").withColumn("z", z).orderBy(F.col("z").desc(), "bucket").limit(FEATURES).collect()
+    best = [x for x in best if x["z"] >= LEAST_SIGN * best[0]["z"]]
     best.sort(key=lambda x: x["bucket"])
     buckets = np.array([x["bucket"] for x in best], dtype=np.int64)
     c0, c1 = (np.array([x[c] for x in best], dtype=float) for c in ("c0", "c1"))
@@ -158,10 +160,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, i
                 _, got = occurring([text], wanted)
                 yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([np.packbits(np.isin(buckets, got)).tobytes()], pa.binary())], names=["y", "has"])
 
+    if not best:
+        return Model(buckets, np.zeros(0), float(np.log(n1 / n0)))
     rows = texts.mapInArrow(present, "y int, has binary").collect()
     has = np.array([np.unpackbits(np.frombuffer(x["has"], dtype=np.uint8), count=len(buckets)) for x in rows], dtype=float).reshape(len(rows), len(buckets))
-    weights, bias = _logistic(has * ratio, np.array([x["y"] for x in rows], dtype=float), RIDGE)
-    return Model(buckets, weights * ratio, bias)
+    y = np.array([x["y"] for x in rows], dtype=float)
+    while True:  # a sign of toxicity can't speak against it: overlapping n-grams whose weights say so are left out
+        weights, bias = _logistic(has * ratio, y, RIDGE)
+        good = weights > 0
+        if good.all():
+            return Model(buckets, weights * ratio, bias)
+        buckets, ratio, has = buckets[good], ratio[good], has[:, good]
 
 
 def score(docs: DataFrame, model: Model, *, threshold: float = 0.7, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
