@@ -353,7 +353,8 @@ def text_verdicts(docs: DataFrame, threshold: int = 400, *, id_col: str = "doc_i
     places = written(texts.select(*_KEY, "text").mapInArrow(_anchor_rows(threshold, gram), ANCHORS), "anchors")
     # a hash stands for a place: 64 bits more, among the few places that share a rank
     places = places.withColumn("place", F.xxhash64(*_KEY, "pos"))
-    several = places.groupBy("rank").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("rank")
+    # written by itself: a join of two plain exchanges is one whose hot ranks Spark can split
+    several = written(places.groupBy("rank").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("rank"), "ranks")
     places = written(places.join(several, "rank", "left_semi"), "candidates")
     release(docs.sparkSession)
     covers = checkpointed(places.groupBy("rank", "cover").agg(F.min("place").alias("a"), F.max("place").alias("b")))
@@ -372,7 +373,7 @@ def text_verdicts(docs: DataFrame, threshold: int = 400, *, id_col: str = "doc_i
     within = cool.repartition("rank").sortWithinPartitions("rank").mapInArrow(_within_groups(threshold, gram), FOUND)
     strings = opened.where(F.exists("places", lambda x: x["hot"])).mapInArrow(_hot_rows(threshold, gram), HOT_ROWS)
     start = F.struct(*_KEY, "first")
-    again = strings.groupBy("rank", "string").agg(F.min(start).alias("a"), F.max(start).alias("b")).where("a <> b").select("rank", "string")
+    again = checkpointed(strings.groupBy("rank", "string").agg(F.min(start).alias("a"), F.max(start).alias("b")).where("a <> b").select("rank", "string"))
     hot = strings.join(again, ["rank", "string"]).select(*_KEY, "first").mapInArrow(_runs_of, FOUND)
     spans = found.unionByName(within).unionByName(hot).groupBy(*_KEY).agg(F.collect_set(F.struct("first", "last")).alias("found"))
     cut = involved.where("copies = 1").dropDuplicates(_KEY).select(*_KEY, "text").join(spans, _KEY).select(*_KEY, "text", "found").mapInArrow(_verdicts(threshold), VERDICT)
