@@ -20,16 +20,31 @@ def outer_compared(left: DataFrame, right: DataFrame, key: str, value: str) -> D
     return a.join(b, key, "full").select(key, "left", "right", side.alias("side"))
 
 
-def contained_in(rows: DataFrame, others: DataFrame, text: str, other: str, *, either_way: bool = False, anti: bool = False) -> DataFrame:
+#: Bytes of terms that are sent to every task; more are met by a word that text and term share.
+BROADCAST_BYTES = 8_000_000
+
+
+def contained_in(rows: DataFrame, others: DataFrame, text: str, other: str, *, either_way: bool = False, anti: bool = False, most: int = BROADCAST_BYTES) -> DataFrame:
     """Rows whose text holds some other text (or is held by one with ``either_way``); with ``anti`` those that hold none.
 
-    ``others`` is small (terms, benchmark items): it is compared with every row, which Spark does with a broadcast if its size allows.
+    Terms of up to ``most`` bytes together are broadcast.  Beyond that a term of three words or more meets texts by its longest inner word, which
+    a text that holds the term has as a word too; shorter terms, and ``either_way``, are then an error.
     """
     o = others.select(F.col(other).alias("__o")).where("__o <> ''").distinct()
-    on = F.contains(F.col(text), F.col("__o"))
-    if either_way:
-        on = on | F.contains(F.col("__o"), F.col(text))
-    return rows.join(o, on, "left_anti" if anti else "left_semi")
+    kind = "left_anti" if anti else "left_semi"
+    if (o.agg(F.sum(F.octet_length("__o"))).head()[0] or 0) <= most:
+        on = F.contains(F.col(text), F.col("__o"))
+        if either_way:
+            on = on | F.contains(F.col("__o"), F.col(text))
+        return rows.join(F.broadcast(o), on, kind)
+    inner = F.filter(F.split("__o", r"\s+"), lambda w: w != "")
+    inner = F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))
+    keyed = o.withColumn("__w", F.get(F.array_sort(inner, lambda a, b: F.length(b) - F.length(a)), F.lit(0)))
+    if either_way or not keyed.where("__w is null").isEmpty():
+        raise ValueError("terms of one or two words are too many to be compared with every text")
+    words = rows.select(F.col(text).alias("__t")).distinct().withColumn("__w", F.explode(F.array_distinct(F.split("__t", r"\s+"))))
+    held = words.join(keyed, "__w").where(F.contains("__t", F.col("__o"))).select("__t").distinct()
+    return rows.join(held, F.col(text) == F.col("__t"), kind)
 
 
 def by_position(rows: DataFrame, position: str, value: str, *keys: str) -> DataFrame:
