@@ -549,3 +549,20 @@ def test_groups_beyond_a_block_of_strings_stay_whole(monkeypatch):
         for x in out.to_pylist():
             gone[x["t1"]] |= set(range(x["first"], x["last"] + 400))
     assert [len(gone[k]) for k in range(12)] == [w[1] for w in plain_spans(data)]
+
+
+def test_queries_equal_their_sql(spark):
+    import os
+
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.execute(f"create view {f[:-8]} as select * from '{SF}/{f}'")
+    found = queries.queries()
+    for name, sql in queries.oracle_sql().items():
+        told, df = con.execute(sql), found[name](spark, SF)
+        at = [x[0] for x in told.description]
+        names = sorted(at)
+        assert names == sorted(df.columns), name
+        want = sorted(str(tuple(r[at.index(n)] for n in names)) for r in told.fetchall())
+        assert sorted(str(tuple(r[n] for n in names)) for r in df.collect()) == want, name
