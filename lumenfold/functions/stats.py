@@ -32,12 +32,13 @@ def fixed(x: str | Column, digits: int) -> Column:
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``keys, upper_median``: the element at n // 2 of the sorted values, by ranks (no group is gathered)."""
-    from pyspark.sql import Window
+    """``keys, upper_median``: the element at n // 2 of the sorted values.
 
-    w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).select(*keys, value, F.row_number().over(w.orderBy(value)).alias("__r"), F.count("*").over(w).alias("__n"))
-    return ranked.where(F.col("__r") == F.floor(F.col("__n") / 2) + 1).select(*keys, F.col(value).alias("upper_median"))
+    That is the discrete median from above; the aggregate keeps counts of values and combines them before the shuffle, so no group's rows are gathered.
+    """
+    name = value.replace("`", "``")
+    grouped = df.where(F.col(value).isNotNull()).groupBy(*keys)
+    return grouped.agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{name}` DESC)").cast(df.schema[value].dataType).alias("upper_median"))
 
 
 def sem(value: str | Column, *, ddof: int = 0) -> Column:

@@ -50,11 +50,11 @@ def rouge_n(pairs: DataFrame, n: int, *, keys: list[str], target: str = "target"
     Both sides are counted in one aggregation, so a pair's n-grams meet with one shuffle.  ``keys`` must identify a row.
     """
     sides = F.array(F.struct(F.lit(0).alias("side"), ngrams(tokens(target), n).alias("grams")), F.struct(F.lit(1).alias("side"), ngrams(tokens(prediction), n).alias("grams")))
-    grams = pairs.select(*keys, F.explode(sides).alias("s")).select(*keys, "s.side", F.explode("s.grams").alias("gram"))
-    counts = grams.groupBy(*keys, "gram").agg(F.count_if(F.col("side") == 0).alias("t"), F.count_if(F.col("side") == 1).alias("p"))
-    sums = counts.groupBy(*keys).agg(F.sum(F.least("t", "p")).alias("overlap"), F.sum("t").alias("n_target"), F.sum("p").alias("n_prediction"))
-    zero = F.lit(0).cast("long")
-    out = pairs.select(*keys).join(sums, keys, "left").select(*keys, *[F.coalesce(c, zero).alias(c) for c in ("overlap", "n_target", "n_prediction")])
+    # outer: a pair without n-grams keeps a row
+    grams = pairs.select(*keys, F.explode(sides).alias("s")).select(*keys, "s.side", F.explode_outer("s.grams").alias("gram"))
+    of = lambda side: F.count_if((F.col("side") == side) & F.col("gram").isNotNull())
+    counts = grams.groupBy(*keys, "gram").agg(of(0).alias("t"), of(1).alias("p"))
+    out = counts.groupBy(*keys).agg(F.sum(F.least("t", "p")).alias("overlap"), F.sum("t").alias("n_target"), F.sum("p").alias("n_prediction"))
     return out.withColumn("score", score(F.col("overlap"), F.col("n_target"), F.col("n_prediction")))
 
 
