@@ -7,6 +7,9 @@ rules.  Decoding goes back through the alphabet to bytes, so characters split ov
 from __future__ import annotations
 
 import base64
+import os
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,6 +23,10 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 from ._common import raw, small_batches, strings
 
 
+# a task has a core: the library's own threads would only contend for it
+os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
 def byte_alphabet() -> list[str]:
     """The character standing for each byte in byte-level vocabularies (the published rule: printable bytes stand for themselves, the others follow from 256 on)."""
     plain = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
@@ -54,11 +61,19 @@ def tokenizer_from_ranks(ranks: dict[bytes, int], pattern: str) -> Tokenizer:
     return out
 
 
-def whole_ids(tokenizer: Tokenizer, texts: list[str], at_once: int = 64) -> list[bytes]:
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+def whole_ids(tokenizer: Tokenizer, texts: list[str], at_once: int = 16) -> list[bytes]:
     """Ids of each whole text as little-endian unsigned 32-bit bytes; few texts at once, so that encodings don't pile up."""
     out = []
     for at in range(0, len(texts), at_once):
-        out += [np.asarray(x.ids, dtype="<u4").tobytes() for x in tokenizer.encode_batch_fast(texts[at : at + at_once], add_special_tokens=False)]
+        out += [packed(x.ids) for x in tokenizer.encode_batch_fast(texts[at : at + at_once], add_special_tokens=False)]
     return out
 
 
@@ -87,6 +102,25 @@ def byte_table(path: str) -> list[bytes]:
     return table
 
 
+@lru_cache(maxsize=4)
+def _flat_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens' bytes in a row, and where each begins and how long it is."""
+    table = byte_table(path)
+    lengths = np.fromiter(map(len, table), dtype=np.int64, count=len(table))
+    return np.frombuffer(b"".join(table), dtype=np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
+def decoded(ids: bytes, path: str) -> bytes:
+    """The bytes of all tokens, put together."""
+    if not ids:
+        return b""
+    data, begins, lengths = _flat_table(path)
+    at = np.frombuffer(ids, dtype="<u4")
+    size = lengths[at]
+    ends = np.cumsum(size)
+    return data[np.arange(ends[-1]) + np.repeat(begins[at] - (ends - size), size)].tobytes()
+
+
 def character_spans(ids: bytes, text: str, table: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """First character and end (exclusive) of each token; tokens inside one character share it."""
     lengths = np.fromiter((len(table[i]) for i in np.frombuffer(ids, dtype="<u4").tolist()), dtype=np.int64)
@@ -129,9 +163,8 @@ def decode(encoded: DataFrame, ranks_path: str, *, ids_col: str = "ids", out_col
     place = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = byte_table(ranks_path).__getitem__
         for batch in batches:
-            made = [b"".join(map(look, np.frombuffer(x, dtype="<u4").tolist())) for x in raw(batch.column(place))]
+            made = [decoded(x, ranks_path) for x in raw(batch.column(place))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[f.name for f in schema.fields])
 
     return encoded.mapInArrow(run, schema)
