@@ -122,7 +122,8 @@ def token_cost(model: str | Column, tokens_in: str | Column, tokens_out: str | C
 
 
 def takes_temperature(model: str | Column) -> Column:
-    return ~column(model).rlike("^(o1|o3|o4|gpt-5)")
+    m = column(model)
+    return ~m.rlike("^(o1|o3|o4|gpt-5)") & ~F.contains(m, F.lit("search-preview"))
 
 
 def known_provider(model: str | Column) -> Column:

@@ -78,7 +78,7 @@ def parse_claims(response: str | Column) -> Column:
 
 def tagged(x: str | Column, tag: str) -> Column:
     """What stands in the first pair of a tag, in any case and over lines; empty if there is none."""
-    return F.regexp_replace(F.regexp_extract(column(x), f"(?is)<{tag}>(.*?)</{tag}>", 1), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_extract(column(x), f"(?is)\\Q<{tag}>\\E(.*?)\\Q</{tag}>\\E", 1), r"^\s+|\s+$", "")
 
 
 def answer_after(x: str | Column, label: str = "ANSWER:") -> Column:

@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import column, tagged
 
-#: The tags of a solution.
-SOLUTION_TAGS = ("REASONING", "CULPRIT", "ACCOMPLICE", "EVIDENCE", "SUSPECTS", "CONFIDENCE")
+#: The fields of a solution and their tags.
+SOLUTION_TAGS = {
+    "thought_process": "THOUGHT PROCESS",
+    "suspects": "SUSPECTS",
+    "main_culprits": "MAIN CULPRIT(S)",
+    "accomplices": "ACCOMPLICE(S)",
+    "event_reconstruction": "EVENT RECONSTRUCTION",
+    "why_others_innocent": "WHY THE OTHER SUSPECTS ARE INNOCENT",
+}
 #: The fields of each section of an assessment.
 FIELDS = {
     "culprit": {
@@ -25,9 +32,9 @@ FIELDS = {
 MAP = "map<string,string>"
 
 
-def solution(text: str | Column, tags: tuple[str, ...] = SOLUTION_TAGS) -> Column:
-    """A struct of what stands in each tag (lower-case names), empty if it isn't there."""
-    return F.struct(*[tagged(text, t).alias(t.lower()) for t in tags])
+def solution(text: str | Column, tags: dict[str, str] | None = None) -> Column:
+    """A struct of what stands in each tag, by field name; empty if it isn't there."""
+    return F.struct(*[tagged(text, tag).alias(name) for name, tag in (tags or SOLUTION_TAGS).items()])
 
 
 def json_section(text: str | Column, *headers: str, field: str | None = None) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.text import capitalised_names, column, indel_ratio, normalize_entity
 
 #: Labels of entities that count.
-LABELS = ("PERSON", "ORG", "GPE", "LOC", "FAC", "PRODUCT", "EVENT")
+LABELS = ("PERSON", "ORG", "GPE", "PRODUCT", "EVENT", "FAC", "WORK_OF_ART")
 #: Items with more entities than this aren't grouped by a model.
 MOST_ENTITIES = 1000
 SIMILAR = 0.8

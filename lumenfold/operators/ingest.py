@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.text import cleaned_option, corrected, mapped, split_at_line, word_count
 from .entities import sequence_ratio
 
+#: Words and phrases of questions about who did it, for :func:`lumenfold.functions.text.keyword_question`; what else to allow or block
+#: is a matter of the corpus.
+CULPRIT_KEYWORDS = [
+    "murderer", "killer", "culprit", "perpetrator", "criminal",
+    "who killed", "who murdered", "who committed", "who did it",
+    "who is responsible", "who was the", "guilty person", "suspect",
+]
 #: A question counts from this share of a novel's numbered lines on.
 LATE = 0.85
 

@@ -531,7 +531,7 @@ def faithfulness_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH t AS (SELECT conv_id, turn, 'x <CULPRIT> ' || text || '</culprit> y <Evidence>' || role || chr(10) || '</EVIDENCE>' AS t FROM conversations) SELECT conv_id, turn, md5(trim(regexp_extract(t, '(?is)<CULPRIT>(.*?)</CULPRIT>', 1), ' ' || chr(10) || chr(9) || chr(13))) AS culprit, trim(regexp_extract(t, '(?is)<EVIDENCE>(.*?)</EVIDENCE>', 1), ' ' || chr(10)) AS evidence, '' AS accomplice FROM t")
 def tagged_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.concat(F.lit("x <CULPRIT> "), F.col("text"), F.lit("</culprit> y <Evidence>"), F.col("role"), F.lit("\n</EVIDENCE>"))
-    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", assessment.solution(t, ("CULPRIT", "EVIDENCE", "ACCOMPLICE")).alias("s"))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", assessment.solution(t, {"culprit": "CULPRIT", "evidence": "EVIDENCE", "accomplice": "ACCOMPLICE"}).alias("s"))
     return rows.select("conv_id", "turn", F.md5(F.col("s.culprit").cast("binary")).alias("culprit"), "s.evidence", "s.accomplice")
 
 

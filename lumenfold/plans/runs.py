@@ -134,13 +134,17 @@ def solve_run(segments: DataFrame, out: str, source: str, *, spec: str, solver:
     return _stored(segments.sparkSession, out, run_id(source, "solved", {"spec": spec, "template": template}), ["item_id"], segments, make, overwrite)
 
 
+#: The field of a solution that each category of an assessment is about.
+SOLVED = {"culprit": "main_culprits", "accomplice": "accomplices"}
+
+
 def score_run(solved: DataFrame, truth: DataFrame, out: str, source: str, *, judge: Provider, template: str = "{culprit} / {truth}", categories: tuple[str, ...] = ("culprit",), overwrite: bool = False) -> tuple[str, DataFrame]:
     """A judge's assessment of each category, parsed and checked; rescoring is this run with another judge or ``overwrite``."""
 
     def make(some: DataFrame) -> DataFrame:
         out_df = assessment.ground_truth(some.select("item_id", "solution"), truth, "item_id")
         for c in categories:
-            prompt = F.replace(F.replace(F.lit(template), F.lit("{culprit}"), F.col(f"solution.{c}")), F.lit("{truth}"), F.col(f"{c}s") if f"{c}s" in out_df.columns else F.lit(""))
+            prompt = F.replace(F.replace(F.lit(template), F.lit("{culprit}"), F.col(f"solution.{SOLVED[c]}")), F.lit("{truth}"), F.col(f"{c}s") if f"{c}s" in out_df.columns else F.lit(""))
             out_df = summarize.called(out_df.withColumn("__p", prompt), "__p", judge, f"{c}_answer").drop("__p")
             out_df = out_df.withColumn(c, assessment.parsed_assessment(f"{c}_answer", c)).withColumn(f"{c}_errors", assessment.field_errors(c, c))
         return out_df

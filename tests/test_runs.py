@@ -32,7 +32,7 @@ def test_runs_go_on_where_they_were(spark, tmp_path):
     _, faithful = runs.faithfulness_run(extracted, items, out, "bmds", last_only=True, claim_stop=2)
     assert {(x.item_id, x.claims, x.strict) for x in faithful.collect()} == {("a", 2, 1.0), ("b", 2, 1.0)}
     segments = chunked.select("item_id", F.col("chunks").alias("segments"))
-    solver = lambda prompts: [f"<CULPRIT>Bob</CULPRIT> {len(p)}" for p in prompts]
+    solver = lambda prompts: [f"<Main Culprit(s)>Bob</MAIN CULPRIT(S)> {len(p)}" for p in prompts]
     _, solved = runs.solve_run(segments, out, "bmds", spec="all-but-last", solver=solver)
     judge = lambda prompts: ['CULPRIT ASSESSMENT: {"culprit_correct": "' + ("Yes" if p == "Bob / Bob" else "No") + '"}' for p in prompts]
     truth = spark.createDataFrame([("a", "Bob")], "story_id string, culprits string")
