@@ -56,14 +56,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark).rstrip('/')}/lumenfold-scratch/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    back = spark.read.schema(schema).parquet(path)
+    back._lumenfold_path = path
+    return back
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of :func:`written` that all its readers have been written out from; they are tables of their own, so none is lost."""
+    _delete(table.sparkSession, table._lumenfold_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the tables that :func:`written` has left in the shared folder."""
-    jvm, path = spark._jvm, f"{scratch_dir(spark).rstrip('/')}/lumenfold-scratch"
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _delete(spark, f"{scratch_dir(spark).rstrip('/')}/lumenfold-scratch")
 
 
 def release(spark: SparkSession) -> None:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import checkpointed, raw, release, small_batches, text_column, written
+from ._common import checkpointed, discard, raw, release, small_batches, text_column, written
 
 #: Covers that an anchor's rank may have and still be compared in one task, which then holds some 100 MB of string ranks.
 HOT = 20_000
@@ -350,17 +350,20 @@ def text_verdicts(docs: DataFrame, threshold: int = 400, *, id_col: str = "doc_i
     gram = min(GRAM, threshold)
     texts = keyed(docs.select(F.col(id_col).alias("id"), text_column(text_col).alias("text"))).where(F.octet_length("text") >= threshold)
     copies = checkpointed(texts.groupBy(*_KEY).agg(F.count("*").alias("copies"), F.min("id").alias("one"), F.min(F.octet_length("text")).cast("long").alias("n_bytes")))
-    places = written(texts.select(*_KEY, "text").mapInArrow(_anchor_rows(threshold, gram), ANCHORS), "anchors")
+    anchored = written(texts.select(*_KEY, "text").mapInArrow(_anchor_rows(threshold, gram), ANCHORS), "anchors")
     # a hash stands for a place: 64 bits more, among the few places that share a rank
-    places = places.withColumn("place", F.xxhash64(*_KEY, "pos"))
+    places = anchored.withColumn("place", F.xxhash64(*_KEY, "pos"))
     # written by itself: a join of two plain exchanges is one whose hot ranks Spark can split
     several = written(places.groupBy("rank").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("rank"), "ranks")
     places = written(places.join(several, "rank", "left_semi"), "candidates")
+    discard(anchored)
+    discard(several)
     release(docs.sparkSession)
     covers = checkpointed(places.groupBy("rank", "cover").agg(F.min("place").alias("a"), F.max("place").alias("b")))
     ranks = covers.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1")
     some = covers.join(ranks, "rank", "left").where("a <> b or n is not null")
     shared = written(places.join(some, ["rank", "cover"]).select(*_KEY, "pos", "first", "last", "rank", F.expr("a <> b").alias("found"), F.expr("n is not null and place = a").alias("open"), (F.col("n") > HOT).alias("hot")), "shared")
+    discard(places)
     release(docs.sparkSession)
     found = shared.where("found").select(*_KEY, "first", "last")
     listed = shared.where("open").groupBy(*_KEY).agg(F.collect_set(F.struct("pos", "rank", "hot")).alias("places"))
@@ -387,7 +390,8 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, *, id_col: str = "doc_
     All rows stay, texts may become empty, null texts stay null; of a character that a cut splits nothing is kept.
     """
     verdicts = text_verdicts(docs, threshold, id_col=id_col, text_col=text_col)
-    v = checkpointed(verdicts.select(F.col("t1").alias("__v1"), F.col("t2").alias("__v2"), F.col("n_removed").alias("__n"), F.col("kept").alias("__kept")))
+    v = written(verdicts.select(F.col("t1").alias("__v1"), F.col("t2").alias("__v2"), F.col("n_removed").alias("__n"), F.col("kept").alias("__kept")), "verdicts")
+    release(docs.sparkSession)
     text = text_column(text_col)
     joined = docs.withColumn("__t1", F.xxhash64(text, F.lit(1))).withColumn("__t2", F.xxhash64(F.lit(2), text)).join(v, (F.col("__t1") == F.col("__v1")) & (F.col("__t2") == F.col("__v2")), "left")
     left = F.when(F.col("__v1").isNull(), F.col(text_col)).otherwise(whole_characters(F.coalesce("__kept", F.lit(b""))))
