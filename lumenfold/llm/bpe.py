@@ -159,6 +159,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
 def decode(encoded: DataFrame, ranks_path: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds the bytes that the ids stand for.  They are bytes, so a character split over tokens is whole again; null ids give none."""
     small_batches(encoded.sparkSession)
+    encoded = encoded.drop(out_col)
     schema = T.StructType([*encoded.schema.fields, T.StructField(out_col, T.BinaryType())])
     place = encoded.columns.index(ids_col)
 

@@ -124,11 +124,11 @@ def pack(pieces: DataFrame, *, capacity: int = 1024, length_col: str = "length",
 
     ``salt`` names the columns whose hash deals rows into buckets (all but the length if not given); rows that agree in all of
     them share a bucket, so it must not be a column with hot values.  Empty input gives an empty result, ties go to any order, other
-    columns pass through.  A null or out-of-range length fails the job: the caller has to cut first.
+    columns pass through (older ones of these two names are replaced).  A null or out-of-range length fails the job: the caller has to cut first.
     """
     spark = pieces.sparkSession
     small_batches(spark, 10_000)
-    pieces = checkpointed(pieces)  # counted and then dealt out: made once
+    pieces = checkpointed(pieces.drop("sequence_id", "offset", "__bucket"))  # counted and then dealt out: made once
     total = pieces.count()
     buckets = max(1, round(total / BUCKET_PIECES))
     salt = salt if salt is not None else [c for c in pieces.columns if c != length_col]

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -119,8 +120,109 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = 2, id_col:
     return prints.join(of, "fp", "left").select(id_col, "fp", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, *, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose near-duplicate group has a smaller id; of rows repeating that id with a copy each stays."""
-    marked = near_duplicates(docs, words=words, radius=radius, id_col=id_col, text_col=text_col)
+# ---- wide fingerprints, for similarities as low as 0.8
+
+#: Words of a shingle, bits that may differ and bits of a segment of wide fingerprints (128 bits, six segments).
+WIDE_WORDS, WIDE_RADIUS, WIDE_SEGMENT = 2, 14, 21
+#: Fingerprints under one value of a wide segment that are joined one by one, and rows of a block beyond that.
+WIDE_FILED, WIDE_BLOCK = 64, 4_096
+_WIDE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+def wide_print(text: str, words: int = WIDE_WORDS) -> tuple[int, int]:
+    """128 bits set in over half of the shingles' XXH3 hashes, as two signed longs; of a text without words zero."""
+    found = _WORD.findall(text.encode().translate(_LOWER))
+    if not found:
+        return 0, 0
+    width = min(words, len(found))
+    digest = xxhash.xxh3_128_digest
+    data = b"".join([digest(b" ".join(found[k : k + width])) for k in range(len(found) - width + 1)])
+    bits = np.unpackbits(np.frombuffer(data, dtype=np.uint8).reshape(-1, 16), axis=1)
+    made = np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(bits)).view("<i8")
+    return int(made[0]), int(made[1])
+
+
+def wide_fingerprints(docs: DataFrame, *, words: int = WIDE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, f1, f2`` of each row."""
+    small_batches(docs.sparkSession)
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.array([wide_print(x, words) for x in strings(batch.column(1))], dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made[:, 0]), pa.array(made[:, 1])], names=schema.names)
+
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def _compared(radius: int):
+    """Links that connect what lies within ``radius`` of an entry of the block's table: a forest, however many pairs there are."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        table, asked = block[block["filed"]], block[~block["filed"]]
+        names, t1, t2 = table["node"].to_numpy(), table["f1"].to_numpy().view(np.uint64), table["f2"].to_numpy().view(np.uint64)
+        label, out = np.arange(len(table)), []
+        for node, f1, f2 in zip(asked["node"].to_numpy(), asked["f1"].to_numpy().view(np.uint64), asked["f2"].to_numpy().view(np.uint64), strict=True):
+            near = np.bitwise_count(t1 ^ f1).astype(np.int16) + np.bitwise_count(t2 ^ f2) <= radius
+            groups = np.unique(label[near])
+            if not len(groups):
+                continue
+            out.append((node, names[groups[0]]))
+            for other in groups[1:]:
+                label[label == other] = groups[0]
+                out.append((names[other], names[groups[0]]))
+        made = pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        return made[made["a"] != made["b"]]
+
+    return run
+
+
+def wide_links(prints: DataFrame, *, radius: int = WIDE_RADIUS) -> DataFrame:
+    """``a, b``: nodes of wide fingerprints (``node, f1, f2``, each pair of longs once) that are linked.
+
+    Two fingerprints are compared if some segment differs in one bit at most: all up to 11 differing bits, and most beyond.  Of a segment's two
+    values that differ in a bit the one without it looks the other up, so each is met once.  Values with more than ``WIDE_FILED`` fingerprints
+    are compared block by block, table against rows, and give a forest instead of all pairs; so none is left out.
+    """
+    low = F.lit((1 << WIDE_SEGMENT) - 1).cast("long")
+    values = [F.shiftrightunsigned(f, WIDE_SEGMENT * k).bitwiseAND(low) for f in ("f1", "f2") for k in range(3)]
+    flips = F.array(*[F.lit(1 << k).cast("long") for k in range(WIDE_SEGMENT)])
+    filed = prints.select("node", "f1", "f2", F.posexplode(F.array(*values)).alias("seg", "value"))
+    around = F.array_insert(F.transform(F.filter(flips, lambda m: F.col("value").bitwiseAND(m) == 0), lambda m: F.col("value").bitwiseOR(m)), 1, F.col("value"))
+    looked = filed.select("node", "f1", "f2", "seg", F.explode(around).alias("value"))
+    key = ["seg", "value"]
+    counts = filed.groupBy(*key).count()
+    crowded = checkpointed(counts.where(F.col("count") > WIDE_FILED))
+    other = filed.select(*key, F.col("node").alias("b"), F.col("f1").alias("g1"), F.col("f2").alias("g2")).join(crowded, key, "left_anti")
+    apart = F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col("g2")))
+    near = looked.join(other, key).where((F.col("node") != F.col("b")) & (apart <= radius)).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    here = looked.join(crowded, key).withColumn("rows", F.ceil(F.col("count") / WIDE_BLOCK).cast("int"))
+    table = filed.join(crowded, key).withColumn("rows", F.ceil(F.col("count") / WIDE_BLOCK).cast("int"))
+    # lookers can be more than what is filed: they are dealt by their own number
+    lookers = here.groupBy(*key).agg(F.ceil(F.count("*") / WIDE_BLOCK).cast("int").alias("cols"))
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = [*key, "i", "j", "filed", "node", "f1", "f2"]
+    entries = table.join(lookers, key).withColumn("i", deal("rows")).withColumn("j", every("cols")).withColumn("filed", F.lit(True)).select(*columns)
+    asked = here.join(lookers, key).withColumn("j", deal("cols")).withColumn("i", every("rows")).withColumn("filed", F.lit(False)).select(*columns)
+    forest = entries.unionByName(asked).groupBy(*key, "i", "j").applyInPandas(_compared(radius), _WIDE)
+    return near.unionByName(forest)
+
+
+def near_copies(docs: DataFrame, *, radius: int = WIDE_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, component_id`` by wide fingerprints: the smallest id reachable over links.  Null ids have none and link nothing."""
+    prints = checkpointed(wide_fingerprints(docs, id_col=id_col, text_col=text_col).withColumn(id_col, F.col(id_col).cast("long")))
+    nodes = checkpointed(prints.where(F.col(id_col).isNotNull()).groupBy("f1", "f2").agg(F.min(id_col).alias("node")))
+    labels = components(wide_links(nodes, radius=radius))
+    of = nodes.join(labels, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(of, ["f1", "f2"], "left").select(id_col, F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, *, radius: int = WIDE_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose group of near copies has a smaller id; of rows repeating that id with a copy each stays.
+
+    Wide fingerprints of two-word shingles at most 14 of 128 bits apart stand for a similarity of 0.8 or more of five-word shingles.
+    """
+    marked = near_copies(docs, radius=radius, id_col=id_col, text_col=text_col)
     gone = checkpointed(marked.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct())
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")

@@ -81,7 +81,7 @@ def test_rank_file_gives_the_tokenizers_files_ids_of_documents(spark):
 
 def test_bpe_odd_rows(spark):
     path, docs = P.path("byte_bpe_multi_50k.tiktoken"), odd_docs(spark)
-    got = bpe.decode(bpe.encode(docs, path, P.PATTERN, offsets=True), path).collect()
+    got = bpe.decode(bpe.encode(docs, path, P.PATTERN, offsets=True).withColumn("decoded", F.lit(1)), path).collect()
     assert sorted(bytes(x.decoded) for x in got) == sorted((x.text or "").encode() for x in docs.collect())
     assert all(len(x.starts) == len(x.ends) == len(x.ids) // 4 for x in got)
     assert bpe.encode(docs.limit(0), path, P.PATTERN).count() == 0
@@ -133,7 +133,7 @@ def test_two_pieces_replace_the_smallest():
 
 def test_packing_odd_rows(spark):
     docs = odd_docs(spark)
-    pieces = packing.token_pieces(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).withColumn("crc", F.crc32("ids")).drop("ids")
+    pieces = packing.token_pieces(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).withColumn("crc", F.crc32("ids")).drop("ids").withColumn("offset", F.lit("old"))
     got = packing.pack(pieces).toPandas()
     held(got)
     assert len(got[got.piece == 0]) == docs.count() and packing.pack(pieces.limit(0)).count() == 0
@@ -245,6 +245,63 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch, filed):
     assert [found.get(10 * k, 10 * k) for k in range(len(prints))] == [10 * g for g in groups(prints)]
 
 
+def wide_groups(prints: list[tuple[int, int]], radius=simhash.WIDE_RADIUS) -> list[int]:
+    """Groups by all pairs, as the smallest position; of these pairs only such that the segments bring together."""
+    whole = [((a & (1 << 64) - 1) << 64) | (b & (1 << 64) - 1) for a, b in prints]
+    boss = list(range(len(whole)))
+
+    def find(i):
+        while boss[i] != i:
+            i = boss[i]
+        return i
+
+    def met(x):
+        return any(((x >> base + 21 * k) & (1 << 21) - 1).bit_count() <= 1 for base in (0, 64) for k in range(3))
+
+    for i in range(len(whole)):
+        for j in range(i):
+            x = whole[i] ^ whole[j]
+            if x.bit_count() <= radius and met(x):
+                a, b = sorted((find(i), find(j)))
+                boss[b] = a
+    return [find(i) for i in range(len(whole))]
+
+
+@pytest.mark.parametrize(("filed", "block"), [(64, 4096), (2, 4096), (2, 7)])
+def test_wide_links_are_those_of_all_pairs(spark, monkeypatch, filed, block):
+    monkeypatch.setattr(simhash, "WIDE_FILED", filed)
+    monkeypatch.setattr(simhash, "WIDE_BLOCK", block)
+    rng = np.random.default_rng(6)
+    seeds = [(int(a), int(b)) for a, b in rng.integers(-(1 << 62), 1 << 62, (5, 2))]
+
+    def noisy(seed):
+        flip = [0, 0]
+        for b in rng.integers(0, 128, rng.integers(0, 12)):
+            flip[int(b) // 64] ^= 1 << (int(b) % 64)
+        return tuple(simhash._signed((x & (1 << 64) - 1) ^ f) for x, f in zip(seed, flip, strict=True))
+
+    prints = sorted({noisy(s) for s in seeds for _ in range(25)})
+    links = simhash.wide_links(spark.createDataFrame([(10 * k, *p) for k, p in enumerate(prints)], "node long, f1 long, f2 long"))
+    found = {x.node: x.component for x in simhash.components(links).collect()}
+    assert [found.get(10 * k, 10 * k) for k in range(len(prints))] == [10 * g for g in wide_groups(prints)]
+
+
+def test_near_copies_are_found(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    base = [[word() for _ in range(300)] for _ in range(12)]
+    rows = []
+    for k, w in enumerate(base):
+        rows.append((3 * k, " ".join(w)))
+        rows.append((3 * k + 1, " ".join(w).upper()))
+        changed = list(w)
+        for at in (40, 200, 260):
+            changed[at] = word()
+        rows.append((3 * k + 2, " ".join(changed)))
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 3 for d, _ in rows}
+
+
 def test_simhash_odd_rows(spark):
     docs = odd_docs(spark)
     got = simhash.near_duplicates(docs).collect()
