@@ -12,6 +12,7 @@ payload that isn't valid UTF-8 is refused.  They are read as binary files and cu
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -166,14 +167,16 @@ def rendered(refers_to: Column, refers_to_uri: Column, marks: dict[str, Column])
     return F.concat(*parts)
 
 
-def write_warc(records: DataFrame, path: str, record_col: str = "record") -> None:
-    """Writes records (rendered text) as WARC files of at most :data:`FILE_RECORDS` each."""
+def write_warc(records: DataFrame, path: str, record_col: str = "record", compression: str = "gzip") -> None:
+    """Writes records (rendered text) as WARC files of at most :data:`FILE_RECORDS` each, compressed as a whole (or ``none``)."""
     whole = records.select(F.when(F.col(record_col).isNull(), F.raise_error(F.lit("a record is null"))).otherwise(F.col(record_col)).alias("value"))
-    whole.write.option("lineSep", _GAP.decode()).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    whole.write.option("lineSep", _GAP.decode()).option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record, cut by declared lengths."""
+    """Header fields and block of each record of a file, gzipped or not, cut by declared lengths."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at = 0
     while at < len(data):
         end = data.index(_GAP, at)
