@@ -74,6 +74,12 @@ def top(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFr
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def bands(rows: DataFrame, order: list[Column], size: int, *keys: str) -> DataFrame:
+    """Adds ``band``: 0 for the first ``size`` rows of each key in the given order, 1 for the next, and so on."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("band", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+
+
 def sampled(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """The n rows of the smallest seeded hashes: the same each time."""
     return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)

@@ -23,6 +23,14 @@ def recognised(text: str | Column) -> Column:
     return capitalised_names(F.regexp_replace(column(text), "\n", " "))
 
 
+def recognised_in_windows(text: str | Column, width: int = 1_000_000) -> Column:
+    """As :func:`recognised`, window by window, for texts that a recogniser wouldn't take whole; a name cut by a border may come in parts."""
+    t = column(text)
+    n = F.greatest(F.ceil(F.length(t) / width), F.lit(1)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda k: recognised(F.substring(t, k * width + 1, F.lit(width))))
+    return F.array_distinct(F.flatten(parts))
+
+
 def of_labels(entities: Column, labels: tuple[str, ...] = LABELS) -> Column:
     """Names (longer than a letter, each once in order) of structs of ``text`` and ``label``."""
     kept = F.filter(entities, lambda e: e["label"].isin(*labels) & (F.length(F.trim(e["text"])) > 1))

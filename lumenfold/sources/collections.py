@@ -103,6 +103,25 @@ def segments(docs: str = "documents") -> Column:
     return F.coalesce(first["chunks"], first["summaries"])
 
 
+def chunks_of(index: int, docs: str = "documents") -> Column:
+    """The chunks of one document (from 0); a number beyond the item's documents is an error."""
+    d = F.get(docs, F.lit(index))
+    return F.when(d.isNull(), F.raise_error(F.lit(f"no document {index}")).cast("array<string>")).otherwise(d["chunks"])
+
+
+def without_keys(values: str | Column, *keys: str) -> Column:
+    """A map without some keys."""
+    return F.map_filter(values, lambda k, _: ~k.isin(*keys))
+
+
+def complete(item_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items whose first document has content and summaries, and the others with what they lack."""
+    first = F.get("documents", F.lit(0))
+    lacks = F.when(F.coalesce(F.size("documents"), F.lit(0)) < 1, "documents").when(F.coalesce(F.size(first["summaries"]), F.lit(0)) < 1, "summaries").when(F.coalesce(first["content"], F.lit("")) == "", "content")
+    marked = item_rows.withColumn("lacks", lacks)
+    return marked.where("lacks is null").drop("lacks"), marked.where("lacks is not null")
+
+
 def input_type(item_rows: DataFrame) -> str:
     """``chunks`` or ``summaries``, as the first item that has either says."""
     first = F.get("documents", F.lit(0))

@@ -70,3 +70,21 @@ def test_settings(monkeypatch):
     monkeypatch.setenv("LUMENFOLD_DEFAULT_CHUNK_SIZE", "x")
     with pytest.raises(config.ConfigError):
         config.Config.from_env()
+
+
+def test_small_helpers(spark):
+    from lumenfold.operators import analysis, entities
+    from lumenfold.sources import collections
+
+    doc = "struct<content:string,doc_id:string,chunks:array<string>,summaries:array<string>,metadata:string>"
+    items = spark.createDataFrame([("a", [("t", "1", ["c"], ["s"], None)]), ("b", []), ("c", [("", "1", None, ["s"], None)]), ("d", [("t", "1", None, None, None)])], f"item_id string, documents array<{doc}>")
+    good, bad = collections.complete(items)
+    assert [x.item_id for x in good.collect()] == ["a"] and {x.item_id: x.lacks for x in bad.collect()} == {"b": "documents", "c": "content", "d": "summaries"}
+    assert items.where("item_id = 'a'").select(collections.chunks_of(0)).head()[0] == ["c"]
+    with pytest.raises(Exception, match="no document 3"):
+        items.select(collections.chunks_of(3)).collect()
+    assert spark.createDataFrame([({"a": 1, "b": 2},)], "m map<string,int>").select(collections.without_keys("m", "a")).head()[0] == {"b": 2}
+    rows = spark.createDataFrame([("x", k) for k in range(5)], "g string, v int")
+    assert [x.band for x in analysis.bands(rows, [F.col("v")], 2, "g").orderBy("v").collect()] == [0, 0, 1, 1, 2]
+    named = spark.createDataFrame([("Ann met Bob. Ann left.",), (None,)], "t string")
+    assert [x[0] for x in named.select(entities.recognised_in_windows("t", 13)).collect()] == [["Ann", "Bob"], None]
