@@ -30,3 +30,27 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = moved.select("node", "label")
         if not changed:
             return labels.withColumnRenamed("label", "component")
+
+
+def contracted_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """As :func:`components`, for links that are many for their nodes: each round joins nodes with their smallest neighbours and keeps links between the groups only."""
+    u, v = F.least(a, b), F.greatest(a, b)
+    edges = checkpointed(links.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(u.alias("u"), v.alias("v")).distinct())
+    labels = checkpointed(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("label", F.col("node")))
+    edges = edges.where("u <> v")
+    while not edges.isEmpty():
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")), F.struct(F.col("v").alias("x"), F.col("u").alias("y")))).alias("e")).select("e.*")
+        hook = checkpointed(ends.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("up")))
+        parent = hook
+        while True:  # up to the top: twice as far each time
+            over = parent.select(F.col("x").alias("at"), F.col("up").alias("top"))
+            jumped = checkpointed(parent.join(over, F.col("up") == F.col("at")).select("x", F.col("top").alias("up"), (F.col("top") < F.col("up")).alias("moved")))
+            parent = jumped.select("x", "up")
+            if jumped.where("moved").isEmpty():
+                break
+        of = lambda name: parent.select(F.col("x").alias(f"{name}x"), F.col("up").alias(f"{name}up"))
+        moved = edges.join(of("u"), F.col("u") == F.col("ux")).join(of("v"), F.col("v") == F.col("vx"))
+        fewer = checkpointed(moved.where("uup <> vup").select(F.least("uup", "vup").alias("u"), F.greatest("uup", "vup").alias("v")).distinct())
+        labels = checkpointed(labels.join(of("l"), F.col("label") == F.col("lx"), "left").select("node", F.coalesce("lup", "label").alias("label")))
+        edges = fewer
+    return labels.withColumnRenamed("label", "component")

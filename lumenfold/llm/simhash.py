@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import checkpointed, small_batches, strings
-from .components import components
+from ._common import checkpointed, small_batches, strings, written
+from .components import components, contracted_components
 
 #: Fingerprints under one value of a segment that are compared one by one.
 FILED = 256
@@ -125,7 +125,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = 2, id_col:
 #: Words of a shingle, bits that may differ and bits of a segment of wide fingerprints (128 bits, six segments).
 WIDE_WORDS, WIDE_RADIUS, WIDE_SEGMENT = 2, 14, 21
 #: Fingerprints under one value of a wide segment that are joined one by one, and rows of a block beyond that.
-WIDE_FILED, WIDE_BLOCK = 64, 4_096
+WIDE_FILED, WIDE_BLOCK = 8, 4_096
 _WIDE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -159,6 +159,7 @@ def _compared(radius: int):
     """Links that connect what lies within ``radius`` of an entry of the block's table: a forest, however many pairs there are."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("node")  # groups go by their smallest node, so blocks tend to give the same links
         table, asked = block[block["filed"]], block[~block["filed"]]
         names, t1, t2 = table["node"].to_numpy(), table["f1"].to_numpy().view(np.uint64), table["f2"].to_numpy().view(np.uint64)
         label, out = np.arange(len(table)), []
@@ -196,15 +197,17 @@ def wide_links(prints: DataFrame, *, radius: int = WIDE_RADIUS) -> DataFrame:
     other = filed.select(*key, F.col("node").alias("b"), F.col("f1").alias("g1"), F.col("f2").alias("g2")).join(crowded, key, "left_anti")
     apart = F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col("g2")))
     near = looked.join(other, key).where((F.col("node") != F.col("b")) & (apart <= radius)).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    here = looked.join(crowded, key).withColumn("rows", F.ceil(F.col("count") / WIDE_BLOCK).cast("int"))
-    table = filed.join(crowded, key).withColumn("rows", F.ceil(F.col("count") / WIDE_BLOCK).cast("int"))
-    # lookers can be more than what is filed: they are dealt by their own number
-    lookers = here.groupBy(*key).agg(F.ceil(F.count("*") / WIDE_BLOCK).cast("int").alias("cols"))
+    rows = F.ceil(F.col("count") / WIDE_BLOCK).cast("int").alias("rows")
+    here = written(looked.join(crowded, key).select(*key, "node", "f1", "f2", rows), "lookers")
+    table = filed.join(crowded, key).select(*key, "node", "f1", "f2", rows)
+    # lookers can be more than what is filed: they are dealt by their own number where they need more than a block
+    many = here.groupBy(*key).agg(F.ceil(F.count("*") / WIDE_BLOCK).cast("int").alias("cols")).where("cols > 1")
+    dealt = lambda df: df.join(many, key, "left").withColumn("cols", F.coalesce("cols", F.lit(1)))
     deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = [*key, "i", "j", "filed", "node", "f1", "f2"]
-    entries = table.join(lookers, key).withColumn("i", deal("rows")).withColumn("j", every("cols")).withColumn("filed", F.lit(True)).select(*columns)
-    asked = here.join(lookers, key).withColumn("j", deal("cols")).withColumn("i", every("rows")).withColumn("filed", F.lit(False)).select(*columns)
+    entries = dealt(table).withColumn("i", deal("rows")).withColumn("j", every("cols")).withColumn("filed", F.lit(True)).select(*columns)
+    asked = dealt(here).withColumn("j", deal("cols")).withColumn("i", every("rows")).withColumn("filed", F.lit(False)).select(*columns)
     forest = entries.unionByName(asked).groupBy(*key, "i", "j").applyInPandas(_compared(radius), _WIDE)
     return near.unionByName(forest)
 
@@ -213,7 +216,7 @@ def near_copies(docs: DataFrame, *, radius: int = WIDE_RADIUS, id_col: str = "do
     """``id_col, component_id`` by wide fingerprints: the smallest id reachable over links.  Null ids have none and link nothing."""
     prints = checkpointed(wide_fingerprints(docs, id_col=id_col, text_col=text_col).withColumn(id_col, F.col(id_col).cast("long")))
     nodes = checkpointed(prints.where(F.col(id_col).isNotNull()).groupBy("f1", "f2").agg(F.min(id_col).alias("node")))
-    labels = components(wide_links(nodes, radius=radius))
+    labels = contracted_components(wide_links(nodes, radius=radius))
     of = nodes.join(labels, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component_id"))
     return prints.join(of, ["f1", "f2"], "left").select(id_col, F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
 

@@ -267,7 +267,7 @@ def wide_groups(prints: list[tuple[int, int]], radius=simhash.WIDE_RADIUS) -> li
     return [find(i) for i in range(len(whole))]
 
 
-@pytest.mark.parametrize(("filed", "block"), [(64, 4096), (2, 4096), (2, 7)])
+@pytest.mark.parametrize(("filed", "block"), [(64, 4096), (8, 4096), (2, 7)])
 def test_wide_links_are_those_of_all_pairs(spark, monkeypatch, filed, block):
     monkeypatch.setattr(simhash, "WIDE_FILED", filed)
     monkeypatch.setattr(simhash, "WIDE_BLOCK", block)
@@ -282,7 +282,7 @@ def test_wide_links_are_those_of_all_pairs(spark, monkeypatch, filed, block):
 
     prints = sorted({noisy(s) for s in seeds for _ in range(25)})
     links = simhash.wide_links(spark.createDataFrame([(10 * k, *p) for k, p in enumerate(prints)], "node long, f1 long, f2 long"))
-    found = {x.node: x.component for x in simhash.components(links).collect()}
+    found = {x.node: x.component for x in simhash.contracted_components(links).collect()}
     assert [found.get(10 * k, 10 * k) for k in range(len(prints))] == [10 * g for g in wide_groups(prints)]
 
 
@@ -313,9 +313,11 @@ def test_simhash_odd_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("find", [simhash.components, simhash.contracted_components])
+def test_components_of_a_long_chain(spark, find):
     rows = [(k, k + 1) for k in range(100)] + [(200, 201), (201, 201), (None, 5)]
-    got = {x.node: x.component for x in simhash.components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    got = {x.node: x.component for x in find(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert find(spark.createDataFrame([], "a long, b long")).count() == 0
     assert got == {**{k: 0 for k in range(101)}, 200: 200, 201: 200}
 
 
