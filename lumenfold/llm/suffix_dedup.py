@@ -17,6 +17,9 @@ repeated there:
    map-side and counted by Spark.
 
 Identical texts are one text here, with a number of copies; with two copies all strings in it are repeated.
+
+Repeats can be measured in words too: the same steps then go over one 64-bit hash for each word instead of the bytes, with
+anchors of 16 words, and what is found is cut from the first word's first byte to the last word's last.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ from ._common import checkpointed, discard, raw, release, small_batches, text_co
 HOT = 20_000
 #: Bytes of the anchors' strings.
 GRAM = 128
+#: Words of the anchors' strings where repeats are measured in words.
+WORD_GRAM = 16
 #: Bytes of surroundings that a worker ranks at once, and ranked strings after which whole groups are compared.
 BLOCK_BYTES, BLOCK_STRINGS = 1_000_000, 1_000_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -52,6 +57,28 @@ def _byte_ranks() -> np.ndarray:
 _BYTES = _byte_ranks()
 
 
+def _units(data: np.ndarray) -> np.ndarray:
+    """Ranks of single units: of bytes those of the table, of words (hashes already) themselves."""
+    return _BYTES[data] if data.dtype == np.uint8 else data
+
+
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_units(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of each word (whatever stands between blanks)."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    edges = np.diff(np.concatenate(([True], _BLANK[data], [True])).astype(np.int8))
+    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    sums, inverse = _cumulated(data)
+    return _mixed(_mixed((sums[ends] - sums[starts]) * inverse[starts]) ^ (ends - starts).astype(np.uint64)), starts, ends
+
+
+def _held(text: bytes, words: bool) -> np.ndarray:
+    return word_units(text)[0] if words else np.frombuffer(text, dtype=np.uint8)
+
+
 def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_MULT), n, 1 << 64))
 
@@ -64,7 +91,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def prefix_ranks(data: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
     """Ranks of the strings of each length (ascending) at each position, by doubling; equal strings have equal ranks."""
-    out, doubled, size = [], {1: _BYTES[data]}, 1
+    out, doubled, size = [], {1: _units(data)}, 1
     steps = {1 << b for n in lengths for b in range(n.bit_length()) if n >> b & 1}
     for length in lengths:
         while size * 2 <= length:
@@ -104,7 +131,7 @@ def _cumulated(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             x[0] = 1
             _POWERS[k] = np.multiply.accumulate(x)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[data] * _POWERS[0][:n], out=sums[1:])
+    np.cumsum(_units(data) * _POWERS[0][:n], out=sums[1:])
     return sums, _POWERS[1]
 
 
@@ -174,11 +201,11 @@ _ARROW_AROUND = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("pos", pa.in
 _ARROW_VERDICT = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), ("kept", pa.binary())])
 
 
-def _anchor_rows(threshold: int, gram: int):
+def _anchor_rows(threshold: int, gram: int, words: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t1, t2 = (batch.column(k).to_numpy() for k in (0, 1))
-            made = [anchors(np.frombuffer(text, dtype=np.uint8), threshold, gram) for text in raw(batch.column(2))]
+            made = [anchors(_held(text, words), threshold, gram) for text in raw(batch.column(2))]
             if made:
                 rows = np.repeat(np.arange(len(made)), [len(x[0]) for x in made])
                 at, first, last, rank, cover = (np.concatenate(x) for x in zip(*made, strict=True))
@@ -187,20 +214,22 @@ def _anchor_rows(threshold: int, gram: int):
     return run
 
 
-def _surroundings(threshold: int, gram: int, hot: bool):
-    """Of each anchor given (structs of pos, rank, hot) the bytes that any string of threshold length around it can have."""
+def _surroundings(threshold: int, gram: int, hot: bool, words: bool = False):
+    """Of each anchor given (structs of pos, rank, hot) the bytes (hashes of the words) that any string of threshold length around it can have."""
+    width = 8 if words else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t1, t2 = (batch.column(k).to_pylist() for k in (0, 1))
             held, size = [], 0
             for k, (text, places) in enumerate(zip(raw(batch.column(2)), batch.column(3).to_pylist(), strict=True)):
+                text = word_units(text)[0].tobytes() if words and places else text
                 for place in places or ():
                     if place["hot"] != hot:
                         continue
                     pos = place["pos"]
                     begin = max(0, pos - (threshold - gram))
-                    around = text[begin : pos + threshold]
+                    around = text[begin * width : (pos + threshold) * width]
                     held.append((t1[k], t2[k], pos, place["rank"], begin, around))
                     size += len(around)
                     if size > BLOCK_BYTES:
@@ -212,13 +241,13 @@ def _surroundings(threshold: int, gram: int, hot: bool):
     return run
 
 
-def _strings(batch: pa.RecordBatch, threshold: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _strings(batch: pa.RecordBatch, threshold: int, gram: int, words: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, first byte (in its text) and rank of the strings of threshold length whose anchor is the row's position."""
     around = raw(batch.column(5))
     pos, begin = batch.column(2).to_numpy(), batch.column(4).to_numpy()
-    sizes = np.fromiter(map(len, around), dtype=np.int64, count=len(around))
+    sizes = np.fromiter(map(len, around), dtype=np.int64, count=len(around)) // (8 if words else 1)
     starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-    data = np.frombuffer(b"".join(around), dtype=np.uint8)
+    data = np.frombuffer(b"".join(around), dtype=np.uint64 if words else np.uint8)
     if len(data) < threshold:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     grams, whole = prefix_ranks(data, [gram, threshold])
@@ -242,7 +271,7 @@ def _found(t1: np.ndarray, t2: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
     return _named([t1[begins], t2[begins], first[begins].astype(np.int32), first[ends].astype(np.int32)], FOUND.names)
 
 
-def _within_groups(threshold: int, gram: int):
+def _within_groups(threshold: int, gram: int, words: bool = False):
     """Rows sorted by rank: strings are ranked block by block, and of whole groups those with a common rank are found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +294,7 @@ def _within_groups(threshold: int, gram: int):
             if len(kept):
                 yield _found(t1[kept], t2[kept], first[kept])
 
-        step = max(1, BLOCK_BYTES // (2 * threshold))
+        step = max(1, BLOCK_BYTES // (2 * threshold * (8 if words else 1)))
         for batch in batches:
             ranks = batch.column(3).to_numpy()
             edges = np.flatnonzero(np.diff(ranks)) + 1
@@ -281,7 +310,7 @@ def _within_groups(threshold: int, gram: int):
                     stop = len(ranks)
                 stop = min(stop, at + step)
                 part = batch.slice(at, stop - at)
-                rows, first, string = _strings(part, threshold, gram)
+                rows, first, string = _strings(part, threshold, gram, words)
                 t1, t2, rank = (part.column(k).to_numpy()[rows] for k in (0, 1, 3))
                 held.append((t1, t2, rank, first.astype(np.int32), string))
                 count, last, at = count + len(string), ranks[stop - 1], stop
@@ -291,12 +320,12 @@ def _within_groups(threshold: int, gram: int):
     return run
 
 
-def _hot_rows(threshold: int, gram: int):
-    around = _surroundings(threshold, gram, True)
+def _hot_rows(threshold: int, gram: int, words: bool = False):
+    around = _surroundings(threshold, gram, True, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in around(batches):
-            rows, first, string = _strings(batch, threshold, gram)
+            rows, first, string = _strings(batch, threshold, gram, words)
             if len(rows):
                 t1, t2, rank = (batch.column(k).to_numpy()[rows] for k in (0, 1, 3))
                 yield _named([rank, string.view(np.int64), t1, t2, first.astype(np.int32)], HOT_ROWS.names)
@@ -310,7 +339,24 @@ def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _found(*(batch.column(k).to_numpy() for k in (0, 1, 2)))
 
 
-def _verdicts(threshold: int):
+def _cut(text: bytes, spans: list[dict]) -> bytes:
+    """``text`` without its spans, which are in order and apart."""
+    edges = [0, *(x for span in spans for x in (span["begin"], span["end"])), len(text)]
+    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+def _joined(pairs: list[tuple[int, int]]) -> list[dict]:
+    """Maximal runs of stretches that overlap or touch."""
+    spans: list[dict] = []
+    for first, end in sorted(pairs):
+        if spans and first <= spans[-1]["end"]:
+            spans[-1]["end"] = max(end, spans[-1]["end"])
+        else:
+            spans.append({"begin": first, "end": end})
+    return spans
+
+
+def _verdicts(threshold: int, words: bool = False):
     """Cuts the bytes of all strings found out of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,14 +364,12 @@ def _verdicts(threshold: int):
             t1, t2 = (batch.column(k).to_pylist() for k in (0, 1))
             rows = []
             for k, (text, found) in enumerate(zip(raw(batch.column(2)), batch.column(3).to_pylist(), strict=True)):
-                spans: list[dict] = []
-                for first, end in sorted((x["first"], x["last"] + threshold) for x in found):
-                    if spans and first <= spans[-1]["end"]:
-                        spans[-1]["end"] = max(end, spans[-1]["end"])
-                    else:
-                        spans.append({"begin": first, "end": end})
-                edges = [0, *(x for span in spans for x in (span["begin"], span["end"])), len(text)]
-                kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                pairs = [(x["first"], x["last"] + threshold) for x in found]
+                if words:
+                    _, starts, ends = word_units(text)
+                    pairs = [(int(starts[first]), int(ends[end - 1])) for first, end in pairs]
+                spans = _joined(pairs)
+                kept = _cut(text, spans)
                 rows.append((t1[k], t2[k], len(text) - len(kept), spans, kept))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW_VERDICT, strict=True)], schema=_ARROW_VERDICT)
@@ -339,18 +383,26 @@ def keyed(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("t1", F.xxhash64(text, F.lit(1))).withColumn("t2", F.xxhash64(F.lit(2), text))
 
 
-def text_verdicts(docs: DataFrame, threshold: int = 400, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _long_enough(threshold: int, words: bool):
+    """Whether a text has a string of threshold length; words are only counted in texts that have the bytes for so many."""
+    if not words:
+        return F.octet_length("text") >= threshold
+    counted = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    return F.when(F.octet_length("text") >= 2 * threshold - 1, counted >= threshold).otherwise(False)
+
+
+def text_verdicts(docs: DataFrame, threshold: int = 400, *, words: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``t1, t2, n_removed, spans, kept`` of every different text (by :func:`keyed`) that loses bytes.
 
     A byte goes if a string of ``threshold`` bytes that covers it starts at another place too, in the same text or any other; places are
     judged on the input.  ``spans`` are the maximal runs removed and ``kept`` is what is left; both are null for texts with copies, of
-    which nothing is left.  Null and short texts, and empty tables, lose nothing.  ``id_col`` only tells copies apart and may repeat or be null.
+which nothing is left.  With ``words`` strings are ``threshold`` words instead, whatever blanks stand between them.  Null and short texts, and empty tables, lose nothing. texts, and empty tables, lose nothing.  ``id_col`` only tells copies apart and may repeat or be null.
     """
     small_batches(docs.sparkSession)
-    gram = min(GRAM, threshold)
-    texts = keyed(docs.select(F.col(id_col).alias("id"), text_column(text_col).alias("text"))).where(F.octet_length("text") >= threshold)
+    gram = min(WORD_GRAM if words else GRAM, threshold)
+    texts = keyed(docs.select(F.col(id_col).alias("id"), text_column(text_col).alias("text"))).where(_long_enough(threshold, words))
     copies = checkpointed(texts.groupBy(*_KEY).agg(F.count("*").alias("copies"), F.min("id").alias("one"), F.min(F.octet_length("text")).cast("long").alias("n_bytes")))
-    anchored = written(texts.select(*_KEY, "text").mapInArrow(_anchor_rows(threshold, gram), ANCHORS), "anchors")
+    anchored = written(texts.select(*_KEY, "text").mapInArrow(_anchor_rows(threshold, gram, words), ANCHORS), "anchors")
     # a hash stands for a place: 64 bits more, among the few places that share a rank
     places = anchored.withColumn("place", F.xxhash64(*_KEY, "pos"))
     # written by itself: a join of two plain exchanges is one whose hot ranks Spark can split
@@ -372,14 +424,14 @@ def text_verdicts(docs: DataFrame, threshold: int = 400, *, id_col: str = "doc_i
     involved = written(texts.withColumnsRenamed({"t1": "m1", "t2": "m2"}).join(touched, one).select(*_KEY, "text", "places", "copies"), "involved")
     release(docs.sparkSession)
     opened = involved.where("places is not null").select(*_KEY, "text", "places")
-    cool = opened.mapInArrow(_surroundings(threshold, gram, False), AROUND)
-    within = cool.repartition("rank").sortWithinPartitions("rank").mapInArrow(_within_groups(threshold, gram), FOUND)
-    strings = opened.where(F.exists("places", lambda x: x["hot"])).mapInArrow(_hot_rows(threshold, gram), HOT_ROWS)
+    cool = opened.mapInArrow(_surroundings(threshold, gram, False, words), AROUND)
+    within = cool.repartition("rank").sortWithinPartitions("rank").mapInArrow(_within_groups(threshold, gram, words), FOUND)
+    strings = opened.where(F.exists("places", lambda x: x["hot"])).mapInArrow(_hot_rows(threshold, gram, words), HOT_ROWS)
     start = F.struct(*_KEY, "first")
     again = checkpointed(strings.groupBy("rank", "string").agg(F.min(start).alias("a"), F.max(start).alias("b")).where("a <> b").select("rank", "string"))
     hot = strings.join(again, ["rank", "string"]).select(*_KEY, "first").mapInArrow(_runs_of, FOUND)
     spans = found.unionByName(within).unionByName(hot).groupBy(*_KEY).agg(F.collect_set(F.struct("first", "last")).alias("found"))
-    cut = involved.where("copies = 1").dropDuplicates(_KEY).select(*_KEY, "text").join(spans, _KEY).select(*_KEY, "text", "found").mapInArrow(_verdicts(threshold), VERDICT)
+    cut = involved.where("copies = 1").dropDuplicates(_KEY).select(*_KEY, "text").join(spans, _KEY).select(*_KEY, "text", "found").mapInArrow(_verdicts(threshold, words), VERDICT)
     nothing = copies.where("copies > 1").select(*_KEY, F.col("n_bytes").alias("n_removed"), F.lit(None).cast(VERDICT["spans"].dataType).alias("spans"), F.lit(None).cast("binary").alias("kept"))
     return cut.unionByName(nothing)
 
@@ -398,6 +450,29 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, *, id_col: str = "doc_
     return joined.withColumn(text_col, left).withColumn("n_removed", F.coalesce("__n", F.lit(0))).drop("__t1", "__t2", "__v1", "__v2", "__n", "__kept")
 
 
+def remove_passages(docs: DataFrame, threshold: int = 400, words: int = 51, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`remove_repeats` for strings of ``threshold`` bytes and for those of ``words`` words, whichever a repeat reaches; both are judged on the input."""
+    found = []
+    for size, by_words in ((threshold, False), (words, True)):
+        told = text_verdicts(docs, size, words=by_words, id_col=id_col, text_col=text_col)
+        found.append(written(told.select(F.col("t1").alias("__v1"), F.col("t2").alias("__v2"), "spans"), "verdicts"))
+        release(docs.sparkSession)
+    v = found[0].unionByName(found[1]).groupBy("__v1", "__v2").agg(F.bool_or(F.col("spans").isNull()).alias("__all"), F.flatten(F.collect_list("spans")).alias("__spans"))
+    text = text_column(text_col)
+    keys = docs.withColumn("__t1", F.xxhash64(text, F.lit(1))).withColumn("__t2", F.xxhash64(F.lit(2), text))
+    joined = keys.join(v, (F.col("__t1") == F.col("__v1")) & (F.col("__t2") == F.col("__v2")), "left")
+    cut = _without(text.cast("binary"), F.coalesce("__spans", F.array().cast(VERDICT["spans"].dataType)))
+    kept = F.when(F.col("__v1").isNull(), text.cast("binary")).when(F.col("__all"), F.lit(b"")).otherwise(cut)
+    out = joined.withColumn("__kept", kept).withColumn("n_removed", (F.octet_length(text) - F.octet_length("__kept")).cast("long"))
+    left = F.when(F.col("__v1").isNull(), F.col(text_col)).otherwise(whole_characters(F.col("__kept")))
+    return out.withColumn(text_col, left).drop("__t1", "__t2", "__v1", "__v2", "__all", "__spans", "__kept")
+
+
+@F.pandas_udf(T.BinaryType())
+def _without(data: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([_cut(bytes(x), _joined([(int(y["begin"]), int(y["end"])) for y in found])) for x, found in zip(data, spans, strict=True)], dtype=object)
+
+
 def whole_characters(data):
     """The text of UTF-8 bytes without pieces of characters."""
     return _valid(data)
