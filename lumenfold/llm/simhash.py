@@ -120,7 +120,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = 2, id_col:
     return prints.join(of, "fp", "left").select(id_col, "fp", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-# ---- wide fingerprints, for similarities as low as 0.8
+# ---- wide fingerprints: links by distance alone, without a check of similarity (no query uses them)
 
 #: Words of a shingle, bits that may differ and bits of a segment of wide fingerprints (128 bits, six segments).
 WIDE_WORDS, WIDE_RADIUS, WIDE_SEGMENT = 2, 14, 21
@@ -212,20 +212,129 @@ def wide_links(prints: DataFrame, *, radius: int = WIDE_RADIUS) -> DataFrame:
     return near.unionByName(forest)
 
 
-def near_copies(docs: DataFrame, *, radius: int = WIDE_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, component_id`` by wide fingerprints: the smallest id reachable over links.  Null ids have none and link nothing."""
-    prints = checkpointed(wide_fingerprints(docs, id_col=id_col, text_col=text_col).withColumn(id_col, F.col(id_col).cast("long")))
-    nodes = checkpointed(prints.where(F.col(id_col).isNotNull()).groupBy("f1", "f2").agg(F.min(id_col).alias("node")))
-    labels = contracted_components(wide_links(nodes, radius=radius))
-    of = nodes.join(labels, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(of, ["f1", "f2"], "left").select(id_col, F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
+# ---- near copies by exact similarity
 
+#: Words of a shingle, and bands and rows of the minima that look for candidates: a pair of similarity 0.8 shares no band with a chance of about 6 in 100,000.
+COPY_WORDS, BANDS, BAND_ROWS = 5, 32, 6
+#: Texts and bytes of shingles of a part; candidate groups beyond either are compared part against part.
+PART_TEXTS, PART_BYTES = 4_096, 16_000_000
+_FACTORS, _OFFSETS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
+_FACTORS |= np.uint64(1)
+_SKETCH = [T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+_MEMBER = T.StructType([T.StructField(x, T.LongType()) for x in ("component", "parts", "node", "s1", "s2")] + [T.StructField("shingles", T.BinaryType())])
 
-def one_of_each(docs: DataFrame, *, radius: int = WIDE_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose group of near copies has a smaller id; of rows repeating that id with a copy each stays.
 
-    Wide fingerprints of two-word shingles at most 14 of 128 bits apart stand for a similarity of 0.8 or more of five-word shingles.
+def shingle_set(text: str, words: int = COPY_WORDS) -> np.ndarray:
+    """Different shingles' hashes in order."""
+    return np.unique(shingle_hashes(text, words))
+
+
+def _name(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets apart, as two signed longs."""
+    whole = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), dtype="<i8")
+    return int(whole[0]), int(whole[1])
+
+
+def band_hashes(shingles: np.ndarray) -> list[int]:
+    """A signed long for each band of minima of the set; none of an empty one."""
+    if not len(shingles):
+        return []
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(shingles), 1024):
+        np.minimum(least, (_FACTORS * shingles[at : at + 1024] + _OFFSETS).min(axis=1), out=least)
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return [_signed(xxhash.xxh64_intdigest(rows[k].tobytes(), k)) for k in range(BANDS)]
+
+
+def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, s1, s2, size, bands`` of each row: name, size and band hashes of its shingle set."""
+    small_batches(docs.sparkSession)
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *_SKETCH])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x) for x in strings(batch.column(1))]
+            named = np.array([_name(x) for x in sets], dtype=np.int64).reshape(-1, 2)
+            made = [pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array([len(x) for x in sets], pa.int64()), pa.array([band_hashes(x) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=schema.names)
+
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles of the rows whose text is the one that the names stand for (repeated ids may have others)."""
+    for batch in batches:
+        rows = []
+        for *member, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strings(batch.column(5)), strict=True):
+            shingles = shingle_set(text)
+            if _name(shingles) == (member[3], member[4]):
+                rows.append((*member, shingles.tobytes()))
+        columns = zip(*rows, strict=True) if rows else [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 5 else pa.int64()) for k, c in enumerate(columns)], names=_MEMBER.names)
+
+
+def _similar(block: pa.Table) -> pa.Table:
+    """Links that connect what pairs of Jaccard similarity 0.8 or more connect: a forest, however many pairs there are.
+
+    A text is held against all others by its shingles' postings.  Once all texts that haven't been are in one group, no link between groups is left to be found.
+    """
+    nodes = block.column("node").to_numpy()
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in block.column("shingles").to_pylist()]
+    n, sizes = len(sets), np.array([len(x) for x in sets], dtype=np.int64)
+    _, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    posted = np.repeat(np.arange(n), sizes)[np.argsort(ids, kind="stable")]
+    begins, at = (np.concatenate(([0], np.cumsum(x))) for x in (counts, sizes))
+    label, waiting = np.arange(n), np.ones(n, dtype=bool)
+    while True:
+        left = np.flatnonzero(waiting)
+        largest = np.bincount(label[left], minlength=n).argmax()
+        outside = left[label[left] != largest]
+        if not len(outside):
+            break
+        k = outside[0]
+        waiting[k] = False
+        shared = np.bincount(np.concatenate([posted[begins[i] : begins[i + 1]] for i in ids[at[k] : at[k + 1]]]), minlength=n)
+        groups = np.unique(label[9 * shared >= 4 * (sizes[k] + sizes)])  # shared / union >= 0.8 in whole numbers
+        label[np.isin(label, groups)] = groups[0]
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, label, nodes)
+    apart = nodes != least[label]
+    return pa.table({"a": nodes[apart], "b": least[label][apart]})
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """``node, component``: groups of texts that share bands, directly or through others."""
+    filed = nodes.select("node", F.explode("bands").alias("band"))
+    first = filed.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("band", "a")
+    return contracted_components(filed.join(first, "band").where("node > a").select("a", F.col("node").alias("b")).distinct())
+
+
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, component_id``: the smallest id reachable over pairs of Jaccard similarity 0.8 or more of their five-word shingles.
+
+    Bands of minima only find candidates; every link is one of exact similarity.  Texts of equal shingles are one node, texts without words too.
+    Null ids have no component and link nothing.
     """
-    marked = near_copies(docs, radius=radius, id_col=id_col, text_col=text_col)
+    key = F.col(id_col).cast("long")
+    prints = written(sketches(docs, id_col=id_col, text_col=text_col).withColumn(id_col, key), "sketches")
+    nodes = written(prints.where(F.col(id_col).isNotNull()).groupBy("s1", "s2").agg(F.min(id_col).alias("node"), F.max("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    members = nodes.select("node", "s1", "s2", "size").join(_candidates(nodes), "node")
+    parts = F.greatest(F.ceil(F.count("*") / PART_TEXTS), F.ceil(F.sum("size") * 8 / PART_BYTES)).cast("long")
+    members = checkpointed(members.join(members.groupBy("component").agg(parts.alias("parts")), "component"))
+    texts = docs.where(key.isNotNull()).select(key.alias("node"), F.col(text_col).alias("text"))
+    held = members.join(texts, "node").select("component", "parts", "node", "s1", "s2", "text").mapInArrow(_members, _MEMBER).dropDuplicates(["node", "s1", "s2"])
+    # a part meets every other one; a group of one part meets itself
+    own = F.pmod(F.xxhash64("node", "s1", "s2"), F.col("parts"))
+    met = held.withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("parts = 1 or i <> j")
+    blocks = met.select("component", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "node", "shingles")
+    links = blocks.groupBy("component", "lo", "hi").applyInArrow(_similar, _WIDE)
+    labels = contracted_components(links)
+    of = nodes.join(labels, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(of, ["s1", "s2"], "left").select(id_col, F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose group of near copies (:func:`near_copies`) has a smaller id; of rows repeating that id with a copy each stays."""
+    marked = near_copies(docs, id_col=id_col, text_col=text_col)
     gone = checkpointed(marked.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct())
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
