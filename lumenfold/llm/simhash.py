@@ -217,7 +217,7 @@ def wide_links(prints: DataFrame, *, radius: int = WIDE_RADIUS) -> DataFrame:
 #: Words of a shingle, and bands and rows of the minima that look for candidates: a pair of similarity 0.8 shares no band with a chance of about 6 in 100,000.
 COPY_WORDS, BANDS, BAND_ROWS = 5, 32, 6
 #: Texts and bytes of shingles of a part; candidate groups beyond either are compared part against part.
-PART_TEXTS, PART_BYTES = 4_096, 16_000_000
+PART_TEXTS, PART_BYTES = 2_048, 4_000_000
 _FACTORS, _OFFSETS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
 _FACTORS |= np.uint64(1)
 _SKETCH = [T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]

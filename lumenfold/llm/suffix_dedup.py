@@ -42,7 +42,7 @@ GRAM = 128
 #: Words of the anchors' strings where repeats are measured in words.
 WORD_GRAM = 16
 #: Bytes of surroundings that a worker ranks at once, and ranked strings after which whole groups are compared.
-BLOCK_BYTES, BLOCK_STRINGS = 1_000_000, 1_000_000
+BLOCK_BYTES, BLOCK_STRINGS = 500_000, 400_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _KEY = ["t1", "t2"]
 
