@@ -7,6 +7,9 @@ Hamming ball around them, and the whole distance of what is found there is verif
 Values of a segment under which more than ``FILED`` fingerprints are filed aren't looked up one against all.
 Everything filed under or looking there is linked through midpoints instead: two fingerprints are at most two
 bits apart exactly if some value is at most one bit from both, so 65 rows for each of them give the same groups.
+
+:func:`near_copies` looks for texts of a given Jaccard similarity instead: wide fingerprints, indexed in the same way, find
+candidates, and every link between two texts is one of exact similarity.
 """
 
 from __future__ import annotations
@@ -16,7 +19,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,6 +27,7 @@ from pyspark.sql import types as T
 
 from ._common import checkpointed, small_batches, strings, written
 from .components import components, contracted_components
+from .suffix_dedup import mixed, word_units
 
 #: Fingerprints under one value of a segment that are compared one by one.
 FILED = 256
@@ -120,145 +123,146 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = 2, id_col:
     return prints.join(of, "fp", "left").select(id_col, "fp", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-# ---- wide fingerprints: links by distance alone, without a check of similarity (no query uses them)
+# ---- near copies: candidates by wide fingerprints, links by exact similarity
 
-#: Words of a shingle, bits that may differ and bits of a segment of wide fingerprints (128 bits, six segments).
-WIDE_WORDS, WIDE_RADIUS, WIDE_SEGMENT = 2, 14, 21
-#: Fingerprints under one value of a wide segment that are joined one by one, and rows of a block beyond that.
+#: Words of a shingle in the similarity and in fingerprints (shorter ones, which an edit changes fewer of).
+COPY_WORDS, WIDE_WORDS = 5, 2
+#: Longs of a wide fingerprint, bits of a segment and segments of a long; bits in which candidates may differ, in all and in the long that travels along.
+LANES, SEGMENT, SEGMENTS = 5, 21, 3
+WIDE_RADIUS, LANE_RADIUS = 72, 22
+#: Fingerprints under one value of a segment that are joined one by one, and rows of a block beyond that.
 WIDE_FILED, WIDE_BLOCK = 8, 4_096
-_WIDE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+#: Texts and bytes of shingles of a part; candidate groups beyond either are compared part against part.
+PART_TEXTS, PART_BYTES = 2_048, 4_000_000
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, LANES, dtype=np.uint64) | np.uint64(1)
+_LANES = [f"f{k}" for k in range(LANES)]
+_SKETCH = [T.StructField(x, T.LongType()) for x in ("s1", "s2", "size", *_LANES)]
+_LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+_MEMBER = T.StructType([T.StructField(x, T.LongType()) for x in ("component", "parts", "node", "s1", "s2")] + [T.StructField("shingles", T.BinaryType())])
 
 
-def wide_print(text: str, words: int = WIDE_WORDS) -> tuple[int, int]:
-    """128 bits set in over half of the shingles' XXH3 hashes, as two signed longs; of a text without words zero."""
-    found = _WORD.findall(text.encode().translate(_LOWER))
-    if not found:
-        return 0, 0
-    width = min(words, len(found))
-    digest = xxhash.xxh3_128_digest
-    data = b"".join([digest(b" ".join(found[k : k + width])) for k in range(len(found) - width + 1)])
-    bits = np.unpackbits(np.frombuffer(data, dtype=np.uint8).reshape(-1, 16), axis=1)
-    made = np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(bits)).view("<i8")
-    return int(made[0]), int(made[1])
+def word_hashes(text: str) -> np.ndarray:
+    """A hash for each word, A-Z read as a-z."""
+    return word_units(text.encode().translate(_LOWER))[0]
+
+
+def _runs(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash for each run of ``size`` words; of the whole sequence if there are fewer."""
+    if not len(words):
+        return words
+    size = min(size, len(words))
+    n = len(words) - size + 1
+    out = words[:n]
+    for k in range(1, size):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n])
+    return out
+
+
+def _name(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets apart, as two signed longs."""
+    whole = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), dtype="<i8")
+    return int(whole[0]), int(whole[1])
 
 
-def wide_fingerprints(docs: DataFrame, *, words: int = WIDE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, f1, f2`` of each row."""
+def wide_print(words: np.ndarray) -> np.ndarray:
+    """``LANES`` longs of bits set in over half of the shingles' hashes (a mix of the shingle's hash for each long); zeros without words."""
+    shingles = _runs(words, WIDE_WORDS)
+    sums = np.zeros(64 * LANES, dtype=np.int64)
+    for at in range(0, len(shingles), 255 * 32):
+        bits = np.unpackbits(mixed(shingles[at : at + 255 * 32, None] * _FACTORS).view(np.uint8), axis=1)
+        for k in range(0, len(bits), 255):  # sums of so many fit in a byte
+            sums += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(sums * 2 > len(shingles)).view("<i8")
+
+
+def shingle_set(words: np.ndarray) -> np.ndarray:
+    """Different shingles' hashes in order."""
+    return np.unique(_runs(words, COPY_WORDS))
+
+
+def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, s1, s2, size, f0, f1 ...`` of each row: name and size of its shingle set, and its wide fingerprint."""
     small_batches(docs.sparkSession)
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType())])
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *_SKETCH])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([wide_print(x, words) for x in strings(batch.column(1))], dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made[:, 0]), pa.array(made[:, 1])], names=schema.names)
+            made = np.zeros((batch.num_rows, len(_SKETCH)), dtype=np.int64)
+            for k, text in enumerate(strings(batch.column(1))):
+                words = word_hashes(text)
+                shingles = shingle_set(words)
+                made[k] = (*_name(shingles), len(shingles), *wide_print(words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[:, k]) for k in range(len(_SKETCH)))], names=schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def _compared(radius: int):
-    """Links that connect what lies within ``radius`` of an entry of the block's table: a forest, however many pairs there are."""
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("node")  # groups go by their smallest node, so blocks tend to give the same links
-        table, asked = block[block["filed"]], block[~block["filed"]]
-        names, t1, t2 = table["node"].to_numpy(), table["f1"].to_numpy().view(np.uint64), table["f2"].to_numpy().view(np.uint64)
-        label, out = np.arange(len(table)), []
-        for node, f1, f2 in zip(asked["node"].to_numpy(), asked["f1"].to_numpy().view(np.uint64), asked["f2"].to_numpy().view(np.uint64), strict=True):
-            near = np.bitwise_count(t1 ^ f1).astype(np.int16) + np.bitwise_count(t2 ^ f2) <= radius
-            groups = np.unique(label[near])
-            if not len(groups):
-                continue
-            out.append((node, names[groups[0]]))
+    """Links that connect what lies within ``radius`` of an entry of the block's table: a forest, however many pairs there are.
+
+    Once all rows that haven't been compared and the whole table are in one group, no link is left to be found.
+    """
+
+    def run(block: pa.Table) -> pa.Table:
+        nodes, filed = block.column("node").to_numpy(), block.column("filed").to_numpy()
+        prints = np.column_stack([block.column(f).to_numpy() for f in _LANES]).view(np.uint64)
+        order = np.argsort(nodes, kind="stable")  # groups go by their smallest node, so blocks tend to give the same links
+        table, asked = order[filed[order]], order[~filed[order]]
+        _, at = np.unique(nodes, return_inverse=True)  # a node may be in the table and ask
+        least = np.unique(nodes)
+        label, out = np.arange(len(least)), []
+        columns = np.ascontiguousarray(prints[table].T)
+        for done, k in enumerate(asked):
+            if not done % 64 and len(table) and (label[at[table]] == label[at[k]]).all() and (label[at[asked[done:]]] == label[at[k]]).all():
+                break
+            apart = np.zeros(len(table), dtype=np.uint16)
+            for lane, own in zip(columns, prints[k], strict=True):
+                apart += np.bitwise_count(lane ^ own)
+            groups = np.unique(np.append(label[at[table[apart <= radius]]], label[at[k]]))
             for other in groups[1:]:
+                out.append((least[other], least[groups[0]]))
                 label[label == other] = groups[0]
-                out.append((names[other], names[groups[0]]))
-        made = pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-        return made[made["a"] != made["b"]]
+        made = np.array(out, dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": made[:, 0], "b": made[:, 1]})
 
     return run
 
 
 def wide_links(prints: DataFrame, *, radius: int = WIDE_RADIUS) -> DataFrame:
-    """``a, b``: nodes of wide fingerprints (``node, f1, f2``, each pair of longs once) that are linked.
+    """``a, b``: nodes of wide fingerprints (``node, f0, f1 ...``) that are linked: at most ``radius`` bits apart, and at most one in some segment.
 
-    Two fingerprints are compared if some segment differs in one bit at most: all up to 11 differing bits, and most beyond.  Of a segment's two
-    values that differ in a bit the one without it looks the other up, so each is met once.  Values with more than ``WIDE_FILED`` fingerprints
-    are compared block by block, table against rows, and give a forest instead of all pairs; so none is left out.
+    All pairs up to 22 bits apart are met, and those beyond by chance: with 15 segments a pair that differs in a tenth of the bits is missed once in
+    about 1,000 times, in an eighth once in 60.  Of a segment's two values that differ in a bit the one without it looks the other up, so each is met
+    once.  Next to the segment travels the long after the segment's own; pairs that differ in more than ``LANE_RADIUS`` of its 64 bits go no further.
+    Values with more than ``WIDE_FILED`` fingerprints are compared block by block, table against rows, and give a forest instead of all pairs; so none is left out.
     """
-    low = F.lit((1 << WIDE_SEGMENT) - 1).cast("long")
-    values = [F.shiftrightunsigned(f, WIDE_SEGMENT * k).bitwiseAND(low) for f in ("f1", "f2") for k in range(3)]
-    flips = F.array(*[F.lit(1 << k).cast("long") for k in range(WIDE_SEGMENT)])
-    filed = prints.select("node", "f1", "f2", F.posexplode(F.array(*values)).alias("seg", "value"))
+    low = F.lit((1 << SEGMENT) - 1).cast("long")
+    key = lambda lane, k: (F.shiftrightunsigned(_LANES[lane], SEGMENT * k).bitwiseAND(low) + F.lit((lane * SEGMENTS + k) << SEGMENT)).cast("int")
+    spans = [F.struct(key(lane, k).alias("value"), F.col(_LANES[(lane + 1) % LANES]).alias("check")) for lane in range(LANES) for k in range(SEGMENTS)]
+    flips = F.array(*[F.lit(1 << k) for k in range(SEGMENT)])
+    filed = prints.select("node", F.explode(F.array(*spans)).alias("s")).select("node", "s.value", "s.check")
     around = F.array_insert(F.transform(F.filter(flips, lambda m: F.col("value").bitwiseAND(m) == 0), lambda m: F.col("value").bitwiseOR(m)), 1, F.col("value"))
-    looked = filed.select("node", "f1", "f2", "seg", F.explode(around).alias("value"))
-    key = ["seg", "value"]
-    counts = filed.groupBy(*key).count()
-    crowded = checkpointed(counts.where(F.col("count") > WIDE_FILED))
-    other = filed.select(*key, F.col("node").alias("b"), F.col("f1").alias("g1"), F.col("f2").alias("g2")).join(crowded, key, "left_anti")
-    apart = F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col("g2")))
-    near = looked.join(other, key).where((F.col("node") != F.col("b")) & (apart <= radius)).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    looked = filed.select("node", "check", F.explode(around).alias("value"))
+    crowded = checkpointed(filed.groupBy("value").count().where(F.col("count") > WIDE_FILED))
+    other = filed.select("value", F.col("node").alias("b"), F.col("check").alias("check_b")).join(crowded, "value", "left_anti")
+    close = F.bit_count(F.col("check").bitwiseXOR(F.col("check_b"))) <= LANE_RADIUS
+    met = looked.join(other, "value").where((F.col("node") != F.col("b")) & close).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    of = lambda name: prints.select(F.col("node").alias(name), *[F.col(f).alias(f"{name}_{f}") for f in _LANES])
+    apart = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in _LANES[1:]), F.bit_count(F.col("a_f0").bitwiseXOR(F.col("b_f0"))))
+    near = met.join(of("a"), "a").join(of("b"), "b").where(apart <= radius).select("a", "b")
     rows = F.ceil(F.col("count") / WIDE_BLOCK).cast("int").alias("rows")
-    here = written(looked.join(crowded, key).select(*key, "node", "f1", "f2", rows), "lookers")
-    table = filed.join(crowded, key).select(*key, "node", "f1", "f2", rows)
+    here = written(looked.join(crowded, "value").select("value", "node", rows), "lookers")
+    table = filed.join(crowded, "value").select("value", "node", rows)
     # lookers can be more than what is filed: they are dealt by their own number where they need more than a block
-    many = here.groupBy(*key).agg(F.ceil(F.count("*") / WIDE_BLOCK).cast("int").alias("cols")).where("cols > 1")
-    dealt = lambda df: df.join(many, key, "left").withColumn("cols", F.coalesce("cols", F.lit(1)))
+    many = here.groupBy("value").agg(F.ceil(F.count("*") / WIDE_BLOCK).cast("int").alias("cols")).where("cols > 1")
+    dealt = lambda df: df.join(many, "value", "left").withColumn("cols", F.coalesce("cols", F.lit(1)))
     deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = [*key, "i", "j", "filed", "node", "f1", "f2"]
+    columns = ["value", "i", "j", "filed", "node"]
     entries = dealt(table).withColumn("i", deal("rows")).withColumn("j", every("cols")).withColumn("filed", F.lit(True)).select(*columns)
     asked = dealt(here).withColumn("j", deal("cols")).withColumn("i", every("rows")).withColumn("filed", F.lit(False)).select(*columns)
-    forest = entries.unionByName(asked).groupBy(*key, "i", "j").applyInPandas(_compared(radius), _WIDE)
-    return near.unionByName(forest)
-
-
-# ---- near copies by exact similarity
-
-#: Words of a shingle, and bands and rows of the minima that look for candidates: a pair of similarity 0.8 shares no band with a chance of about 6 in 100,000.
-COPY_WORDS, BANDS, BAND_ROWS = 5, 32, 6
-#: Texts and bytes of shingles of a part; candidate groups beyond either are compared part against part.
-PART_TEXTS, PART_BYTES = 2_048, 4_000_000
-_FACTORS, _OFFSETS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
-_FACTORS |= np.uint64(1)
-_SKETCH = [T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-_MEMBER = T.StructType([T.StructField(x, T.LongType()) for x in ("component", "parts", "node", "s1", "s2")] + [T.StructField("shingles", T.BinaryType())])
-
-
-def shingle_set(text: str, words: int = COPY_WORDS) -> np.ndarray:
-    """Different shingles' hashes in order."""
-    return np.unique(shingle_hashes(text, words))
-
-
-def _name(shingles: np.ndarray) -> tuple[int, int]:
-    """128 bits that tell sets apart, as two signed longs."""
-    whole = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), dtype="<i8")
-    return int(whole[0]), int(whole[1])
-
-
-def band_hashes(shingles: np.ndarray) -> list[int]:
-    """A signed long for each band of minima of the set; none of an empty one."""
-    if not len(shingles):
-        return []
-    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(shingles), 1024):
-        np.minimum(least, (_FACTORS * shingles[at : at + 1024] + _OFFSETS).min(axis=1), out=least)
-    rows = least.reshape(BANDS, BAND_ROWS)
-    return [_signed(xxhash.xxh64_intdigest(rows[k].tobytes(), k)) for k in range(BANDS)]
-
-
-def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, s1, s2, size, bands`` of each row: name, size and band hashes of its shingle set."""
-    small_batches(docs.sparkSession)
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *_SKETCH])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(x) for x in strings(batch.column(1))]
-            named = np.array([_name(x) for x in sets], dtype=np.int64).reshape(-1, 2)
-            made = [pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array([len(x) for x in sets], pa.int64()), pa.array([band_hashes(x) for x in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=schema.names)
-
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    whole = entries.unionByName(asked).join(prints.select("node", *_LANES), "node")
+    return near.unionByName(whole.groupBy("value", "i", "j").applyInArrow(_compared(radius), _LINK))
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +270,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for *member, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strings(batch.column(5)), strict=True):
-            shingles = shingle_set(text)
+            shingles = shingle_set(word_hashes(text))
             if _name(shingles) == (member[3], member[4]):
                 rows.append((*member, shingles.tobytes()))
         columns = zip(*rows, strict=True) if rows else [[]] * 6
@@ -302,23 +306,17 @@ def _similar(block: pa.Table) -> pa.Table:
     return pa.table({"a": nodes[apart], "b": least[label][apart]})
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """``node, component``: groups of texts that share bands, directly or through others."""
-    filed = nodes.select("node", F.explode("bands").alias("band"))
-    first = filed.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("band", "a")
-    return contracted_components(filed.join(first, "band").where("node > a").select("a", F.col("node").alias("b")).distinct())
-
-
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, component_id``: the smallest id reachable over pairs of Jaccard similarity 0.8 or more of their five-word shingles.
 
-    Bands of minima only find candidates; every link is one of exact similarity.  Texts of equal shingles are one node, texts without words too.
+    Fingerprints (:func:`wide_links`) only find candidates; every link is one of exact similarity.  Texts of equal shingles are one node, texts without words too.
     Null ids have no component and link nothing.
     """
     key = F.col(id_col).cast("long")
     prints = written(sketches(docs, id_col=id_col, text_col=text_col).withColumn(id_col, key), "sketches")
-    nodes = written(prints.where(F.col(id_col).isNotNull()).groupBy("s1", "s2").agg(F.min(id_col).alias("node"), F.max("size").alias("size"), F.first("bands").alias("bands")), "nodes")
-    members = nodes.select("node", "s1", "s2", "size").join(_candidates(nodes), "node")
+    first = F.min(F.struct(F.col(id_col).alias("node"), "size", *_LANES)).alias("x")
+    nodes = written(prints.where(F.col(id_col).isNotNull()).groupBy("s1", "s2").agg(first).select("s1", "s2", "x.*"), "nodes")
+    members = nodes.select("node", "s1", "s2", "size").join(contracted_components(wide_links(nodes.select("node", *_LANES))), "node")
     parts = F.greatest(F.ceil(F.count("*") / PART_TEXTS), F.ceil(F.sum("size") * 8 / PART_BYTES)).cast("long")
     members = checkpointed(members.join(members.groupBy("component").agg(parts.alias("parts")), "component"))
     texts = docs.where(key.isNotNull()).select(key.alias("node"), F.col(text_col).alias("text"))
@@ -327,7 +325,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     own = F.pmod(F.xxhash64("node", "s1", "s2"), F.col("parts"))
     met = held.withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("parts = 1 or i <> j")
     blocks = met.select("component", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "node", "shingles")
-    links = blocks.groupBy("component", "lo", "hi").applyInArrow(_similar, _WIDE)
+    links = blocks.groupBy("component", "lo", "hi").applyInArrow(_similar, _LINK)
     labels = contracted_components(links)
     of = nodes.join(labels, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id"))
     return prints.join(of, ["s1", "s2"], "left").select(id_col, F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))

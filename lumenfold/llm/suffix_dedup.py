@@ -27,7 +27,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,7 +71,7 @@ def word_units(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edges = np.diff(np.concatenate(([True], _BLANK[data], [True])).astype(np.int8))
     starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
     sums, inverse = _cumulated(data)
-    return _mixed(_mixed((sums[ends] - sums[starts]) * inverse[starts]) ^ (ends - starts).astype(np.uint64)), starts, ends
+    return mixed(mixed((sums[ends] - sums[starts]) * inverse[starts]) ^ (ends - starts).astype(np.uint64)), starts, ends
 
 
 def _held(text: bytes, words: bool) -> np.ndarray:
@@ -83,7 +82,7 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_MULT), n, 1 << 64))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x = x * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
@@ -145,7 +144,7 @@ def anchors(data: np.ndarray, threshold: int, gram: int) -> tuple[np.ndarray, ..
     """
     if len(data) < threshold:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
-    rank = _mixed(prefix_ranks(data, [gram])[0])
+    rank = mixed(prefix_ranks(data, [gram])[0])
     span = threshold - gram + 1
     least = _window(rank, span, np.minimum)
     edge = np.zeros(span - 1, dtype=np.uint64)
@@ -159,7 +158,7 @@ def anchors(data: np.ndarray, threshold: int, gram: int) -> tuple[np.ndarray, ..
     sums, inverse = _cumulated(data)
     cover = (sums[last + threshold] - sums[first]) * inverse[first]
     shape = ((at - first).astype(np.uint64) << np.uint64(32)) | (last - first).astype(np.uint64)
-    return at, first, last, ranks, _mixed(cover ^ _mixed(shape))
+    return at, first, last, ranks, mixed(cover ^ mixed(shape))
 
 
 def _smaller_neighbours(at: np.ndarray, ranks: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -251,14 +250,14 @@ def _strings(batch: pa.RecordBatch, threshold: int, gram: int, words: bool = Fal
     if len(data) < threshold:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     grams, whole = prefix_ranks(data, [gram, threshold])
-    least = _window(_mixed(grams), threshold - gram + 1, np.minimum)
+    least = _window(mixed(grams), threshold - gram + 1, np.minimum)
     n = np.maximum(0, np.minimum(pos - begin, sizes - threshold) + 1)  # strings from the first byte to the anchor's own
     rows = np.repeat(np.arange(len(n)), n)
     offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     at = starts[rows] + offset
     own = least[at] == batch.column(3).to_numpy().view(np.uint64)[rows]
     rows, offset, at = rows[own], offset[own], at[own]
-    return rows, begin[rows] + offset, _mixed(whole[at])
+    return rows, begin[rows] + offset, mixed(whole[at])
 
 
 def _found(t1: np.ndarray, t2: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
@@ -396,7 +395,8 @@ def text_verdicts(docs: DataFrame, threshold: int = 400, *, words: bool = False,
 
     A byte goes if a string of ``threshold`` bytes that covers it starts at another place too, in the same text or any other; places are
     judged on the input.  ``spans`` are the maximal runs removed and ``kept`` is what is left; both are null for texts with copies, of
-which nothing is left.  With ``words`` strings are ``threshold`` words instead, whatever blanks stand between them.  Null and short texts, and empty tables, lose nothing. texts, and empty tables, lose nothing.  ``id_col`` only tells copies apart and may repeat or be null.
+    which nothing is left.  With ``words`` strings are ``threshold`` words instead, whatever blanks stand between them.  Null and short texts, and empty
+    tables, lose nothing.  ``id_col`` only tells copies apart and may repeat or be null.
     """
     small_batches(docs.sparkSession)
     gram = min(WORD_GRAM if words else GRAM, threshold)
@@ -439,45 +439,45 @@ which nothing is left.  With ``words`` strings are ``threshold`` words instead,
 def remove_repeats(docs: DataFrame, threshold: int = 400, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated bytes cut out of the text, and ``n_removed`` (see :func:`text_verdicts`).
 
-    All rows stay, texts may become empty, null texts stay null; of a character that a cut splits nothing is kept.
+    All rows stay, texts may become empty, null texts stay null; of a character that a cut splits nothing is kept.  A column ``n_removed`` is replaced.
     """
-    verdicts = text_verdicts(docs, threshold, id_col=id_col, text_col=text_col)
-    v = written(verdicts.select(F.col("t1").alias("__v1"), F.col("t2").alias("__v2"), F.col("n_removed").alias("__n"), F.col("kept").alias("__kept")), "verdicts")
-    release(docs.sparkSession)
-    text = text_column(text_col)
-    joined = docs.withColumn("__t1", F.xxhash64(text, F.lit(1))).withColumn("__t2", F.xxhash64(F.lit(2), text)).join(v, (F.col("__t1") == F.col("__v1")) & (F.col("__t2") == F.col("__v2")), "left")
-    left = F.when(F.col("__v1").isNull(), F.col(text_col)).otherwise(whole_characters(F.coalesce("__kept", F.lit(b""))))
-    return joined.withColumn(text_col, left).withColumn("n_removed", F.coalesce("__n", F.lit(0))).drop("__t1", "__t2", "__v1", "__v2", "__n", "__kept")
+    return _shortened(docs, [(threshold, False)], id_col, text_col)
 
 
 def remove_passages(docs: DataFrame, threshold: int = 400, words: int = 51, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """:func:`remove_repeats` for strings of ``threshold`` bytes and for those of ``words`` words, whichever a repeat reaches; both are judged on the input."""
-    found = []
-    for size, by_words in ((threshold, False), (words, True)):
+    return _shortened(docs, [(threshold, False), (words, True)], id_col, text_col)
+
+
+def _shortened(docs: DataFrame, rules: list[tuple[int, bool]], id_col: str, text_col: str) -> DataFrame:
+    found = None
+    for size, by_words in rules:
         told = text_verdicts(docs, size, words=by_words, id_col=id_col, text_col=text_col)
-        found.append(written(told.select(F.col("t1").alias("__v1"), F.col("t2").alias("__v2"), "spans"), "verdicts"))
+        table = written(told.select(F.col("t1").alias("__v1"), F.col("t2").alias("__v2"), "spans"), "verdicts")
         release(docs.sparkSession)
-    v = found[0].unionByName(found[1]).groupBy("__v1", "__v2").agg(F.bool_or(F.col("spans").isNull()).alias("__all"), F.flatten(F.collect_list("spans")).alias("__spans"))
+        found = table if found is None else found.unionByName(table)
+    v = found.groupBy("__v1", "__v2").agg(F.bool_or(F.col("spans").isNull()).alias("__all"), F.flatten(F.collect_list("spans")).alias("__spans"))
+    docs = docs.drop("n_removed")
     text = text_column(text_col)
-    keys = docs.withColumn("__t1", F.xxhash64(text, F.lit(1))).withColumn("__t2", F.xxhash64(F.lit(2), text))
-    joined = keys.join(v, (F.col("__t1") == F.col("__v1")) & (F.col("__t2") == F.col("__v2")), "left")
-    cut = _without(text.cast("binary"), F.coalesce("__spans", F.array().cast(VERDICT["spans"].dataType)))
-    kept = F.when(F.col("__v1").isNull(), text.cast("binary")).when(F.col("__all"), F.lit(b"")).otherwise(cut)
-    out = joined.withColumn("__kept", kept).withColumn("n_removed", (F.octet_length(text) - F.octet_length("__kept")).cast("long"))
-    left = F.when(F.col("__v1").isNull(), F.col(text_col)).otherwise(whole_characters(F.col("__kept")))
-    return out.withColumn(text_col, left).drop("__t1", "__t2", "__v1", "__v2", "__all", "__spans", "__kept")
-
-
-@F.pandas_udf(T.BinaryType())
-def _without(data: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([_cut(bytes(x), _joined([(int(y["begin"]), int(y["end"])) for y in found])) for x, found in zip(data, spans, strict=True)], dtype=object)
-
-
-def whole_characters(data):
-    """The text of UTF-8 bytes without pieces of characters."""
-    return _valid(data)
+    keys = docs.withColumn(text_col, F.col(text_col).cast("string")).withColumn("__t1", F.xxhash64(text, F.lit(1))).withColumn("__t2", F.xxhash64(F.lit(2), text))
+    joined = keys.join(v, (F.col("__t1") == F.col("__v1")) & (F.col("__t2") == F.col("__v2")), "left").select(*docs.columns, "__all", "__spans")
+    place, width = docs.columns.index(text_col), len(docs.columns)
+    schema = T.StructType([*joined.schema.fields[:width], T.StructField("n_removed", T.LongType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            valid = batch.column(place).is_valid().to_pylist()
+            texts, gone = raw(batch.column(place)), []
+            for k, (whole, spans) in enumerate(zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), strict=True)):
+                before = texts[k]
+                if whole is not None:
+                    kept = b"" if whole else _cut(before, _joined([(x["begin"], x["end"]) for x in spans]))
+                    texts[k] = kept.decode("utf-8", "ignore").encode()
+                    gone.append(len(before) - len(kept))
+                else:
+                    gone.append(0)
+            left = pa.array([x if there else None for x, there in zip(texts, valid, strict=True)], pa.binary()).cast(pa.string())
+            columns = [left if k == place else batch.column(k) for k in range(width)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int64())], names=schema.names)
 
-@F.pandas_udf(T.StringType())
-def _valid(data: pd.Series) -> pd.Series:
-    return data.map(lambda x: bytes(x).decode("utf-8", "ignore"))
+    return joined.mapInArrow(run, schema)

@@ -245,26 +245,22 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch, filed):
     assert [found.get(10 * k, 10 * k) for k in range(len(prints))] == [10 * g for g in groups(prints)]
 
 
-def wide_groups(prints: list[tuple[int, int]], radius=simhash.WIDE_RADIUS) -> list[int]:
+def wide_groups(prints: list[tuple[int, ...]], radius=simhash.WIDE_RADIUS) -> list[int]:
     """Groups by all pairs, as the smallest position; of these pairs only such that the segments bring together."""
-    whole = [((a & (1 << 64) - 1) << 64) | (b & (1 << 64) - 1) for a, b in prints]
-    boss = list(range(len(whole)))
+    boss = list(range(len(prints)))
 
     def find(i):
         while boss[i] != i:
             i = boss[i]
         return i
 
-    def met(x):
-        return any(((x >> base + 21 * k) & (1 << 21) - 1).bit_count() <= 1 for base in (0, 64) for k in range(3))
-
-    for i in range(len(whole)):
+    for i in range(len(prints)):
         for j in range(i):
-            x = whole[i] ^ whole[j]
-            if x.bit_count() <= radius and met(x):
+            x = [(p ^ q) & (1 << 64) - 1 for p, q in zip(prints[i], prints[j], strict=True)]
+            if sum(y.bit_count() for y in x) <= radius and any(((y >> 21 * k) & (1 << 21) - 1).bit_count() <= 1 for y in x for k in range(3)):
                 a, b = sorted((find(i), find(j)))
                 boss[b] = a
-    return [find(i) for i in range(len(whole))]
+    return [find(i) for i in range(len(prints))]
 
 
 @pytest.mark.parametrize(("filed", "block"), [(64, 4096), (8, 4096), (2, 7)])
@@ -272,20 +268,32 @@ def test_wide_links_are_those_of_all_pairs(spark, monkeypatch, filed, block):
     monkeypatch.setattr(simhash, "WIDE_FILED", filed)
     monkeypatch.setattr(simhash, "WIDE_BLOCK", block)
     rng = np.random.default_rng(6)
-    seeds = [(int(a), int(b)) for a, b in rng.integers(-(1 << 62), 1 << 62, (5, 2))]
+    seeds = [tuple(x) for x in rng.integers(-(1 << 62), 1 << 62, (5, simhash.LANES)).tolist()]
 
     def noisy(seed):
-        flip = [0, 0]
-        for b in rng.integers(0, 128, rng.integers(0, 12)):
+        flip = [0] * simhash.LANES
+        for b in rng.integers(0, 64 * simhash.LANES, rng.integers(0, 30)):
             flip[int(b) // 64] ^= 1 << (int(b) % 64)
         return tuple(simhash._signed((x & (1 << 64) - 1) ^ f) for x, f in zip(seed, flip, strict=True))
 
     prints = sorted({noisy(s) for s in seeds for _ in range(25)})
-    links = simhash.wide_links(spark.createDataFrame([(10 * k, *p) for k, p in enumerate(prints)], "node long, f1 long, f2 long"))
+    schema = "node long, " + ", ".join(f"f{k} long" for k in range(simhash.LANES))
+    links = simhash.wide_links(spark.createDataFrame([(10 * k, *p) for k, p in enumerate(prints)], schema))
     found = {x.node: x.component for x in simhash.contracted_components(links).collect()}
     assert [found.get(10 * k, 10 * k) for k in range(len(prints))] == [10 * g for g in wide_groups(prints)]
 
 
+def test_wide_print_is_the_majority_of_the_shingles_bits():
+    for text in ("", "one", "One two two\tone two", " ".join(f"w{k % 977}" for k in range(20_000))):
+        words = simhash.word_hashes(text)
+        shingles = simhash._runs(words, simhash.WIDE_WORDS)
+        assert len(shingles) == (max(1, len(text.split()) - 1) if text else 0)
+        for lane, factor in zip(simhash.wide_print(words), simhash._FACTORS, strict=True):
+            votes = [int(simhash.mixed(np.array([x]) * factor)[0]).to_bytes(8, "little") for x in shingles]
+            bits = np.array([[byte >> 7 - k & 1 for byte in v for k in range(8)] for v in votes]).reshape(-1, 64)
+            assert np.unpackbits(np.array([lane]).view(np.uint8)).tolist() == (bits.sum(axis=0) * 2 > len(votes)).tolist()
+
+
 def test_near_copies_are_found(spark):
     rng = np.random.default_rng(8)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
