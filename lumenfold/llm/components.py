@@ -7,7 +7,7 @@ checkpoint each round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import checkpointed
@@ -32,6 +32,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
+def starred(links: DataFrame) -> DataFrame:
+    """Links ``a, b`` that connect the same nodes, fewer where neighbours are linked to each other: of each node's smaller neighbours the least is linked to the others and to it.
+
+    A node's links to smaller ones meet in one task, so no node should have more of them than a task can read.
+    """
+    u, v = F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")
+    least = links.select(u, v).where("u <> v").distinct().withColumn("m", F.min("u").over(Window.partitionBy("v")))
+    ends = F.array(F.struct(F.col("m").alias("a"), F.col("u").alias("b")), F.struct(F.col("m").alias("a"), F.col("v").alias("b")))
+    return least.select(F.explode(ends).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+
+
 def contracted_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """As :func:`components`, for links that are many for their nodes: each round joins nodes with their smallest neighbours and keeps links between the groups only."""
     u, v = F.least(a, b), F.greatest(a, b)

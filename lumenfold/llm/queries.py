@@ -83,15 +83,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After the contract's columns ``passage_bytes``: bytes under repeated runs of over 50 words, of which many are shorter than 400 bytes and stay."""
     docs = read_table(spark, sf_dir, "documents")
-    verdicts = suffix_dedup.text_verdicts(docs)
     kept = F.sha2(F.coalesce("kept", F.lit("").cast("binary")), 256)
-    told = checkpointed(verdicts.select("t1", "t2", "n_removed", F.coalesce(F.size("spans"), F.lit(1)).cast("long").alias("n_spans"), kept.alias("kept_sha256")))
+    told = checkpointed(suffix_dedup.text_verdicts(docs).select("t1", "t2", "n_removed", F.coalesce(F.size("spans"), F.lit(1)).cast("long").alias("n_spans"), kept.alias("kept_sha256")))
+    passages = checkpointed(suffix_dedup.text_verdicts(docs, 51, words=True).select("t1", "t2", F.col("n_removed").alias("passage_bytes")))
     text = text_column()
     base = suffix_dedup.keyed(docs.select("doc_id", "text")).select("doc_id", "t1", "t2", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
-    out = base.join(told, ["t1", "t2"], "left")
-    zero = F.lit(0).cast("long")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    out = base.join(told.join(passages, ["t1", "t2"], "full"), ["t1", "t2"], "left")
+    count = lambda name: F.coalesce(name, F.lit(0).cast("long")).alias(name)
+    return out.select("doc_id", "n_bytes", count("n_removed"), count("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), count("passage_bytes"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import checkpointed, small_batches, strings, written
-from .components import components, contracted_components
+from .components import components, contracted_components, starred
 from .suffix_dedup import mixed, word_units
 
 #: Fingerprints under one value of a segment that are compared one by one.
@@ -316,7 +316,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     prints = written(sketches(docs, id_col=id_col, text_col=text_col).withColumn(id_col, key), "sketches")
     first = F.min(F.struct(F.col(id_col).alias("node"), "size", *_LANES)).alias("x")
     nodes = written(prints.where(F.col(id_col).isNotNull()).groupBy("s1", "s2").agg(first).select("s1", "s2", "x.*"), "nodes")
-    members = nodes.select("node", "s1", "s2", "size").join(contracted_components(wide_links(nodes.select("node", *_LANES))), "node")
+    members = nodes.select("node", "s1", "s2", "size").join(contracted_components(starred(wide_links(nodes.select("node", *_LANES)))), "node")
     parts = F.greatest(F.ceil(F.count("*") / PART_TEXTS), F.ceil(F.sum("size") * 8 / PART_BYTES)).cast("long")
     members = checkpointed(members.join(members.groupBy("component").agg(parts.alias("parts")), "component"))
     texts = docs.where(key.isNotNull()).select(key.alias("node"), F.col(text_col).alias("text"))

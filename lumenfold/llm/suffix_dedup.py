@@ -36,6 +36,8 @@ from ._common import checkpointed, discard, raw, release, small_batches, text_co
 
 #: Covers that an anchor's rank may have and still be compared in one task, which then holds some 100 MB of string ranks.
 HOT = 20_000
+#: A rank with more than this share of all rows (one in so many) is broadcast to its rows instead of meeting them in one task.
+CROWDED = 500
 #: Bytes of the anchors' strings.
 GRAM = 128
 #: Words of the anchors' strings where repeats are measured in words.
@@ -382,12 +384,10 @@ def keyed(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("t1", F.xxhash64(text, F.lit(1))).withColumn("t2", F.xxhash64(F.lit(2), text))
 
 
-def _long_enough(threshold: int, words: bool):
-    """Whether a text has a string of threshold length; words are only counted in texts that have the bytes for so many."""
-    if not words:
-        return F.octet_length("text") >= threshold
-    counted = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-    return F.when(F.octet_length("text") >= 2 * threshold - 1, counted >= threshold).otherwise(False)
+def _split(counted: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``counted`` that stand for over a ``CROWDED``-th of ``total`` rows, so fewer than ``CROWDED`` of them and broadcast, and the others."""
+    crowded = F.col("rows") > total / CROWDED
+    return F.broadcast(counted.where(crowded).drop("rows")), counted.where(~crowded).drop("rows")
 
 
 def text_verdicts(docs: DataFrame, threshold: int = 400, *, words: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -400,22 +400,31 @@ def text_verdicts(docs: DataFrame, threshold: int = 400, *, words: bool = False,
     """
     small_batches(docs.sparkSession)
     gram = min(WORD_GRAM if words else GRAM, threshold)
-    texts = keyed(docs.select(F.col(id_col).alias("id"), text_column(text_col).alias("text"))).where(_long_enough(threshold, words))
-    copies = checkpointed(texts.groupBy(*_KEY).agg(F.count("*").alias("copies"), F.min("id").alias("one"), F.min(F.octet_length("text")).cast("long").alias("n_bytes")))
+    least = 2 * threshold - 1 if words else threshold
+    texts = keyed(docs.select(F.col(id_col).alias("id"), text_column(text_col).alias("text"))).where(F.octet_length("text") >= least)
+    copies = texts.groupBy(*_KEY).agg(F.count("*").alias("copies"), F.min("id").alias("one"), F.min(F.octet_length("text")).cast("long").alias("n_bytes"))
     anchored = written(texts.select(*_KEY, "text").mapInArrow(_anchor_rows(threshold, gram, words), ANCHORS), "anchors")
+    if words:  # a text has as many words exactly if it has an anchor
+        copies = copies.join(anchored.select(*_KEY).distinct(), _KEY, "left_semi")
+    copies = checkpointed(copies)
     # a hash stands for a place: 64 bits more, among the few places that share a rank
     places = anchored.withColumn("place", F.xxhash64(*_KEY, "pos"))
-    # written by itself: a join of two plain exchanges is one whose hot ranks Spark can split
-    several = written(places.groupBy("rank").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("rank"), "ranks")
-    places = written(places.join(several, "rank", "left_semi"), "candidates")
+    several = written(places.groupBy("rank").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.count("*").alias("rows")).where("a <> b").select("rank", "rows"), "ranks")
+    crowd, rest = _split(several, anchored.count())
+    # crowded ranks meet their places where these are; the places of the others are dealt out by rank
+    places = written(places.join(crowd, "rank", "left_semi").unionByName(places.join(crowd, "rank", "left_anti").join(rest, "rank", "left_semi")), "candidates")
     discard(anchored)
     discard(several)
     release(docs.sparkSession)
-    covers = checkpointed(places.groupBy("rank", "cover").agg(F.min("place").alias("a"), F.max("place").alias("b")))
+    covers = checkpointed(places.groupBy("rank", "cover").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.count("*").alias("rows")))
     ranks = covers.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1")
-    some = covers.join(ranks, "rank", "left").where("a <> b or n is not null")
-    shared = written(places.join(some, ["rank", "cover"]).select(*_KEY, "pos", "first", "last", "rank", F.expr("a <> b").alias("found"), F.expr("n is not null and place = a").alias("open"), (F.col("n") > HOT).alias("hot")), "shared")
+    some = written(covers.join(ranks, "rank", "left").where("a <> b or n is not null"), "covers")
+    crowd, rest = _split(some, places.count())
+    both = ["rank", "cover"]
+    met = places.join(crowd, both).unionByName(places.join(crowd.select(*both), both, "left_anti").join(rest, both))
+    shared = written(met.select(*_KEY, "pos", "first", "last", "rank", F.expr("a <> b").alias("found"), F.expr("n is not null and place = a").alias("open"), (F.col("n") > HOT).alias("hot")), "shared")
     discard(places)
+    discard(some)
     release(docs.sparkSession)
     found = shared.where("found").select(*_KEY, "first", "last")
     listed = shared.where("open").groupBy(*_KEY).agg(F.collect_set(F.struct("pos", "rank", "hot")).alias("places"))

@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lumenfold.llm import bpe, chat, licenses, mtree, packing, queries, simhash, suffix_dedup, toxicity, warc, winnowing
+from lumenfold.llm import bpe, chat, components, licenses, mtree, packing, queries, simhash, suffix_dedup, toxicity, warc, winnowing
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score string, t1 string, ids string, hot boolean"
@@ -321,6 +321,14 @@ def test_simhash_odd_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_stars_connect_what_links_connect(spark):
+    rng = np.random.default_rng(4)
+    links = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 40, (30, 2))] + [(k, j) for k in range(50, 70) for j in range(50, 70)], "a long, b long")
+    groups = lambda df: {x.node: x.component for x in components.contracted_components(df).collect() if x.node != x.component}
+    fewer = components.starred(links)
+    assert groups(fewer) == groups(links) and fewer.count() < 50 and components.starred(links.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("find", [simhash.components, simhash.contracted_components])
 def test_components_of_a_long_chain(spark, find):
     rows = [(k, k + 1) for k in range(100)] + [(200, 201), (201, 201), (None, 5)]
@@ -351,13 +359,17 @@ def test_suffix_dedup_query(spark):
     got, docs = queries.op9_suffix_dedup(spark, SF).toPandas().set_index("doc_id"), texts(spark)
     want = plain_spans([t.encode() for t in docs.text])
     assert len(got) == len(docs)
-    assert [tuple(got.loc[d]) for d in docs.doc_id] == want
+    assert [tuple(got.loc[d])[:4] for d in docs.doc_id] == want
     assert sum(w[1] > 0 for w in want) > 3
+    runs = collections.Counter(tuple(w[k : k + 51]) for w in map(str.split, docs.text) for k in range(len(w) - 50))
+    repeated = [any(runs[tuple(w[k : k + 51])] > 1 for k in range(len(w) - 50)) for w in map(str.split, docs.text)]
+    assert [got.loc[d].passage_bytes > 0 for d in docs.doc_id] == repeated
 
 
-@pytest.mark.parametrize("hot", [2_000, 2])
-def test_repeats_of_made_up_texts(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "crowded"), [(2_000, 500), (2, 1), (2_000, 1e9)])
+def test_repeats_of_made_up_texts(spark, monkeypatch, hot, crowded):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "CROWDED", crowded)
     rng = np.random.default_rng(11)
     word = lambda n: "".join(rng.choice(list("abcdé "), n))
     shared, other, edge = word(500), word(900), word(405)
