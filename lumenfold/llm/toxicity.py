@@ -1,13 +1,15 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 An n-gram's feature is whether it occurs in the lower-cased text, times the log of the ratio of its smoothed shares in toxic
-and other texts; a logistic regression weighs the features.  The model is fitted on a bounded sample of the labelled rows and is
-a vector of one weight per hash bucket, so scoring is one pass over the texts without a shuffle.
+and other texts; a ridge logistic regression weighs the features.  All n-grams take part whose shares differ beyond chance, in
+either direction.  The model is fitted on a bounded sample of the labelled rows, copies of a text once; gradients are summed
+by Spark, so the driver holds one number for each feature.  It is a vector of one weight per hash bucket, so scoring is
+one pass over the texts without a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,12 +25,13 @@ GRAMS = (4, 5)
 BUCKETS = 1 << 20
 #: Labelled rows that a model is fitted on at most, those of the smallest hashes.
 SAMPLE_ROWS = 20_000
-#: N-grams that a model keeps: of those with a larger share in toxic texts the ones whose shares differ most beyond chance, down to
-#: half the largest difference (in standard deviations), so that the words of a text with many copies don't pass for signs.
-FEATURES, LEAST_SIGN = 256, 0.5
+#: Standard deviations by which an n-gram's shares in toxic and other texts differ at least: of a million buckets half a one reaches it by chance.
+LEAST_Z = 5.0
 #: Added to the counts in the ratios.
 SMOOTH = 1.0
 RIDGE = 0.3
+#: Steps of the fit at most, and the share of the loss that a step must gain to go on.
+STEPS, LEAST_GAIN = 60, 1e-3
 _BLOCK_CHARS = 300_000
 
 
@@ -97,32 +100,72 @@ def scores(model_table: np.ndarray, bias: float, texts: list[str]) -> np.ndarray
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton's method; the bias has no penalty."""
-    x = np.hstack((x, np.ones((len(x), 1))))
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-6
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
-        w -= step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w[:-1], float(w[-1])
+def minimised(measure: Callable[[np.ndarray], tuple[float, np.ndarray]], at: np.ndarray, steps: int = STEPS, gain: float = LEAST_GAIN, memory: int = 8) -> np.ndarray:
+    """A minimum by limited-memory BFGS; ``measure`` gives value and gradient and is called about once a step."""
+    value, slope = measure(at)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        direction, held = slope.copy(), []
+        for move, bend in reversed(moves):
+            a = move @ direction / (move @ bend)
+            held.append(a)
+            direction -= a * bend
+        if moves:
+            direction *= moves[-1][0] @ moves[-1][1] / (moves[-1][1] @ moves[-1][1])
+        else:
+            direction /= max(float(np.linalg.norm(slope)), 1e-12)
+        for (move, bend), a in zip(moves, reversed(held), strict=True):
+            direction += (a - bend @ direction / (move @ bend)) * move
+        length, downhill = 1.0, float(slope @ direction)
+        while True:
+            new = at - length * direction
+            new_value, new_slope = measure(new)
+            if new_value <= value - 1e-4 * length * downhill or length < 1e-6:
+                break
+            length /= 4
+        if new_value >= value:
+            return at
+        if (new - at) @ (new_slope - slope) > 0:
+            moves = [*moves, (new - at, new_slope - slope)][-memory:]
+        done = value - new_value <= gain * value
+        at, value, slope = new, new_value, new_slope
+        if done:
+            return at
+    return at
+
+
+def _measured(ratio: np.ndarray, weights: np.ndarray, bias: float):
+    """Of rows (label, features that the text has) the logistic loss and its gradient, one row a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss, slope, scaled = 0.0, np.zeros(len(ratio) + 1), weights * ratio
+        for batch in batches:
+            y, lists = batch.column(0).to_numpy(), batch.column(1)
+            has, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            rows = np.repeat(np.arange(len(y)), sizes)
+            logit = bias + np.bincount(rows, weights=scaled[has], minlength=len(y))
+            loss += float(np.logaddexp(0, np.where(y == 1, -logit, logit)).sum())
+            off = 1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y
+            slope[:-1] += np.bincount(has, weights=off[rows], minlength=len(ratio)) * ratio
+            slope[-1] += off.sum()
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([slope.tobytes()], pa.binary())], names=["loss", "slope"])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from the labelled rows (labels 0 and 1; others and null ids are left out), at most ``sample_rows`` of them.
 
-    The sampled labels are broadcast, at most ``sample_rows`` of them.  The counts of n-grams are aggregated by Spark;
-    the driver gets ``FEATURES`` n-grams and, of each sampled text, which of these it has.  Without labels of both kinds the model knows nothing and scores
-    every text as the share of toxic labels (one half without labels).
+    The sampled labels are broadcast, at most ``sample_rows`` of them; rows of equal text and label count once.  N-grams are counted and gradients summed
+    by Spark.  Without labels of both kinds the model knows nothing and scores every text as the share of toxic labels (one half without
+    labels); without an n-gram that differs, too.
     """
     spark = docs.sparkSession
     small_batches(spark)
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     sample = usable.orderBy(F.xxhash64("id"), "id", "y").limit(sample_rows)
-    texts = written(docs.select(F.col(id_col).alias("id"), text_column(text_col).alias("text")).join(F.broadcast(sample), "id").select("y", "text"), "labelled")
+    some = docs.select(F.col(id_col).alias("id"), text_column(text_col).alias("text")).join(F.broadcast(sample), "id")
+    texts = written(some.groupBy("y", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")).agg(F.first("text").alias("text")).select("y", "text"), "labelled")
     total = {x["y"]: x["count"] for x in texts.groupBy("y").count().collect()}
     n1, n0 = total.get(1, 0), total.get(0, 0)
     if not n1 or not n0:
@@ -145,32 +188,36 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, i
     counts = texts.mapInArrow(count, "bucket long, c0 long, c1 long").groupBy("bucket").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     p = (F.col("c0") + F.col("c1")) / (n0 + n1)
     z = F.abs(F.col("c1") / n1 - F.col("c0") / n0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1) + F.lit(1e-9))
-    best = counts.where(f"c1 >= 3 and c1 * {n0} > c0 * {n1}").withColumn("z", z).orderBy(F.col("z").desc(), "bucket").limit(FEATURES).collect()
-    best = [x for x in best if x["z"] >= LEAST_SIGN * best[0]["z"]]
-    best.sort(key=lambda x: x["bucket"])
-    buckets = np.array([x["bucket"] for x in best], dtype=np.int64)
-    c0, c1 = (np.array([x[c] for x in best], dtype=float) for c in ("c0", "c1"))
+    best = counts.where(z >= LEAST_Z).orderBy("bucket").toArrow()
+    buckets, c0, c1 = (best.column(x).to_numpy() for x in ("bucket", "c0", "c1"))
+    prior = float(np.log(n1 / n0))
+    if not len(buckets):
+        return Model(buckets, np.zeros(0), prior)
     ratio = np.log((c1 + SMOOTH) / (n1 + 2 * SMOOTH)) - np.log((c0 + SMOOTH) / (n0 + 2 * SMOOTH))
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.zeros(BUCKETS, dtype=bool)
-        wanted[buckets] = True
+        number = np.full(BUCKETS, -1, dtype=np.int32)
+        number[buckets] = np.arange(len(buckets), dtype=np.int32)
         for batch in batches:
-            for text, y in zip(strings(batch.column(1)), batch.column(0).to_pylist(), strict=True):
-                _, got = occurring([text], wanted)
-                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([np.packbits(np.isin(buckets, got)).tobytes()], pa.binary())], names=["y", "has"])
-
-    if not best:
-        return Model(buckets, np.zeros(0), float(np.log(n1 / n0)))
-    rows = texts.mapInArrow(present, "y int, has binary").collect()
-    has = np.array([np.unpackbits(np.frombuffer(x["has"], dtype=np.uint8), count=len(buckets)) for x in rows], dtype=float).reshape(len(rows), len(buckets))
-    y = np.array([x["y"] for x in rows], dtype=float)
-    while True:  # a sign of toxicity can't speak against it: overlapping n-grams whose weights say so are left out
-        weights, bias = _logistic(has * ratio, y, RIDGE)
-        good = weights > 0
-        if good.all():
-            return Model(buckets, weights * ratio, bias)
-        buckets, ratio, has = buckets[good], ratio[good], has[:, good]
+            y, done = batch.column(0).to_numpy(), 0
+            for block in _blocks(strings(batch.column(1))):
+                rows, got = occurring(block, number >= 0)
+                ends = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(block))))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(number[got]))
+                yield pa.RecordBatch.from_arrays([pa.array(y[done : done + len(block)]), lists], names=["y", "has"])
+                done += len(block)
+
+    rows = written(texts.mapInArrow(present, "y int, has array<int>"), "features")
+
+    def measure(w: np.ndarray) -> tuple[float, np.ndarray]:
+        parts = rows.mapInArrow(_measured(ratio, w[:-1], float(w[-1])), "loss double, slope binary").collect()
+        loss = sum(x["loss"] for x in parts) + RIDGE / 2 * float(w[:-1] @ w[:-1])
+        slope = sum((np.frombuffer(x["slope"]) for x in parts), np.zeros(len(w)))
+        slope[:-1] += RIDGE * w[:-1]
+        return loss, slope
+
+    w = minimised(measure, np.append(np.zeros(len(buckets)), prior))
+    return Model(buckets, w[:-1] * ratio, float(w[-1]))
 
 
 def score(docs: DataFrame, model: Model, *, threshold: float = 0.7, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:

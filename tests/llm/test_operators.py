@@ -410,7 +410,7 @@ def test_toxicity_query(spark):
     rank = both.score.rank()
     pos = both.toxic == 1
     auc = (rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
-    assert auc > 0.75 and (both.predicted == both.toxic).mean() > 0.85  # a twentieth of the labels is noise
+    assert auc > 0.9 and (both.predicted == both.toxic).mean() > 0.9  # a twentieth of the labels is noise
 
 
 def test_toxicity_odd_rows(spark):
@@ -424,6 +424,50 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def plain_grams(text: str) -> set[int]:
+    """Buckets of the 4- and 5-grams of the text between line feeds, one by one."""
+    out, framed = set(), f"\n{text.lower()}\n"
+    for n in (4, 5):
+        for k in range(len(framed) - n + 1):
+            h = n
+            for c in framed[k : k + n]:
+                h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % (1 << 64)
+                h ^= h >> 32
+            out.add(h % toxicity.BUCKETS)
+    return out
+
+
+def test_toxicity_model_is_that_of_all_ngrams_by_newtons_method(spark):
+    """Ratios by counting sets, and weights by Newton's method on the dense matrix, of every n-gram that differs beyond chance."""
+    rng = np.random.default_rng(5)
+    words = ["idiot", "moron", "kind", "lovely", "table", "river", "stone", "garden", "Größe"]
+    rows = []
+    for k in range(160):
+        y = int(k % 4 == 0)
+        some = rng.choice(words[4:], 6).tolist() + (rng.choice(words[:2], 1).tolist() if y and k % 3 else rng.choice(words[2:4], 1).tolist())
+        rows.append((k, " ".join(rng.permutation(some)), y))
+    rows += [(200 + k, rows[0][1], rows[0][2]) for k in range(30)]  # copies count once
+    docs, labels = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    once = sorted({(x[1], x[2]) for x in rows})
+    sets, y = [plain_grams(t) for t, _ in once], np.array([v for _, v in once], dtype=float)
+    n1, n0, kept = y.sum(), len(y) - y.sum(), []
+    for g in sorted(set.union(*sets)):
+        c1, c0 = (sum(g in x for x, v in zip(sets, y, strict=True) if v == label) for label in (1, 0))
+        p = (c0 + c1) / (n0 + n1)
+        if abs(c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1) + 1e-9) >= toxicity.LEAST_Z:
+            kept.append((g, np.log((c1 + 1) / (n1 + 2)) - np.log((c0 + 1) / (n0 + 2))))
+    assert model.buckets.tolist() == [g for g, _ in kept] and len({r > 0 for _, r in kept}) == 2
+    x = np.array([[r * (g in s) for g, r in kept] + [1.0] for s in sets])
+    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], toxicity.RIDGE)
+    penalty[-1] = 1e-9
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+    got = toxicity.scores(model.table(), model.bias, [t for t, _ in once])
+    assert np.abs(got - 1 / (1 + np.exp(-x @ w))).max() < 0.05
+
+
 def test_toxicity_blocks_do_not_matter(monkeypatch):
     rows = ["you idiot", "", "a" * 50, "ça va été"]
     table = np.random.default_rng(0).normal(size=toxicity.BUCKETS).astype(np.float32)
