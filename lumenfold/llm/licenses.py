@@ -1,10 +1,10 @@
 """Licence scans: sparse TF-IDF cosine of licence headers and files to templates, then inheritance from directories.
 
-All is DataFrame expressions.  The lines of every whole text are passages; a file that is named like a licence is one passage as a
-whole too.  Inverse document frequencies of the templates' tokens come from all documents; any other token is as
+All is DataFrame expressions.  Passages are windows of one to ``WINDOWS[-1]`` neighbouring lines anywhere in a text, as notices are wrapped over lines
+(comment marks aren't tokens, so they don't matter); a file that is named like a licence is one passage as a whole too.  Inverse document frequencies of the templates' tokens come from all documents; any other token is as
 rare as one that no document has.  A passage can only be as similar as asked to a template if it has one of the
 template's heaviest tokens (without them the rest of its weight is too little), so passages without any such token are left out
-before they are scored, which loses none.
+before they are scored, which loses none; windows are made around the lines that have one.
 
 A file without a licence of its own takes that of the nearest directory above it that has a licence file.
 """
@@ -19,26 +19,34 @@ from pyspark.sql import functions as F
 
 from ._common import checkpointed, text_column
 
-#: Templates (fixed values: the usual wording of licence notices, by SPDX identifier).
+#: Templates (fixed values: the usual wording of licence notices and of the short licences as a whole, by SPDX identifier).
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ],
     "MIT": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
     ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ],
 }
 #: Cosine from which a passage is a licence.
 SIMILAR = 0.8
+#: Lines of a passage.
+WINDOWS = (1, 2, 3, 5, 8, 13, 21)
 #: Names of licence files, in lower case.
 FILE_NAMES = r"^(license|licence|copying|unlicense)([._-].*)?$"
 
@@ -88,11 +96,24 @@ def telling_tokens(vector: dict[str, float], similar: float) -> list[str]:
     return out
 
 
+def _windows(lines: Column, sure: str) -> Column:
+    """First line and size of every window with a line that has a telling token."""
+    n = F.size(lines)
+    told = F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.get(lines, k).rlike(sure))
+    none = F.array().cast("array<struct<line:int,size:int>>")
+
+    def around(k: Column, w: int) -> Column:
+        starts = F.sequence(F.greatest(k - (w - 1), F.lit(0)), F.least(k, n - w))
+        return F.when(n >= w, F.transform(starts, lambda at: F.struct(at.alias("line"), F.lit(w).alias("size")))).otherwise(none)
+
+    return F.array_distinct(F.flatten(F.transform(told, lambda k: F.concat(*[around(k, w) for w in WINDOWS]))))
+
+
 def matches(files: DataFrame, *, templates: dict[str, list[str]] = TEMPLATES, similar: float = SIMILAR, path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """``path, license, similarity, line, passage, is_file``: the best template of each passage that is similar enough.
+    """``path, license, similarity, line, size, passage, is_file``: the best template of each passage that is similar enough.
 
-    Similarities are rounded to nine places, so that summation order makes no difference; ties go to the first template.  ``line`` counts from 0, -1 is a whole licence file.  Null texts are empty and have no passages; a null path is a
-    file that is in no directory; rows that repeat a path each count.
+    Similarities are rounded to nine places, so that summation order makes no difference; ties go to the first template.  ``line`` counts from 0, -1 is a whole licence file, and
+    ``size`` is the number of lines.  Null texts are empty and have no passages; a null path is a file that is in no directory; rows that repeat a path each count.
     """
     n, df = document_frequencies(files, templates, text_col)
     vectors, idf, other = _weights(n, df, templates)
@@ -101,9 +122,10 @@ def matches(files: DataFrame, *, templates: dict[str, list[str]] = TEMPLATES, si
     named = F.coalesce(F.lower(F.element_at(F.split(F.col(path_col), "/"), -1)).rlike(FILE_NAMES), F.lit(False))
     lines = F.split(text, "\n", -1)
     sure = r"(?i)(?<![a-z])(?:" + "|".join(t.replace(".", r"\.") for t in telling) + r")(?![a-z])"
-    passages = files.where(text.rlike(sure)).select(F.col(path_col).alias("path"), named.alias("is_file"), F.posexplode(lines).alias("line", "passage"))
-    whole = files.where(named & text.rlike(sure)).select(F.col(path_col).alias("path"), named.alias("is_file"), F.lit(-1).alias("line"), text.alias("passage"))
-    held = checkpointed(passages.where(F.col("passage").rlike(sure)).unionByName(whole).withColumn("n", F.monotonically_increasing_id()))
+    some = files.where(text.rlike(sure)).select(F.col(path_col).alias("path"), named.alias("is_file"), lines.alias("lines"))
+    passages = some.select("path", "is_file", "lines", F.explode(_windows(F.col("lines"), sure)).alias("w")).select("path", "is_file", "w.line", "w.size", F.array_join(F.slice("lines", F.col("w.line") + 1, F.col("w.size")), "\n").alias("passage"))
+    whole = some.where("is_file").select("path", "is_file", F.lit(-1).alias("line"), F.size("lines").alias("size"), F.array_join("lines", "\n").alias("passage"))
+    held = checkpointed(passages.unionByName(whole).withColumn("n", F.monotonically_increasing_id()))
     # the templates' few weights are broadcast, a row for each token (and template)
     spark = files.sparkSession
     known = F.broadcast(spark.createDataFrame([(t, x) for t, x in idf.items()], "token string, idf double"))
@@ -114,7 +136,7 @@ def matches(files: DataFrame, *, templates: dict[str, list[str]] = TEMPLATES, si
     dots = weighed.join(models, "token").groupBy("n", "rank", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(size, "n").withColumn("similarity", F.round(F.col("dot") / F.col("size"), 9)).where(F.col("similarity") >= similar)
     best = scored.groupBy("n").agg(F.max(F.struct("similarity", (-F.col("rank")).alias("r"), "license")).alias("best"))
-    return held.join(best, "n").select("path", F.col("best.license").alias("license"), F.col("best.similarity").alias("similarity"), "line", "passage", "is_file")
+    return held.join(best, "n").select("path", F.col("best.license").alias("license"), F.col("best.similarity").alias("similarity"), "line", "size", "passage", "is_file")
 
 
 def parents(path: Column) -> Column:
@@ -126,14 +148,15 @@ def parents(path: Column) -> Column:
 def scan(files: DataFrame, *, templates: dict[str, list[str]] = TEMPLATES, similar: float = SIMILAR, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """``path, license, similarity, origin, origin_path`` of every file (row).
 
-    ``origin`` is ``header`` or ``file`` (its own text, the most similar passage, ties to the first line), ``inherited`` (the licence file of the nearest directory above, ties to the
+    ``origin`` is ``header`` or ``file`` (its own text, the most similar passage, ties to the first line and then the fewest lines), ``inherited`` (the licence file of the nearest directory above, ties to the
     smallest path) or ``none``.  A null path inherits nothing.
     """
     found = checkpointed(matches(files, templates=templates, similar=similar, path_col=path_col, text_col=text_col))
-    order = F.struct(F.col("similarity"), (-F.col("line")).alias("n"), F.col("license"))
+    order = F.struct(F.col("similarity"), (-F.col("line")).alias("l"), (-F.col("size")).alias("s"), F.col("license"))
     own = found.groupBy("path").agg(F.max_by(F.struct("license", "similarity", "is_file"), order).alias("own"))
-    given = found.where("is_file and path is not null").withColumn("directory", F.array_join(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), "/"))
-    given = checkpointed(given.groupBy("directory").agg(F.min_by(F.struct("license", "similarity", "path"), F.struct("path", -F.col("similarity"), "license")).alias("given")))
+    parts = F.split("path", "/")
+    given = own.where("own.is_file and path is not null").withColumn("directory", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/"))
+    given = checkpointed(given.groupBy("directory").agg(F.min_by(F.struct("own.license", "own.similarity", "path"), "path").alias("given")))
     rows = files.select(F.col(path_col).alias("path"))
     named = rows.where("path is not null").distinct()
     above = named.select("path", F.explode(parents(F.col("path"))).alias("d")).select("path", "d.depth", "d.directory")

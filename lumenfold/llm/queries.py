@@ -28,10 +28,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    # the corpus has no paths: a source is a directory, its languages are directories in it, and a document is a file
-    files = docs.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    # the corpus has no paths: a source is a directory, its languages are directories in it, and a document is a file; texts of one or
+    # two lines stand for licence files, which give what they hold, if it is a licence, to their directory
+    name = F.when(F.size(F.split("text", "\n", -1)) <= 2, F.lit("LICENSE.")).otherwise("")
+    files = docs.select(F.concat_ws("/", "source", "lang", F.concat(name, F.col("doc_id").cast("string"))).alias("path"), "text")
     found = licenses.scan(files)
-    return found.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "path", "license", F.floor(F.col("similarity") * 1e6 + 0.5).cast("long").alias("similarity_ppm"), "origin", "origin_path")
+    return found.select(F.regexp_extract("path", r"(-?\d+)$", 1).cast("long").alias("doc_id"), "path", "license", F.floor(F.col("similarity") * 1e6 + 0.5).cast("long").alias("similarity_ppm"), "origin", "origin_path")
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +132,8 @@ def _license_sql() -> str:
     rows = ", ".join("({}, '{}', '{}')".format(k, name, x.replace("'", "''")) for k, (name, x) in enumerate((n, x) for n, texts in licenses.TEMPLATES.items() for x in texts))
     tok = r"regexp_extract_all(lower({0}), '[a-z]+|[0-9]+(?:\.[0-9]+)*')"
     return f"""WITH tpl(rank, license, text) AS (VALUES {rows}),
-d AS (SELECT row_number() OVER () AS r, doc_id, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, coalesce(text, '') AS text FROM documents),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, len(string_split(coalesce(text, 'x'), chr(10))) <= 2 AND text IS NOT NULL AS is_file,
+  concat_ws('/', source, lang) AS directory, concat_ws('/', source, lang, CASE WHEN len(string_split(text, chr(10))) <= 2 THEN 'LICENSE.' ELSE '' END || CAST(doc_id AS VARCHAR)) AS path FROM documents),
 n AS (SELECT count(*) AS n FROM d),
 tt AS (SELECT rank, license, unnest({tok.format("text")}) AS token FROM tpl),
 voc AS (SELECT DISTINCT token FROM tt),
@@ -138,16 +141,21 @@ df AS (SELECT token, count(*) AS df FROM (SELECT r, unnest(list_distinct({tok.fo
 idf AS (SELECT token, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM voc LEFT JOIN df USING (token) CROSS JOIN n),
 tv AS (SELECT rank, license, token, count(*) * any_value(idf) AS w FROM tt JOIN idf USING (token) GROUP BY rank, license, token),
 tn AS (SELECT rank, sqrt(sum(w * w)) AS size FROM tv GROUP BY rank),
-l AS (SELECT r, unnest(u) AS passage, generate_subscripts(u, 1) - 1 AS line FROM (SELECT r, string_split(text, chr(10)) AS u FROM d)),
-lt AS (SELECT r, line, unnest({tok.format("passage")}) AS token FROM l),
-lw AS (SELECT r, line, token, count(*) * coalesce(any_value(idf), (SELECT ln(1 + n) + 1 FROM n)) AS w FROM lt LEFT JOIN idf USING (token) GROUP BY r, line, token),
-ls AS (SELECT r, line, sqrt(sum(w * w)) AS size FROM lw GROUP BY r, line),
-dots AS (SELECT r, line, rank, license, sum(lw.w * tv.w) AS dot FROM lw JOIN tv USING (token) GROUP BY r, line, rank, license),
-sim AS (SELECT r, line, rank, license, round(dot / tn.size / ls.size, 9) AS s FROM dots JOIN tn USING (rank) JOIN ls USING (r, line)),
-one AS (SELECT * FROM sim WHERE s >= {licenses.SIMILAR} QUALIFY row_number() OVER (PARTITION BY r, line ORDER BY s DESC, rank) = 1),
-best AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY r ORDER BY s DESC, line, license DESC) = 1)
-SELECT d.doc_id, path, license, CAST(floor(s * 1e6 + 0.5) AS BIGINT) AS similarity_ppm, CASE WHEN license IS NULL THEN 'none' ELSE 'header' END AS origin, CASE WHEN license IS NOT NULL THEN path END AS origin_path
-FROM d LEFT JOIN best USING (r)"""
+u AS (SELECT r, is_file, string_split(text, chr(10)) AS u FROM d),
+win AS (SELECT r, unnest(range(0, len(u) - k + 1)) AS line, k, u FROM u, (SELECT unnest({list(licenses.WINDOWS)}) AS k) WHERE len(u) >= k),
+l AS (SELECT r, line, k, array_to_string(u[line + 1 : line + k], chr(10)) AS passage FROM win UNION ALL SELECT r, -1, len(u), array_to_string(u, chr(10)) FROM u WHERE is_file),
+lt AS (SELECT r, line, k, unnest({tok.format("passage")}) AS token FROM l),
+lw AS (SELECT r, line, k, token, count(*) * coalesce(any_value(idf), (SELECT ln(1 + n) + 1 FROM n)) AS w FROM lt LEFT JOIN idf USING (token) GROUP BY r, line, k, token),
+ls AS (SELECT r, line, k, sqrt(sum(w * w)) AS size FROM lw GROUP BY r, line, k),
+dots AS (SELECT r, line, k, rank, license, sum(lw.w * tv.w) AS dot FROM lw JOIN tv USING (token) GROUP BY r, line, k, rank, license),
+sim AS (SELECT r, line, k, rank, license, round(dot / tn.size / ls.size, 9) AS s FROM dots JOIN tn USING (rank) JOIN ls USING (r, line, k)),
+one AS (SELECT * FROM sim WHERE s >= {licenses.SIMILAR} QUALIFY row_number() OVER (PARTITION BY r, line, k ORDER BY s DESC, rank) = 1),
+best AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY r ORDER BY s DESC, line, k, license DESC) = 1),
+given AS (SELECT directory, path AS g_path, license AS g_license, s AS g_s FROM d JOIN best USING (r) WHERE is_file QUALIFY row_number() OVER (PARTITION BY directory ORDER BY path) = 1)
+SELECT d.doc_id, path, coalesce(license, g_license) AS license, CAST(floor(coalesce(s, g_s) * 1e6 + 0.5) AS BIGINT) AS similarity_ppm,
+  CASE WHEN license IS NOT NULL THEN CASE WHEN is_file THEN 'file' ELSE 'header' END WHEN g_license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN license IS NOT NULL THEN path ELSE g_path END AS origin_path
+FROM d LEFT JOIN best USING (r) LEFT JOIN given USING (directory)"""
 
 
 def oracle_sql() -> dict[str, str]:
