@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from ._common import checkpointed, small_batches, written
 
 #: Vectors in a block, entries in a leaf page and in an inner page, queries searched together.
-BLOCK, LEAF, FANOUT, QUERIES = 16_384, 1024, 16, 1_024
+BLOCK, LEAF, FANOUT, QUERIES = 16_384, 256, 8, 1_024
 PAGES = T.StructType(
     [
         T.StructField("dim", T.IntegerType()),
@@ -98,6 +98,7 @@ class Pages:
         # every partial sum of a product is at most the greatest squared length: exact in single precision up to 2**24
         self._kind = np.float32 if self.length2 < 1 << 24 else np.float64
         self._pages = {}
+        self.computed = 0  # inner products so far
         for x in rows.itertuples(index=False):
             get = lambda data, kind: np.frombuffer(data, dtype=kind)
             self._pages[x.page] = (x.leaf, get(x.ids, "<i8"), get(x.vectors, "<f8").reshape(-1, dim).astype(self._kind), get(x.to_parent, "<f8"), get(x.radius, "<f8"), get(x.child, "<i4"))
@@ -125,6 +126,7 @@ class Pages:
                         vectors, radius, child = vectors[open_], radius[open_], child[open_]
             if not len(vectors):
                 continue
+            self.computed += len(vectors)
             products = (vectors if vectors.dtype == kind else vectors.astype(kind)) @ query
             if leaf:
                 if own is not None:
