@@ -25,8 +25,9 @@ from pyspark.sql import types as T
 
 from ._common import checkpointed, raw, scratch_dir, small_batches
 
-#: Records in a WARC file at most (a bound on what reading one back takes), and payload bytes from which copies are revisits.
-FILE_RECORDS = 2_000
+#: Largest payload of a size class and records in its WARC files at most, so a file that is read back holds about 32 MB or a single record.
+SIZE_CLASSES = ((1 << 14, 2_000), (1 << 19, 64), (1 << 23, 4), (1 << 31, 1))
+#: Payload bytes from which copies are revisits.
 REVISIT_BYTES = 100
 #: The ARC URL record fields of each version, and WARC 1.1's names.
 ARC_FIELDS = {
@@ -107,9 +108,17 @@ def split_http(content: bytes) -> tuple[bytes, bytes]:
     return b"", content
 
 
-def converted(data: bytes) -> Iterator[tuple]:
-    """The values of :data:`ENTRY` for each record of an ARC file."""
-    for fields, content in parse_arc(data):
+def _readable(data: bytes, strict: bool) -> Iterator[tuple[dict[str, str], bytes]]:
+    try:
+        yield from parse_arc(data)
+    except ValueError:
+        if strict:
+            raise
+
+
+def converted(data: bytes, strict: bool = True) -> Iterator[tuple]:
+    """The values of :data:`ENTRY` for each record of an ARC file; if not ``strict``, of those before the first that can't be read."""
+    for fields, content in _readable(data, strict):
         head, payload = split_http(content)
         digest = hashlib.sha256(payload).hexdigest()
         d = fields["Archive-date"].ljust(14, "0")
@@ -122,17 +131,17 @@ def converted(data: bytes) -> Iterator[tuple]:
 _ARROW_ENTRY = pa.schema([(f.name, pa.binary() if isinstance(f.dataType, T.BinaryType) else pa.string()) for f in ENTRY])
 
 
-def from_arc(files: DataFrame, content_col: str = "content") -> DataFrame:
+def from_arc(files: DataFrame, content_col: str = "content", *, strict: bool = True) -> DataFrame:
     """:data:`ENTRY` columns of the records of ARC files, a file a row (as Spark's binaryFile source gives them).
 
-    Null and empty contents have no records; an unknown version or a declared length beyond the file fails.
+    Null and empty contents have no records; an unknown version or a declared length beyond the file fails, or ends the file if not ``strict``.
     """
     small_batches(files.sparkSession, 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in raw(batch.column(0)):
-                rows = list(converted(data))
+                rows = list(converted(data, strict))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW_ENTRY, strict=True)], schema=_ARROW_ENTRY)
 
@@ -167,10 +176,10 @@ def rendered(refers_to: Column, refers_to_uri: Column, marks: dict[str, Column])
     return F.concat(*parts)
 
 
-def write_warc(records: DataFrame, path: str, record_col: str = "record", compression: str = "gzip") -> None:
-    """Writes records (rendered text) as WARC files of at most :data:`FILE_RECORDS` each, compressed as a whole (or ``none``)."""
-    whole = records.select(F.when(F.col(record_col).isNull(), F.raise_error(F.lit("a record is null"))).otherwise(F.col(record_col)).alias("value"))
-    whole.write.option("lineSep", _GAP.decode()).option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+def write_warc(records: DataFrame, path: str, record_col: str = "record", compression: str = "gzip", file_records: int = SIZE_CLASSES[0][1]) -> None:
+    """Writes records (rendered text, null ones left out) as WARC files of at most ``file_records`` each, compressed as a whole (or ``none``), to a new folder or beside older ones."""
+    whole = records.select(F.col(record_col).alias("value")).where("value is not null")
+    whole.write.mode("append").option("lineSep", _GAP.decode()).option("compression", compression).option("maxRecordsPerFile", file_records).text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -183,7 +192,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         first, *lines = data[at:end].decode().split("\r\n")
         if not first.startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
-        head = dict(x.split(": ", 1) for x in lines)
+        head = {name: value.strip() for name, _, value in (x.partition(":") for x in lines)}
         begin = end + len(_GAP)
         stop = begin + int(head["Content-Length"])
         if data[stop : stop + 4] != _GAP:
@@ -232,20 +241,27 @@ def archive_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     """Pages through ARC and WARC files and back: ``page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, uri``.
 
     Of records with equal payloads of at least :data:`REVISIT_BYTES` bytes the one with the smallest page id is a response and the others revisit it; all
-    smaller ones are responses.  Null html is an empty payload, null URLs are ``-``, rows that repeat an id are told apart by order of URL: one is the response.
+    smaller ones are responses.  Null html is an empty payload, null URLs are ``-``.  Of rows that repeat the smallest id those of the first URL are responses, all of them if that is the same too.
     Pages with a null id are always responses.  The files stay at ``path`` (by default a new folder in the shared one).
     """
     spark = pages.sparkSession
     path = path or f"{scratch_dir(spark).rstrip('/')}/lumenfold-scratch/warc-{uuid.uuid4().hex}"
-    entries = from_arc(pages_as_arc(pages, id_col=id_col, url_col=url_col, html_col=html_col))
-    entries = entries.withColumn("page", F.expr(r"try_cast(regexp_extract(cast(http_head as string), 'X-Page: (-?\\d*)', 1) as bigint)")).withColumn("size", F.octet_length("payload"))
-    entries = entries.withColumn("alike", F.when((F.col("size") >= REVISIT_BYTES) & F.col("page").isNotNull(), F.col("payload_digest")))
-    first = checkpointed(entries.where("alike is not null").groupBy("alike").agg(F.min(F.struct("page", "uri", "record_id")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("alike").alias("same"), "first"))
-    told = entries.join(first, F.col("alike") == F.col("same"), "left")
-    again = F.coalesce((F.col("first.page") != F.col("page")) | (F.col("first.uri") != F.col("uri")), F.lit(False))
-    told = told.withColumn("record_type", F.when(again, "revisit").otherwise(F.col("record_type")))
-    marks = {"X-Page": F.col("page"), "X-Payload-Length": F.col("size"), "X-Refers-To-Page": F.when(again, F.col("first.page"))}
-    write_warc(told.select(rendered(F.col("first.record_id"), F.col("first.uri"), marks).alias("record")), path)
+
+    def entries(some: DataFrame) -> DataFrame:
+        told = from_arc(pages_as_arc(some, id_col=id_col, url_col=url_col, html_col=html_col))
+        told = told.withColumn("page", F.expr(r"try_cast(regexp_extract(cast(http_head as string), 'X-Page: (-?\\d*)', 1) as bigint)")).withColumn("size", F.octet_length("payload"))
+        return told.withColumn("alike", F.when((F.col("size") >= REVISIT_BYTES) & F.col("page").isNotNull(), F.col("payload_digest")))
+
+    alike = entries(pages).where("alike is not null").groupBy("alike").agg(F.min(F.struct("page", "uri", "record_id")).alias("first"), F.count("*").alias("n"))
+    first = checkpointed(alike.where("n > 1").select(F.col("alike").alias("same"), "first"))
+    size, least = F.coalesce(F.octet_length(F.col(html_col).cast("string")), F.lit(0)), -1
+    for most, file_records in SIZE_CLASSES:
+        told = entries(pages.where((size > least) & (size <= most))).join(first, F.col("alike") == F.col("same"), "left")
+        again = F.coalesce((F.col("first.page") != F.col("page")) | (F.col("first.uri") != F.col("uri")), F.lit(False))
+        told = told.withColumn("record_type", F.when(again, "revisit").otherwise(F.col("record_type")))
+        marks = {"X-Page": F.col("page"), "X-Payload-Length": F.col("size"), "X-Refers-To-Page": F.when(again, F.col("first.page"))}
+        write_warc(told.select(rendered(F.col("first.record_id"), F.col("first.uri"), marks).alias("record")), path, file_records=file_records)
+        least = most
     back = read_warc(spark.read.format("binaryFile").load(path).select("content"))
     # what a response holds is measured again; a revisit only tells
     body = F.expr(r"substring(block, instr(cast(block as string), '\r\n\r\n') + 4)")

@@ -508,6 +508,19 @@ def test_topk_odd_rows(spark, monkeypatch):
     assert mtree.search(mtree.build(table.limit(0)), table.limit(0)).count() == 0
 
 
+def test_bounds_leave_most_products_uncomputed_where_vectors_cluster(monkeypatch):
+    monkeypatch.setattr(mtree, "LEAF", 32)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 16))
+    centres = 640 * centres / np.linalg.norm(centres, axis=1)[:, None]
+    v = np.floor(np.repeat(centres, 50, axis=0) + rng.normal(size=(2000, 16)) * 8)
+    tree = mtree.Pages(16, mtree.Tree(np.arange(2000), v).rows(16, 0).to_pandas())
+    for q in range(0, 2000, 100):
+        ids, best = tree.search(q, v[q], 20)
+        assert list(zip((-best).tolist(), ids.tolist(), strict=True)) == sorted((-s, i) for i, s in enumerate((v @ v[q]).tolist()) if i != q)[:20]
+    assert tree.computed < 0.5 * 20 * 2000
+
+
 # ---- chat
 
 
@@ -652,6 +665,24 @@ def test_warc_odd_rows(spark):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SIZE_CLASSES", ((100, 3), (1 << 31, 1)))
+    pages = spark.createDataFrame([(k, f"u{k}", "x" * (20 * k)) for k in range(12)], "page_id long, url string, html string").coalesce(1)
+    got = warc.archive_pages(pages, path=str(tmp_path / "out"))
+    assert got.count() == 12 and {x.page_id: x.payload_bytes for x in got.collect()} == {k: 20 * k for k in range(12)}
+    held = [len(list(warc.parse_warc(f.read_bytes()))) for f in (tmp_path / "out").glob("part-*")]
+    assert sorted(held) == [1] * 6 + [3, 3]
+
+
+def test_bad_records_end_an_archive_or_the_job(spark):
+    records = [(f"http://{k}", "1.2.3.4", "20200102030405", "text/html", b"x" * 50) for k in range(3)]
+    files = spark.createDataFrame([(warc.arc_file(records)[:-20],), (warc.arc_file(records),), (b"nothing 1 2 x\n",), (None,)], "content binary")
+    assert warc.from_arc(files, strict=False).count() == 5
+    with pytest.raises(Exception, match="declares"):
+        warc.from_arc(files).count()
+    assert next(warc.parse_warc(b"WARC/1.1\r\nWARC-Type:resource\r\nContent-Length:2\r\n\r\nab\r\n\r\n")) == ({"WARC-Type": "resource", "Content-Length": "2"}, b"ab")
+
+
 @pytest.mark.parametrize("version", ["1", "2"])
 def test_arc_versions(version):
     records = [("http://a/ x", "1.2.3.4", "20200102030405", "text/html", b"HTTP/1.0 200 OK\n\nbody\nhttp://b 1 2 3 4\n"), ("dns:a", "", "2020", "text/dns", b"raw\r\n\r\n"), ("http://c", "-", "20200102030405", "image/png", bytes(range(256)))]
