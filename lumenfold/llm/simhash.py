@@ -247,9 +247,6 @@ def wide_links(prints: DataFrame, *, radius: int = WIDE_RADIUS) -> DataFrame:
     other = filed.select("value", F.col("node").alias("b"), F.col("check").alias("check_b")).join(crowded, "value", "left_anti")
     close = F.bit_count(F.col("check").bitwiseXOR(F.col("check_b"))) <= LANE_RADIUS
     met = looked.join(other, "value").where((F.col("node") != F.col("b")) & close).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    of = lambda name: prints.select(F.col("node").alias(name), *[F.col(f).alias(f"{name}_{f}") for f in _LANES])
-    apart = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in _LANES[1:]), F.bit_count(F.col("a_f0").bitwiseXOR(F.col("b_f0"))))
-    near = met.join(of("a"), "a").join(of("b"), "b").where(apart <= radius).select("a", "b")
     rows = F.ceil(F.col("count") / WIDE_BLOCK).cast("int").alias("rows")
     here = written(looked.join(crowded, "value").select("value", "node", rows), "lookers")
     table = filed.join(crowded, "value").select("value", "node", rows)
@@ -262,7 +259,13 @@ def wide_links(prints: DataFrame, *, radius: int = WIDE_RADIUS) -> DataFrame:
     entries = dealt(table).withColumn("i", deal("rows")).withColumn("j", every("cols")).withColumn("filed", F.lit(True)).select(*columns)
     asked = dealt(here).withColumn("j", deal("cols")).withColumn("i", every("rows")).withColumn("filed", F.lit(False)).select(*columns)
     whole = entries.unionByName(asked).join(prints.select("node", *_LANES), "node")
-    return near.unionByName(whole.groupBy("value", "i", "j").applyInArrow(_compared(radius), _LINK))
+    forest = checkpointed(starred(whole.groupBy("value", "i", "j").applyInArrow(_compared(radius), _LINK)))
+    # what crowded values have linked needs no further links
+    labelled = prints.join(contracted_components(forest), "node", "left").withColumn("group", F.coalesce("component", "node"))
+    of = lambda name: labelled.select(F.col("node").alias(name), *[F.col(x).alias(f"{name}_{x}") for x in ("group", *_LANES)])
+    apart = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in _LANES[1:]), F.bit_count(F.col("a_f0").bitwiseXOR(F.col("b_f0"))))
+    near = met.join(of("a"), "a").join(of("b"), "b").where((F.col("a_group") != F.col("b_group")) & (apart <= radius)).select("a", "b")
+    return near.unionByName(forest)
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
