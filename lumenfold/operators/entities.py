@@ -37,18 +37,22 @@ def of_labels(entities: Column, labels: tuple[str, ...] = LABELS) -> Column:
     return F.array_distinct(F.transform(kept, lambda e: F.trim(e["text"])))
 
 
+def _with_norms(names: Column, then) -> Column:
+    """``then(normalised names)``, with these made once."""
+    return F.get(F.transform(F.array(F.transform(names, lambda x: normalize_entity(x))), then), F.lit(0))
+
+
 def grouped(entities: str | Column) -> Column:
     """Canonical names: those that are alike without case, accents and so on become the first of them (map of name to canonical)."""
     e = F.array_distinct(column(entities))
-    norms = F.transform(e, lambda x: normalize_entity(x))
-    return F.map_from_arrays(e, F.transform(e, lambda x: F.get(e, F.array_position(norms, normalize_entity(x)).cast("int") - 1)))
+    return _with_norms(e, lambda norms: F.map_from_arrays(e, F.transform(norms, lambda n: F.get(e, F.array_position(norms, n).cast("int") - 1))))
 
 
 def canonical(entities: str | Column) -> Column:
     """The canonical names only; more than :data:`MOST_ENTITIES` stay as they are."""
     e = F.array_distinct(column(entities))
-    norms = F.transform(e, lambda x: normalize_entity(x))
-    return F.when(F.size(e) > MOST_ENTITIES, e).otherwise(F.filter(e, lambda x, i: F.array_position(norms, F.get(norms, i)) == i + 1))
+    first = _with_norms(e, lambda norms: F.filter(e, lambda _, i: F.array_position(norms, F.get(norms, i)) == i + 1))
+    return F.when(F.size(e) > MOST_ENTITIES, e).otherwise(first)
 
 
 def exact_pairs(summary: DataFrame, source: DataFrame, item: str, entity: str = "entity") -> DataFrame:

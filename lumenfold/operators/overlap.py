@@ -1,12 +1,13 @@
 """Overlap of texts: n-gram overlap, longest common subsequences, continuity of consecutive steps.
 
-Clipped n-gram counts are joins and sums (or array expressions within a row), so they stay in the JVM.  Longest common
-subsequences of token arrays need a table for each pair: they run in Arrow batches.
+Both texts of a pair stand in one row, so nothing is shuffled: clipped n-gram counts and longest common subsequences run in
+Arrow batches.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -44,18 +45,51 @@ def score(overlap: Column, target: Column, prediction: Column) -> Column:
     return F.struct(p.alias("precision"), r.alias("recall"), f.alias("f1"))
 
 
-def rouge_n(pairs: DataFrame, n: int, *, keys: list[str], target: str = "target", prediction: str = "prediction") -> DataFrame:
-    """``keys, overlap, n_target, n_prediction, score`` of each pair: n-grams are counted on both sides and joined.
+COUNTS = T.StructType([T.StructField(x, T.LongType()) for x in ("overlap", "n_target", "n_prediction")])
 
-    Both sides are counted in one aggregation, so a pair's n-grams meet with one shuffle.  ``keys`` must identify a row.
+
+def _counted(n: int, stem: bool):
+    """Clipped n-gram counts of two texts; texts that come again in a batch are counted once."""
+
+    @F.pandas_udf(COUNTS)
+    def run(target: pd.Series, prediction: pd.Series) -> pd.DataFrame:
+        grams, stems = {}, {}
+
+        def of(text: str | None) -> Counter:
+            if text not in grams:
+                w = plain_tokens(text or "")
+                if stem:
+                    w = [stems.setdefault(x, porter_stem(x)) if x not in stems else stems[x] for x in w]
+                grams[text] = Counter(w if n == 1 else zip(*(w[k:] for k in range(n)), strict=False))
+            return grams[text]
+
+        rows = []
+        for t, p in zip(target, prediction, strict=True):
+            a, b = of(t), of(p)
+            small, large = (a, b) if len(a) < len(b) else (b, a)
+            rows.append((sum(min(k, large[g]) for g, k in small.items() if g in large), a.total(), b.total()))
+        return pd.DataFrame(rows, columns=COUNTS.names, dtype="int64")
+
+    return run
+
+
+def rouge_n(pairs: DataFrame, n: int, *, keys: list[str], target: str = "target", prediction: str = "prediction", stem: bool = False) -> DataFrame:
+    """``keys, overlap, n_target, n_prediction, score`` of each pair (row): clipped n-gram counts, of stems with ``stem``.
+
+    Both texts stand in the row, so nothing is shuffled; null and empty texts have no n-grams.
     """
-    sides = F.array(F.struct(F.lit(0).alias("side"), ngrams(tokens(target), n).alias("grams")), F.struct(F.lit(1).alias("side"), ngrams(tokens(prediction), n).alias("grams")))
-    # outer: a pair without n-grams keeps a row
-    grams = pairs.select(*keys, F.explode(sides).alias("s")).select(*keys, "s.side", F.explode_outer("s.grams").alias("gram"))
-    of = lambda side: F.count_if((F.col("side") == side) & F.col("gram").isNotNull())
-    counts = grams.groupBy(*keys, "gram").agg(of(0).alias("t"), of(1).alias("p"))
-    out = counts.groupBy(*keys).agg(F.sum(F.least("t", "p")).alias("overlap"), F.sum("t").alias("n_target"), F.sum("p").alias("n_prediction"))
-    return out.withColumn("score", score(F.col("overlap"), F.col("n_target"), F.col("n_prediction")))
+    counted = pairs.select(*keys, _counted(n, stem)(target, prediction).alias("__c")).select(*keys, "__c.*")
+    return counted.withColumn("score", score(F.col("overlap"), F.col("n_target"), F.col("n_prediction")))
+
+
+def rouge_scores(pairs: DataFrame, *, keys: list[str], target: str = "target", prediction: str = "prediction", stem: bool = True) -> DataFrame:
+    """``keys`` and a line for each metric and measure as the stemming tool prints them: ``rouge-1`` to ``rouge-4`` and ``rouge-l``, in percent to three places."""
+    parts = [_counted(n, stem)(target, prediction).alias(f"n{n}") for n in range(1, 5)]
+    sides = [stemmed(tokens(c)) if stem else tokens(c) for c in (target, prediction)]
+    made = pairs.select(*keys, *parts, rouge_l(*sides).alias("l"))
+    found = [(f"rouge-{n}", score(F.col(f"n{n}.overlap"), F.col(f"n{n}.n_target"), F.col(f"n{n}.n_prediction"))) for n in range(1, 5)] + [("rouge-l", F.col("l"))]
+    lines = F.array(*[F.struct(F.lit(name).alias("metric"), *[(F.floor(s[m] * 1e5 + 0.5) / 1e3).alias(m) for m in SCORES.names]) for name, s in found])
+    return made.select(*keys, F.explode(lines).alias("x")).select(*keys, "x.*")
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
@@ -73,11 +107,14 @@ def lcs_length(a: list[str], b: list[str]) -> int:
 
 
 def lcs_members(a: list[str], b: list[str]) -> set[int]:
-    """Positions in ``a`` of one longest common subsequence."""
+    """Positions in ``a`` of one longest common subsequence; the table is filled a row at a time."""
+    if not a or not b:
+        return set()
+    names = {w: k for k, w in enumerate(dict.fromkeys(b))}
+    right = np.fromiter((names[w] for w in b), dtype=np.int64, count=len(b))
     table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    for i, x in enumerate(a, 1):
-        for j, y in enumerate(b, 1):
-            table[i, j] = table[i - 1, j - 1] + 1 if x == y else max(table[i - 1, j], table[i, j - 1])
+    for i, w in enumerate(a, 1):
+        table[i, 1:] = np.maximum.accumulate(np.maximum(table[i - 1, 1:], table[i - 1, :-1] + (right == names.get(w, -1))))
     out, i, j = set(), len(a), len(b)
     while i and j:
         if a[i - 1] == b[j - 1]:
@@ -139,9 +176,18 @@ def adjacent(steps: DataFrame, item: str, step: str, text: str) -> DataFrame:
     return steps.select(item, step, F.lag(text).over(w).alias("target"), F.col(text).alias("prediction")).where("target is not null")
 
 
-def continuity(steps: DataFrame, item: str, step: str, text: str, *, n: int = 2) -> DataFrame:
-    """``item, pairs, precision, recall, f1``: mean n-gram overlap of consecutive steps (items with one step have none)."""
-    scored = rouge_n(adjacent(steps, item, step, text), n, keys=[item, step])
+def continuity(steps: DataFrame, item: str, step: str, text: str, *, n: int | str = 2) -> DataFrame:
+    """``item, pairs, precision, recall, f1``: mean overlap of consecutive steps (items with one step have none).
+
+    ``n`` is the length of n-grams, or ``l`` or ``lsum`` for longest common subsequences of texts or sentences.
+    """
+    pairs = adjacent(steps, item, step, text)
+    if n == "l":
+        scored = pairs.select(item, rouge_l(tokens("target"), tokens("prediction")).alias("score"))
+    elif n == "lsum":
+        scored = pairs.select(item, rouge_lsum("target", "prediction").alias("score"))
+    else:
+        scored = rouge_n(pairs, n, keys=[item, step])
     return scored.groupBy(item).agg(F.count("*").alias("pairs"), *[F.avg(f"score.{m}").alias(m) for m in SCORES.names])
 
 

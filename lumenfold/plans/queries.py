@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranges, stats, text
@@ -260,21 +260,22 @@ def _scored(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, "overlap", "n_target", "n_prediction", _ppm("score.f1").alias("f1_ppm"))
 
 
-_PAIRS = "SELECT doc_id, 0 AS side, text FROM documents UNION ALL SELECT doc_id, 1, b.text FROM documents d, benchmark b WHERE b.item_id = d.doc_id % 40"
+_PAIRS = "SELECT doc_id, 0 AS side, text FROM documents UNION ALL SELECT doc_id, 1, b.text FROM documents d, benchmark b WHERE b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)"
 
 
 def _rouge(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("target"), (F.col("doc_id") % 40).alias("item_id"))
-    pairs = docs.join(_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("prediction")), "item_id")
+    items = _table(spark, sf_dir, "benchmark")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("target"), (F.col("doc_id") % items.count()).alias("item_id"))
+    pairs = docs.join(items.select("item_id", F.col("text").alias("prediction")), "item_id")
     return _scored(overlap.rouge_n(pairs, n, keys=["doc_id"]), "doc_id")
 
 
-@query(f"WITH {_grams_sql(1, _PAIRS, 'doc_id')} SELECT d.doc_id, {_SCORED} FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 LEFT JOIN sums USING (doc_id)")
+@query(f"WITH {_grams_sql(1, _PAIRS, 'doc_id')} SELECT d.doc_id, {_SCORED} FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark) LEFT JOIN sums USING (doc_id)")
 def rouge1_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rouge(spark, sf_dir, 1)
 
 
-@query(f"WITH {_grams_sql(2, _PAIRS, 'doc_id')} SELECT d.doc_id, {_SCORED} FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 LEFT JOIN sums USING (doc_id)")
+@query(f"WITH {_grams_sql(2, _PAIRS, 'doc_id')} SELECT d.doc_id, {_SCORED} FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark) LEFT JOIN sums USING (doc_id)")
 def rouge2_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rouge(spark, sf_dir, 2)
 
@@ -405,9 +406,9 @@ def spending_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- joins and tables
 
-@query("WITH a AS (SELECT doc_id AS k, length(text) AS l FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id AS k, quality AS r FROM labels) SELECT CASE WHEN b.k IS NULL THEN 'left_only' WHEN a.k IS NULL THEN 'right_only' ELSE 'both' END AS side, CAST(count(*) AS BIGINT) AS n, CAST(coalesce(sum(l), 0) AS BIGINT) AS chars FROM a FULL JOIN b ON a.k = b.k GROUP BY 1")
+@query("WITH a AS (SELECT doc_id AS k, length(text) AS l FROM documents), b AS (SELECT doc_id AS k, quality AS r FROM labels) SELECT CASE WHEN b.k IS NULL THEN 'left_only' WHEN a.k IS NULL THEN 'right_only' ELSE 'both' END AS side, CAST(count(*) AS BIGINT) AS n, CAST(coalesce(sum(l), 0) AS BIGINT) AS chars FROM a FULL JOIN b ON a.k = b.k GROUP BY 1")
 def outer_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select("doc_id", F.length("text").cast("long").alias("v"))
+    a = _table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("v"))
     out = analysis.outer_compared(a, _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("v")), "doc_id", "v")
     return out.groupBy("side").agg(F.count("*").alias("n"), F.coalesce(F.sum("left"), F.lit(0)).alias("chars"))
 
@@ -457,9 +458,9 @@ def split_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NORM = "trim(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(replace(replace(replace(strip_accents(lower({0})), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), '''s$', ''), '&', 'and'), '^(the |a |an |la |le |il |el |los |las )', ''), '[^a-z0-9_\\s]', '', 'g'), '\\s+', ' ', 'g'))"
 
 
-@query(f"WITH w AS (SELECT doc_id, lang, unnest(string_split(split_part(text, chr(10), 1), ',')) AS e FROM documents WHERE lang IN ('en', 'fr', 'es')) SELECT lang, {_NORM.format('e')} AS norm, CAST(count(*) AS BIGINT) AS n FROM w GROUP BY 1, 2")
+@query(f"WITH w AS (SELECT doc_id, lang, unnest(regexp_split_to_array(text, '[,\\n]')) AS e FROM documents) SELECT lang, {_NORM.format('e')} AS norm, CAST(count(*) AS BIGINT) AS n FROM w GROUP BY 1, 2")
 def entity_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = _table(spark, sf_dir, "documents").where(F.col("lang").isin("en", "fr", "es")).select("lang", F.explode(F.split(F.substring_index("text", "\n", 1), ",")).alias("e"))
+    parts = _table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "[,\n]", -1)).alias("e"))
     return parts.groupBy("lang", text.normalize_entity("e").alias("norm")).agg(F.count("*").alias("n"))
 
 
@@ -487,14 +488,16 @@ def entity_exact_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def entity_fuzzy_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of each conversation's last turn and the names of the turns before it that are most like them."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", entities.recognised("text").alias("e"))
-    each = rows.select("conv_id", "turn", F.posexplode("e").alias("ord", "entity"))
-    return entities.fuzzy_pairs(each.where("turn = 1").select("conv_id", "entity").distinct(), each.where("turn = 0"), "conv_id").withColumn("ratio", _ppm("ratio"))
+    told = rows.withColumn("is_last", F.col("turn") == F.max("turn").over(Window.partitionBy("conv_id")))
+    each = told.select("conv_id", "turn", "is_last", F.posexplode("e").alias("pos", "entity")).select("conv_id", "is_last", F.struct("turn", "pos").alias("ord"), "entity")
+    return entities.fuzzy_pairs(each.where("is_last").select("conv_id", "entity").distinct(), each.where("not is_last"), "conv_id").withColumn("ratio", _ppm("ratio"))
 
 
-@query("WITH p AS (SELECT doc_id, unnest(u) AS w, generate_subscripts(u, 1) AS i FROM (SELECT doc_id, string_split(split_part(text, chr(10), 1), ' ') AS u FROM documents)), f AS (SELECT doc_id, w, min(i) AS i FROM p GROUP BY doc_id, w) SELECT doc_id, md5(string_agg(w, '|' ORDER BY i)) AS digest, CAST(count(*) AS BIGINT) AS n FROM f GROUP BY doc_id")
+@query("WITH p AS (SELECT doc_id, unnest(u) AS w, generate_subscripts(u, 1) AS i FROM (SELECT doc_id, string_split(text, ' ') AS u FROM documents)), f AS (SELECT doc_id, w, min(i) AS i FROM p GROUP BY doc_id, w) SELECT doc_id, md5(string_agg(w, '|' ORDER BY i)) AS digest, CAST(count(*) AS BIGINT) AS n FROM f GROUP BY doc_id")
 def entity_dedup_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.split(F.substring_index("text", "\n", 1), " ")).alias("w"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.split("text", " ", -1)).alias("w"))
     return rows.select("doc_id", F.md5(F.array_join("w", "|").cast("binary")).alias("digest"), F.size("w").cast("long").alias("n"))
 
 
@@ -553,9 +556,9 @@ def line_split_reveal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.length("s.content").cast("long").alias("content_chars"), F.length("s.reveal").cast("long").alias("reveal_chars"))
 
 
-@query("SELECT doc_id, md5(regexp_replace(regexp_replace(replace(text, 'of the', 'OF THE'), '\\bThe\\b', 'Thee', 'g'), '\\band\\b', 'AND', 'g')) AS digest, CAST((length(text) - length(replace(text, 'of the', ''))) // 6 AS BIGINT) AS n FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, md5(regexp_replace(regexp_replace(replace(text, 'of the', 'OF THE'), '\\bThe\\b', 'Thee', 'g'), '\\band\\b', 'AND', 'g')) AS digest, CAST((length(text) - length(replace(text, 'of the', ''))) // 6 AS BIGINT) AS n FROM documents")
 def name_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").where("lang = 'en'")
+    rows = _table(spark, sf_dir, "documents")
     return rows.select("doc_id", F.md5(text.corrected("text", {"of the": "OF THE", "The": "Thee", "and": "AND"}).cast("binary")).alias("digest"), text.occurrences("text", "of the", fold_case=False).alias("n"))
 
 
@@ -580,12 +583,17 @@ def html_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", text.occurrences("html", "<p", fold_case=False).alias("paragraphs"), F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)).alias("host"))
 
 
-@query("WITH l AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'Yes' ELSE 'No' END AS q FROM labels), r AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'Yes' ELSE 'N/A' END AS q FROM labels WHERE doc_id % 5 <> 0) SELECT CASE WHEN r.doc_id IS NULL THEN 'left_only' WHEN l.q = replace(r.q, 'N/A', 'No') THEN 'same' ELSE 'different' END AS status, CAST(count(*) AS BIGINT) AS n FROM l LEFT JOIN r USING (doc_id) GROUP BY 1")
+@query("WITH l AS (SELECT doc_id, CASE WHEN n_chars > 1000 THEN 'Yes' ELSE 'No' END AS q FROM documents), r AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'Yes' ELSE 'N/A' END AS q FROM labels) SELECT CASE WHEN r.doc_id IS NULL THEN 'left_only' WHEN l.doc_id IS NULL THEN 'right_only' WHEN l.q = replace(r.q, 'N/A', 'No') THEN 'same' ELSE 'different' END AS status, CAST(count(*) AS BIGINT) AS n FROM l FULL JOIN r USING (doc_id) GROUP BY 1")
 def assessment_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = _table(spark, sf_dir, "labels")
-    a = labels.select("doc_id", F.lit("culprit_correct").alias("field"), F.when(F.col("quality") == 1, "Yes").otherwise("No").alias("value"))
-    b = labels.where("doc_id % 5 <> 0").select("doc_id", F.lit("culprit_correct").alias("field"), F.when(F.col("toxic") == 1, "Yes").otherwise("N/A").alias("value"))
-    return assessment.compared(a, b, ["doc_id", "field"]).groupBy("status").agg(F.count("*").alias("n"))
+    return _judged(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as one run's assessments (long ones are right), labels as another's."""
+    yes = lambda c, no: F.when(c, "Yes").otherwise(no)
+    a = _table(spark, sf_dir, "documents").select("doc_id", F.lit("culprit_correct").alias("field"), yes(F.col("n_chars") > 1000, "No").alias("value"))
+    b = _table(spark, sf_dir, "labels").select("doc_id", F.lit("culprit_correct").alias("field"), yes(F.col("toxic") == 1, "N/A").alias("value"))
+    return assessment.compared(a, b, ["doc_id", "field"])
 
 
 @query("WITH t AS (SELECT lang, 1.0 / len([x FOR x IN string_split(text, ',') IF trim(x) <> '']) AS p FROM documents WHERE len([x FOR x IN string_split(text, ',') IF trim(x) <> '']) > 0) SELECT lang, CAST(floor(avg(p) * 1e6 + 0.5) AS BIGINT) AS guess_ppm FROM t GROUP BY lang")

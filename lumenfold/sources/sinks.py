@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import spreadsheet_safe
@@ -34,9 +34,9 @@ def append_new(df: DataFrame, path: str, keys: list[str]) -> int:
     new = df.dropDuplicates(keys)
     if exists(spark, path):
         new = not_done(new, spark.read.parquet(path), keys)
-    before = spark.read.parquet(path).count() if exists(spark, path) else 0
-    new.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    seen = Observation()
+    new.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
 
 
 def export_json(df: DataFrame, path: str, key: str) -> None:
@@ -62,7 +62,7 @@ def export_collection(spark: SparkSession, items: DataFrame, info: dict, path: s
 def export_csv(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
     """A CSV folder with a header; texts are safe to open as a spreadsheet."""
     safe = [spreadsheet_safe(f.name).alias(f.name) if f.dataType.typeName() == "string" else F.col(f.name) for f in df.schema]
-    df.select(*safe).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    df.select(*safe).write.mode(mode).option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def log_usage(df: DataFrame, path: str) -> None:

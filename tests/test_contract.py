@@ -27,6 +27,11 @@ def test_the_rest_works_without_the_optional_parts(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
 
 
+def test_an_optional_part_that_lacks_a_library_leaves_the_rest(tmp_path):
+    code = "import sys; sys.modules['tiktoken'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, env=os.environ | {"PYTHONPATH": ROOT})
+
+
 def test_nothing_else_imports_the_optional_subpackage():
     for folder, _, files in os.walk(os.path.join(ROOT, "lumenfold")):
         if os.path.basename(folder) != "llm":
