@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import checkpointed, small_batches, strings, written
+from ._common import checkpointed, release, small_batches, strings, written
 from .components import components, contracted_components, starred
 from .suffix_dedup import mixed, word_units
 
@@ -240,13 +240,15 @@ def wide_links(prints: DataFrame, *, radius: int = WIDE_RADIUS) -> DataFrame:
     key = lambda lane, k: (F.shiftrightunsigned(_LANES[lane], SEGMENT * k).bitwiseAND(low) + F.lit((lane * SEGMENTS + k) << SEGMENT)).cast("int")
     spans = [F.struct(key(lane, k).alias("value"), F.col(_LANES[(lane + 1) % LANES]).alias("check")) for lane in range(LANES) for k in range(SEGMENTS)]
     flips = F.array(*[F.lit(1 << k) for k in range(SEGMENT)])
-    filed = prints.select("node", F.explode(F.array(*spans)).alias("s")).select("node", "s.value", "s.check")
     around = F.array_insert(F.transform(F.filter(flips, lambda m: F.col("value").bitwiseAND(m) == 0), lambda m: F.col("value").bitwiseOR(m)), 1, F.col("value"))
-    looked = filed.select("node", "check", F.explode(around).alias("value"))
+
+    def spread(some: DataFrame, *names: str) -> tuple[DataFrame, DataFrame]:
+        """What is filed and what is looked up."""
+        filed = some.select(*names, F.explode(F.array(*spans)).alias("s")).select(*names, "s.value", "s.check")
+        return filed, filed.select(*names, "check", F.explode(around).alias("value"))
+
+    filed, looked = spread(prints, "node")
     crowded = checkpointed(filed.groupBy("value").count().where(F.col("count") > WIDE_FILED))
-    other = filed.select("value", F.col("node").alias("b"), F.col("check").alias("check_b")).join(crowded, "value", "left_anti")
-    close = F.bit_count(F.col("check").bitwiseXOR(F.col("check_b"))) <= LANE_RADIUS
-    met = looked.join(other, "value").where((F.col("node") != F.col("b")) & close).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     rows = F.ceil(F.col("count") / WIDE_BLOCK).cast("int").alias("rows")
     here = written(looked.join(crowded, "value").select("value", "node", rows), "lookers")
     table = filed.join(crowded, "value").select("value", "node", rows)
@@ -260,11 +262,17 @@ def wide_links(prints: DataFrame, *, radius: int = WIDE_RADIUS) -> DataFrame:
     asked = dealt(here).withColumn("j", deal("cols")).withColumn("i", every("rows")).withColumn("filed", F.lit(False)).select(*columns)
     whole = entries.unionByName(asked).join(prints.select("node", *_LANES), "node")
     forest = checkpointed(starred(whole.groupBy("value", "i", "j").applyInArrow(_compared(radius), _LINK)))
-    # what crowded values have linked needs no further links
-    labelled = prints.join(contracted_components(forest), "node", "left").withColumn("group", F.coalesce("component", "node"))
-    of = lambda name: labelled.select(F.col("node").alias(name), *[F.col(x).alias(f"{name}_{x}") for x in ("group", *_LANES)])
+    release(prints.sparkSession)
+    # what crowded values have linked meets no more; a group's number travels along (null, which takes no space, without a group)
+    grouped = checkpointed(prints.join(contracted_components(forest).withColumnRenamed("component", "group"), "node", "left"))
+    filed, looked = spread(grouped, "node", "group")
+    other = filed.select("value", F.col("node").alias("b"), F.col("check").alias("check_b"), F.col("group").alias("group_b")).join(crowded, "value", "left_anti")
+    close = F.bit_count(F.col("check").bitwiseXOR(F.col("check_b"))) <= LANE_RADIUS
+    strange = F.coalesce(F.col("group") != F.col("group_b"), F.lit(True))
+    met = looked.join(other, "value").where((F.col("node") != F.col("b")) & strange & close).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    of = lambda name: prints.select(F.col("node").alias(name), *[F.col(f).alias(f"{name}_{f}") for f in _LANES])
     apart = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in _LANES[1:]), F.bit_count(F.col("a_f0").bitwiseXOR(F.col("b_f0"))))
-    near = met.join(of("a"), "a").join(of("b"), "b").where((F.col("a_group") != F.col("b_group")) & (apart <= radius)).select("a", "b")
+    near = met.join(of("a"), "a").join(of("b"), "b").where(apart <= radius).select("a", "b")
     return near.unionByName(forest)
 
 
