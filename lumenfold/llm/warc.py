@@ -254,14 +254,19 @@ def archive_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
 
     alike = entries(pages).where("alike is not null").groupBy("alike").agg(F.min(F.struct("page", "uri", "record_id")).alias("first"), F.count("*").alias("n"))
     first = checkpointed(alike.where("n > 1").select(F.col("alike").alias("same"), "first"))
-    size, least = F.coalesce(F.octet_length(F.col(html_col).cast("string")), F.lit(0)), -1
-    for most, file_records in SIZE_CLASSES:
-        told = entries(pages.where((size > least) & (size <= most))).join(first, F.col("alike") == F.col("same"), "left")
+    size, least, of_class = F.coalesce(F.octet_length(F.col(html_col).cast("string")), F.lit(0)), -1, []
+    for most, _ in SIZE_CLASSES:
+        of_class.append((size > least) & (size <= most))
+        least = most
+    held = pages.agg(*[F.count_if(c) for c in of_class]).head()
+    for k, (_, file_records) in enumerate(SIZE_CLASSES):
+        if k and not held[k]:
+            continue
+        told = entries(pages.where(of_class[k])).join(first, F.col("alike") == F.col("same"), "left")
         again = F.coalesce((F.col("first.page") != F.col("page")) | (F.col("first.uri") != F.col("uri")), F.lit(False))
         told = told.withColumn("record_type", F.when(again, "revisit").otherwise(F.col("record_type")))
         marks = {"X-Page": F.col("page"), "X-Payload-Length": F.col("size"), "X-Refers-To-Page": F.when(again, F.col("first.page"))}
         write_warc(told.select(rendered(F.col("first.record_id"), F.col("first.uri"), marks).alias("record")), path, file_records=file_records)
-        least = most
     back = read_warc(spark.read.format("binaryFile").load(path).select("content"))
     # what a response holds is measured again; a revisit only tells
     body = F.expr(r"substring(block, instr(cast(block as string), '\r\n\r\n') + 4)")

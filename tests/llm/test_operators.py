@@ -678,7 +678,7 @@ def test_bad_records_end_an_archive_or_the_job(spark):
     records = [(f"http://{k}", "1.2.3.4", "20200102030405", "text/html", b"x" * 50) for k in range(3)]
     files = spark.createDataFrame([(warc.arc_file(records)[:-20],), (warc.arc_file(records),), (b"nothing 1 2 x\n",), (None,)], "content binary")
     assert warc.from_arc(files, strict=False).count() == 5
-    with pytest.raises(Exception, match="declares"):
+    with pytest.raises(Exception, match="declares|invalid literal"):  # either bad file may be met first
         warc.from_arc(files).count()
     assert next(warc.parse_warc(b"WARC/1.1\r\nWARC-Type:resource\r\nContent-Length:2\r\n\r\nab\r\n\r\n")) == ({"WARC-Type": "resource", "Content-Length": "2"}, b"ab")
 
