@@ -29,6 +29,7 @@ NOT_PERSONS = (
     "January", "February", "March", "April", "May", "June",
     "July", "August", "September", "October", "November", "December",
 )
+#: Fixed value: what a capitalised name looks like.
 NAME_PATTERN = r"\b[A-Z][a-zA-Z]*(?:'s?|\-[A-Z][a-zA-Z]*)*(?:\s+[A-Z][a-zA-Z]*(?:'s?|\-[A-Z][a-zA-Z]*)*)*\b"
 _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēėęěğīįłńňōőřśšťūůűųźżž"
 _PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeeegiilnnoorsstuuuuzzz"

@@ -104,6 +104,11 @@ def top(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFr
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def first(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n rows in an explicit order: a run that stops after so many items."""
+    return rows.orderBy(*order).limit(n)
+
+
 def bands(rows: DataFrame, order: list[Column], size: int, *keys: str) -> DataFrame:
     """Adds ``band``: 0 for the first ``size`` rows of each key in the given order, 1 for the next, and so on."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -270,6 +270,12 @@ def length_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.bands(rows, [F.col("n_chars").desc(), F.col("doc_id")], 7, "source").select("source", "doc_id", F.col("band").cast("long").alias("band"))
 
 
+@query("SELECT source, doc_id FROM documents ORDER BY source DESC, doc_id LIMIT 25")
+def stopped_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that a run stopped after 25 of them has, in an order by source and id."""
+    return analysis.first(_table(spark, sf_dir, "documents").select("source", "doc_id"), [F.col("source").desc(), F.col("doc_id")], 25)
+
+
 @query("SELECT CAST(count(*) FILTER (event_type = 'click') AS BIGINT) AS successful, CAST(count(*) FILTER (event_type = 'view') AS BIGINT) AS failed, CAST(count(*) FILTER (event_type NOT IN ('click', 'view')) AS BIGINT) AS skipped FROM events")
 def run_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("event_type")
@@ -311,7 +317,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'concat' WHEN 1 THEN 'iterative' WHEN 2 THEN NULL ELSE 'concat' END AS method, CASE WHEN doc_id % 2 = 0 THEN CAST(n_chars AS VARCHAR) END AS size FROM documents")
 def run_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 4
-    folder = F.when(k == 0, "bmds_concat_ab").when(k == 1, "bmds_iterative_cd").when(k == 2, "bmds").otherwise("x_iterative_concat")
+    folder = F.when(k == 0, "tales_concat_ab").when(k == 1, "tales_iterative_cd").when(k == 2, "tales").otherwise("x_iterative_concat")
     command = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("run --size  "), F.col("n_chars").cast("string"), F.lit(" --x"))).otherwise("run --x 1")
     return _table(spark, sf_dir, "documents").select("doc_id", text.method_name(folder).alias("method"), text.option_of(command, "size").alias("size"))
 
@@ -508,7 +514,7 @@ def _run_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _run_summaries(spark: SparkSession, sf_dir: str, at: str) -> DataFrame:
     """Summaries of conversations by the run that makes one for each step."""
     steps = _steps(spark, sf_dir).select(F.col("conv_id").cast("string").alias("item_id"), F.col("steps").alias("chunks"))
-    return runs.summarize_run(steps, at, "bmds", "independent", provider=_head)[1]
+    return runs.summarize_run(steps, at, "tales", "independent", provider=_head)[1]
 
 
 _RUN_SUMMARIES = "su AS (SELECT CAST(conv_id AS VARCHAR) AS item_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, substr(text, 1, 50) AS summary FROM conversations), so AS (SELECT CAST(conv_id AS VARCHAR) AS item_id, string_agg(text, chr(10) ORDER BY turn, role, text) AS content FROM conversations GROUP BY conv_id)"
@@ -518,8 +524,8 @@ _RUN_SUMMARIES = "su AS (SELECT CAST(conv_id AS VARCHAR) AS item_id, row_number(
 def run_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run that chunks, started on half of the items and then on all: what is there already isn't made again."""
     at, items = scratch(spark, "chunks"), _run_items(spark, sf_dir)
-    runs.chunk_run(items.where(F.contains("content", F.lit("the"))), at, "bmds", "fixed_size", 1000, rebalance=False)
-    _, made = runs.chunk_run(items, at, "bmds", "fixed_size", 1000, rebalance=False)
+    runs.chunk_run(items.where(F.contains("content", F.lit("the"))), at, "tales", "fixed_size", 1000, rebalance=False)
+    _, made = runs.chunk_run(items, at, "tales", "fixed_size", 1000, rebalance=False)
     return made.where("error is null").select("item_id", F.size("chunks").cast("long").alias("chunks"))
 
 
@@ -536,7 +542,7 @@ _RUN_PAIRS = "SELECT item_id, k, 0 AS side, content AS text FROM su JOIN so USIN
 def run_overlap_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of every range's summary with its item's text, in one run."""
     at = scratch(spark, "overlap")
-    _, made = runs.overlap_multi_run(_run_summaries(spark, sf_dir, at), _run_sources(spark, sf_dir), at, "bmds")
+    _, made = runs.overlap_multi_run(_run_summaries(spark, sf_dir, at), _run_sources(spark, sf_dir), at, "tales")
     return made.select("item_id", F.col("range_num").cast("long").alias("range_num"), "overlap", "n_target", "n_prediction", _ppm("score.f1").alias("f1_ppm"))
 
 
@@ -547,7 +553,7 @@ def _run_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + _RUN_SUMMARIES + ", last AS (SELECT item_id, max(k) AS k FROM su GROUP BY item_id), " + _grams_sql(1, _RUN_PAIRS, "item_id,k") + f" SELECT last.item_id, {_SCORED} FROM last LEFT JOIN sums USING (item_id, k)")
 def run_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = scratch(spark, "overlap")
-    _, made = runs.overlap_run(_run_summaries(spark, sf_dir, at), _run_sources(spark, sf_dir), at, "bmds")
+    _, made = runs.overlap_run(_run_summaries(spark, sf_dir, at), _run_sources(spark, sf_dir), at, "tales")
     return made.select("item_id", "overlap", "n_target", "n_prediction", _ppm("score.f1").alias("f1_ppm"))
 
 
@@ -558,14 +564,14 @@ def run_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def run_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = scratch(spark, "continuity")
-    _, made = runs.continuity_run(_run_summaries(spark, sf_dir, at), at, "bmds")
+    _, made = runs.continuity_run(_run_summaries(spark, sf_dir, at), at, "tales")
     return made.select("item_id", "pairs", _ppm("precision").alias("precision"))
 
 
 @query()
 def run_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = scratch(spark, "entities")
-    _, made = runs.entity_run(_turns(spark, sf_dir), _run_sources(spark, sf_dir), at, "bmds")
+    _, made = runs.entity_run(_turns(spark, sf_dir), _run_sources(spark, sf_dir), at, "tales")
     return made.select("item_id", "pairs", "n_summary", "n_source", _ppm("coverage.recall").alias("recall_ppm"))
 
 
@@ -584,7 +590,7 @@ _RUN_CLAIMS = "cl AS (SELECT CAST(conv_id AS VARCHAR) AS item_id, turn + 1 AS k,
 
 @query("WITH " + _RUN_CLAIMS + " SELECT item_id, CAST(k AS BIGINT) AS summary_index, CAST(len(c) AS BIGINT) AS claims FROM cl")
 def run_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, made = runs.claims_run(_turns(spark, sf_dir), scratch(spark, "claims"), "bmds", provider=_bullets)
+    _, made = runs.claims_run(_turns(spark, sf_dir), scratch(spark, "claims"), "tales", provider=_bullets)
     return made.select("item_id", F.col("summary_index").cast("long").alias("summary_index"), F.size("claims").cast("long").alias("claims"))
 
 
@@ -592,9 +598,9 @@ def run_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of the last turn against the whole conversation, three at most: all their words are there."""
     at = scratch(spark, "faithfulness")
-    _, made = runs.claims_run(_turns(spark, sf_dir), at, "bmds", provider=_bullets)
+    _, made = runs.claims_run(_turns(spark, sf_dir), at, "tales", provider=_bullets)
     worded = made.withColumn("claims", F.filter("claims", lambda c: F.size(overlap.tokens(c)) >= 0))
-    _, told = runs.faithfulness_run(worded, _run_sources(spark, sf_dir), at, "bmds", last_only=True, claim_stop=3)
+    _, told = runs.faithfulness_run(worded, _run_sources(spark, sf_dir), at, "tales", last_only=True, claim_stop=3)
     return told.select("item_id", F.col("summary_index").cast("long").alias("summary_index"), "claims", "faithful")
 
 
@@ -618,8 +624,8 @@ def run_solve_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = scratch(spark, "solve")
     items = _steps(spark, sf_dir).select(F.col("conv_id").cast("string").alias("item_id"), F.col("steps").alias("segments"))
     truth = items.select(F.col("item_id").alias("story_id"), F.substring(F.get("segments", F.lit(0)), 1, 5).alias("culprits"))
-    _, solved = runs.solve_run(items, at, "bmds", spec="all", solver=_solver)
-    _, scored = runs.score_run(solved, truth, at, "bmds", judge=_judge)
+    _, solved = runs.solve_run(items, at, "tales", spec="all", solver=_solver)
+    _, scored = runs.score_run(solved, truth, at, "tales", judge=_judge)
     return scored.select("item_id", F.col("solution.main_culprits").alias("culprit"), F.col("culprit.assessment")["culprit_correct"].alias("correct"), F.size("culprit_errors").cast("long").alias("errors"))
 
 
