@@ -109,6 +109,13 @@ def continuity_rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _continuity(spark, sf_dir, "l")
 
 
+ORACLES["rouge_l"] = (
+    "WITH RECURSIVE " + _LAG.rstrip().rstrip(",") + _LCS.format(a=_WORDS.format("target"), b=_WORDS.format("prediction"))
+    + """, m AS (SELECT conv_id, turn, CASE WHEN np > 0 THEN o / np ELSE 0 END AS p, CASE WHEN nt > 0 THEN o / nt ELSE 0 END AS r FROM s)
+SELECT conv_id, turn, CAST(floor(p * 1e6 + 0.5) AS BIGINT) AS precision, CAST(floor(r * 1e6 + 0.5) AS BIGINT) AS recall, CAST(floor(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END * 1e6 + 0.5) AS BIGINT) AS f1 FROM m"""
+)
+
+
 @query()
 def continuity_rouge_lsum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _continuity(spark, sf_dir, "lsum")
