@@ -6,7 +6,7 @@ import os
 import pytest
 
 from lumenfold.operators import overlap
-from lumenfold.plans import more, queries
+from lumenfold.plans import comparisons, more, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,7 +20,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", [n for n in queries.ORACLES if hasattr(more, n) and queries.QUERIES[n].__module__ == more.__name__])
+@pytest.mark.parametrize("name", [n for n in queries.ORACLES if queries.QUERIES[n].__module__ in (more.__name__, comparisons.__name__)])
 def test_query_equals_its_sql(spark, duck, name):
     df, told = queries.QUERIES[name](spark, SF), duck.execute(queries.ORACLES[name])
     at = [x[0] for x in told.description]
