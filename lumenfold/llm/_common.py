@@ -24,15 +24,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the Arrow batches of this session: at most ``rows`` rows and 16 MB each."""
+    """Bound the Arrow batches of this session from now on: at most ``rows`` rows and, whatever is set last, 16 MB each."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; a new local one only if the session names none."""
+    """The shared folder for checkpoints; a new local one only if a session of one machine names none."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("a cluster needs a folder that all its machines share: set spark.checkpoint.dir")
     if not named:
         named = tempfile.mkdtemp(prefix="lumenfold-")
         sc.setCheckpointDir(named)

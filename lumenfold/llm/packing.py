@@ -133,16 +133,17 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 def pack(pieces: DataFrame, *, capacity: int = 1024, length_col: str = "length", salt: list[str | Column] | None = None) -> DataFrame:
     """Adds ``sequence_id`` (unique numbers, not dense) and ``offset`` to rows with lengths from 1 to ``capacity``.
 
-    ``salt`` names the columns whose hash deals rows into buckets (all but the length if not given); rows that agree in all of
-    them share a bucket, so it must not be a column with hot values.  Empty input gives an empty result, ties go to any order, other
-    columns pass through (older ones of these two names are replaced).  A null or out-of-range length fails the job: the caller has to cut first.
+    Rows are dealt into buckets by their places in a checkpoint, so repeated rows and null ids spread like all others, and a lost task deals them
+    again as before.  ``salt`` names columns to deal by instead; rows that agree in all of them share a bucket, so they must not have hot values.
+    Empty input gives an empty result, ties go to any order, other columns pass through (older ones of these two names are replaced).
+    Rows with a null length or one out of range are in no sequence: both new columns are null.
     """
     spark = pieces.sparkSession
     small_batches(spark, 10_000)
     pieces = checkpointed(pieces.drop("sequence_id", "offset", "__bucket"))  # counted and then dealt out: made once
     total = pieces.count()
     buckets = max(1, round(total / BUCKET_PIECES))
-    salt = salt if salt is not None else [c for c in pieces.columns if c != length_col]
+    salt = salt if salt is not None else [F.monotonically_increasing_id()]
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     place, names = pieces.columns.index(length_col), schema.names
 
@@ -152,10 +153,11 @@ def pack(pieces: DataFrame, *, capacity: int = 1024, length_col: str = "length",
         def packed() -> Iterator[pa.RecordBatch]:
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()
             for batch in whole:
-                lengths = batch.column(place).to_numpy(zero_copy_only=False)
-                assert lengths.min() >= 1 and lengths.max() <= capacity, f"lengths must be from 1 to {capacity}"
-                bins, offsets = best_two_fit(lengths, capacity)
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 2], pa.array(bins * buckets + bucket), pa.array(offsets)], names=names)
+                lengths = batch.column(place).cast(pa.int64()).fill_null(0).to_numpy()
+                held_back = (lengths < 1) | (lengths > capacity)
+                bins, offsets = np.zeros((2, len(lengths)), dtype=np.int64)
+                bins[~held_back], offsets[~held_back] = best_two_fit(lengths[~held_back], capacity)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 2], pa.array(bins * buckets + bucket, mask=held_back), pa.array(offsets, mask=held_back)], names=names)
 
         for batch in batches:
             keys = batch.column(len(names) - 2).to_numpy()

@@ -6,7 +6,8 @@ Hamming ball around them, and the whole distance of what is found there is verif
 
 Values of a segment under which more than ``FILED`` fingerprints are filed aren't looked up one against all.
 Everything filed under or looking there is linked through midpoints instead: two fingerprints are at most two
-bits apart exactly if some value is at most one bit from both, so 65 rows for each of them give the same groups.
+bits apart exactly if some value is at most one bit from both, so 65 rows for each of them give the same groups.  No value has more
+than 65 of them around it, and no fingerprint more than some 2,000 links, however many fingerprints a segment is hot with.
 
 :func:`near_copies` looks for texts of a given Jaccard similarity instead: wide fingerprints, indexed in the same way, find
 candidates, and every link between two texts is one of exact similarity.
@@ -83,7 +84,8 @@ def links(prints: DataFrame, *, radius: int = 2, segments: int = 2) -> DataFrame
     """``a, b``: node numbers of fingerprints that are linked, directly or through rows of the same result.
 
     ``prints`` has one row for each different fingerprint: ``node`` (a long of its own, not negative or less than the least value) and ``fp``.
-    Connectivity is that of all pairs at most ``radius`` bits apart (the midpoint form for hot segments needs radius 2).
+    Connectivity is that of all pairs at most ``radius`` bits apart.  A fingerprint of a hot segment has a row for each value within half the radius, rounded
+    up: 65 for radius 1 and 2, 2,081 for 3 and 4, too many to be of use from 5 on.
     """
     width = 64 // segments
     ball = F.array(*[F.lit(x).cast("long") for x in _balls(width, radius // segments)])
@@ -99,13 +101,12 @@ def links(prints: DataFrame, *, radius: int = 2, segments: int = 2) -> DataFrame
     near = looked.join(other, ["seg", "value"]).where((F.col("node") < F.col("b")) & (far <= radius)).select(F.col("node").alias("a"), "b").distinct()
     if not some_hot:
         return near
-    if radius != 2:
-        raise ValueError("hot segments need radius 2")
     crowd = looked.join(hot, ["seg", "value"]).select("node", "fp").distinct()
-    middles = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << k)).cast("long") for k in range(64)])
-    around = crowd.select("node", F.explode(F.transform(middles, lambda x: F.col("fp").bitwiseXOR(x))).alias("middle"))
-    first = around.groupBy("middle").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("middle", "a")
-    through = around.join(first, "middle").where("node > a").select("a", F.col("node").alias("b")).distinct()
+    # of two fingerprints at most radius bits apart some middle is within half of that, rounded down, from one and rounded up from the other
+    middles = F.array(*[F.lit(_signed(x)).cast("long") for x in _balls(64, (radius + 1) // 2)])
+    around = crowd.select("node", F.explode(F.transform(middles, lambda x: F.struct(F.col("fp").bitwiseXOR(x).alias("middle"), (F.bit_count(x) <= radius // 2).alias("close")))).alias("m")).select("node", "m.*")
+    first = around.groupBy("middle").agg(F.min(F.when(F.col("close"), F.col("node"))).alias("a"), F.count("*").alias("n")).where("a is not null and n > 1").select("middle", "a")
+    through = around.join(first, "middle").where("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     return near.unionByName(through)
 
 

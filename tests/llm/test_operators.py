@@ -132,6 +132,45 @@ def test_two_pieces_replace_the_smallest():
     assert bins[0] == bins[2] == bins[3] != bins[1]
 
 
+def plain_best_two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
+    """The lengths of each bin, by trying all pieces and all pairs of them."""
+    left, bins = sorted(lengths), []
+    while left:
+        held, gap = [], capacity
+        while fit := [x for x in left if x <= gap]:
+            left.remove(fit[-1])
+            held.append(fit[-1])
+            gap -= fit[-1]
+        pairs = [(x, y) for i, x in enumerate(left) for y in left[i + 1 :] if held[-1] < x + y <= held[-1] + gap] if gap and len(held) > 1 else []
+        if pairs:
+            x, y = max(pairs, key=lambda p: (sum(p), -p[0]))
+            left.remove(x)
+            left.remove(y)
+            left = sorted([*left, held.pop()])
+            held += [y, x]
+        bins.append(held)
+    return bins
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(2, 30), st.data())
+def test_best_two_fit_is_brute_force(capacity, data):
+    lengths = data.draw(st.lists(st.integers(1, capacity), max_size=40))
+    bins, offsets = packing.best_two_fit(np.array(lengths, dtype=np.int64), capacity)
+    got = [[lengths[k] for k in sorted(np.flatnonzero(bins == b), key=lambda k: offsets[k])] for b in range(len(set(bins)))]
+    assert got == plain_best_two_fit(lengths, capacity)
+
+
+def test_equal_rows_and_odd_lengths_are_packed(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_PIECES", 100)
+    same = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(300).alias("length"))
+    got = packing.pack(same).toPandas()
+    assert got.sequence_id.value_counts().max() == 3 and got.groupby(got.sequence_id % 10).size().max() < 200  # no bucket holds all
+    odd = spark.createDataFrame([(1, None), (2, 0), (3, 1025), (4, 1024), (5, -1)], "doc_id long, length int")
+    told = {r.doc_id: (r.sequence_id is None, r.offset) for r in packing.pack(odd).collect()}
+    assert told == {1: (True, None), 2: (True, None), 3: (True, None), 4: (False, 0), 5: (True, None)}
+
+
 def test_packing_odd_rows(spark):
     docs = odd_docs(spark)
     pieces = packing.token_pieces(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).withColumn("crc", F.crc32("ids")).drop("ids").withColumn("offset", F.lit("old"))
@@ -234,16 +273,16 @@ def test_simhash_query(spark):
         assert tuple(got.loc[doc]) == (f"{p:016x}", g)
 
 
-@pytest.mark.parametrize("filed", [256, 3])
-def test_links_are_those_of_all_pairs(spark, monkeypatch, filed):
+@pytest.mark.parametrize(("filed", "radius"), [(256, 2), (3, 2), (3, 1), (3, 3)])
+def test_links_are_those_of_all_pairs(spark, monkeypatch, filed, radius):
     monkeypatch.setattr(simhash, "FILED", filed)
     rng = np.random.default_rng(5)
     seeds = [int(x) for x in rng.integers(0, 1 << 62, 6)]
     prints = sorted({s ^ sum(1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 4))) for s in seeds for _ in range(40)} | {0, (1 << 64) - 1})
     rows = [(10 * k, simhash._signed(p)) for k, p in enumerate(prints)]
-    links = simhash.links(spark.createDataFrame(rows, "node long, fp long"))
+    links = simhash.links(spark.createDataFrame(rows, "node long, fp long"), radius=radius)
     found = {x.node: x.component for x in simhash.components(links).collect()}
-    assert [found.get(10 * k, 10 * k) for k in range(len(prints))] == [10 * g for g in groups(prints)]
+    assert [found.get(10 * k, 10 * k) for k in range(len(prints))] == [10 * g for g in groups(prints, radius)]
 
 
 def wide_groups(prints: list[tuple[int, ...]], radius=simhash.WIDE_RADIUS) -> list[int]:
