@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, mtree, packing, simhash, suffix_dedup, toxicity, warc, winnowing
+from . import automata, bpe, chat, codes, licenses, mtree, negatives, packing, simhash, suffix_dedup, toxicity, warc, winnowing
 from ._common import checkpointed, read_table, text_column
+from ._vectors import whole_numbers
 
 #: Share of labelled rows that a fold holds out: those whose checksum leaves this remainder.
 FOLDS, HELD_OUT = 3, 1
@@ -101,8 +102,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = automata.digests(read_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "label", whole_numbers("embedding", 4096).alias("v"))
+    coded, books, _ = codes.compress(vectors)
+    by_label = coded.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    return coded.join(by_label, F.col("label").eqNullSafe(F.col("of"))).select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), whole_numbers("embedding", 256).alias("v"))
+    return negatives.mine(rows, rows.where("vec_id % 100 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_of_them = (op1_toxicity, op2_license_scan, op3_exact_topk, op4_best_fit_packing, op5_chat_format, op6_winnowing, op7_byte_bpe, op8_simhash, op9_suffix_dedup, op10_warc)
+    all_of_them = (op1_toxicity, op2_license_scan, op3_exact_topk, op4_best_fit_packing, op5_chat_format, op6_winnowing, op7_byte_bpe, op8_simhash, op9_suffix_dedup, op10_warc, op11_substring_dedup, op12_vector_codes, op13_hard_negatives)
     return {f.__name__: f for f in all_of_them}
 
 
@@ -128,6 +147,47 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
   CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM d JOIN f USING (payload_digest)"""
 
 
+_SUBSTRINGS = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (SELECT r, doc_id, unnest(range(1, len(w) - 48)) AS i, unnest([md5_number(array_to_string(w[k : k + 49], ' ')) FOR k IN range(1, len(w) - 48)]) AS h FROM d WHERE len(w) >= 50),
+f AS (SELECT h, min(doc_id) AS first FROM h GROUP BY h),
+w AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w FROM d),
+m AS (SELECT r, i, 1 AS hit FROM h JOIN f USING (h) WHERE first < doc_id),
+c AS (SELECT r, i, w, coalesce(max(hit) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone FROM w LEFT JOIN m USING (r, i)),
+g AS (SELECT r, sum(gone) AS gone, string_agg(w, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM c GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (r)"""
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    bad = "len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)])"
+    out = f"""WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL AND {bad} = 0),
+p AS MATERIALIZED (SELECT r, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS x FROM v, (SELECT unnest(range({parts})) AS part)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x AS c FROM p WHERE r <= {entries}),"""
+    for k in range(rounds + 1):
+        out += f"""
+a{k} AS MATERIALIZED (SELECT r, part, min({{'d': list_sum([(x[i] - c[i]) * (x[i] - c[i]) FOR i IN range(1, len(x) + 1)]), 'e': entry}}) AS n FROM p JOIN c{k} USING (part) GROUP BY r, part),"""
+        if k < rounds:
+            out += f"""
+s{k} AS (SELECT part, entry, list(m ORDER BY i) AS m FROM (SELECT part, n.e AS entry, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS m FROM (SELECT part, n, unnest(x) AS x, unnest(range(len(x))) AS i FROM p JOIN a{k} USING (r, part)) GROUP BY ALL) GROUP BY part, entry),
+c{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m, c) AS c FROM c{k} LEFT JOIN s{k} USING (part, entry)),"""
+    return (
+        out
+        + f"""
+b AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds}),
+o AS (SELECT r, string_agg(printf('%02x', n.e), '' ORDER BY part) AS code, CAST(sum(n.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN o USING (r) CROSS JOIN b"""
+    )
+
+
+_NEGATIVES = """WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score FROM v a JOIN v r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS k, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM s JOIN p USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 10"""
+
+
 def _license_sql() -> str:
     rows = ", ".join("({}, '{}', '{}')".format(k, name, x.replace("'", "''")) for k, (name, x) in enumerate((n, x) for n, texts in licenses.TEMPLATES.items() for x in texts))
     tok = r"regexp_extract_all(lower({0}), '[a-z]+|[0-9]+(?:\.[0-9]+)*')"
@@ -160,4 +220,4 @@ FROM d LEFT JOIN best USING (r) LEFT JOIN given USING (directory)"""
 
 def oracle_sql() -> dict[str, str]:
     """The twins of those that SQL can express within bounds; the tests hold the others against brute force."""
-    return {"op2_license_scan": _license_sql(), "op3_exact_topk": _TOPK, "op5_chat_format": _CHAT, "op10_warc": _WARC}
+    return {"op2_license_scan": _license_sql(), "op3_exact_topk": _TOPK, "op5_chat_format": _CHAT, "op10_warc": _WARC, "op11_substring_dedup": _SUBSTRINGS, "op12_vector_codes": _codes_sql(), "op13_hard_negatives": _NEGATIVES}
