@@ -9,7 +9,7 @@ A large corpus is its own reference, and its automata don't fit one machine, let
 belongs to an anchor, the 16-word string of the smallest hash in it, and equal windows have equal anchors.  The stretch of
 windows around an anchor whose hash only one text has needs no automaton.  The other stretches, each different one once, are dealt by the anchor's hash; some whole
 hashes together are a shard of bounded size, whose automaton one task builds and through which all stretches that can match it stream.
-Where a hash has more stretches than a shard takes, it is their single windows that meet, by their own hash.  Hashes only say which texts meet; what repeats is decided by
+Where a hash has more stretches than a shard takes, its windows get longer anchors, in the end the windows themselves, of which each has one stretch.  Hashes only say which texts meet; what repeats is decided by
 the words themselves.
 
 A reference of bounded size (a benchmark, a block list) is broadcast instead: :func:`held_by` sends its automata to all tasks, and whole documents stream through them.
@@ -29,9 +29,9 @@ from pyspark.sql import types as T
 
 from . import suffix_dedup
 from ._common import checkpointed, discard, raw, release, small_batches, text_column, written
-from .suffix_dedup import WORD_GRAM, _joined, _split, keyed, mixed, word_units
+from .suffix_dedup import WORD_GRAM, _joined, _split, keyed, word_units
 
-#: Words of a shard, after which the next anchor's hash starts another, and stretches of one hash beyond which windows meet by themselves.
+#: Words of a shard, after which the next anchor's hash starts another, and stretches of one hash beyond which its windows get longer anchors.
 SHARD_WORDS, HOT = 50_000, 500
 #: Words of a reference that may be broadcast; its automata take some 100 bytes a word in each worker.
 BROADCAST_WORDS = 2_000_000
@@ -46,7 +46,6 @@ def _schema(**fields: T.DataType) -> T.StructType:
 
 
 ANCHORS = _schema(t1=_L, t2=_L, id=_L, first=_I, last=_I, rank=_L, cover=_L)
-HOT_WINDOWS = _schema(t1=_L, t2=_L, id=_L, first=_I, string=_L)
 STRETCHES = _schema(route=_L, cover=_L, doc=_L, words=_B)
 RUNS = _schema(route=_L, cover=_L, begin=_I, end=_I, doc=_L)
 CUT = _schema(t1=_L, t2=_L, n_words=_L, n_removed=_L, spans=T.ArrayType(_schema(begin=_I, end=_I)), kept=_B)
@@ -152,18 +151,25 @@ def _anchor_rows(window: int, gram: int):
     return run
 
 
-def _hot_windows(window: int):
-    """Hashes of all windows that an anchor of a hot hash stands for (structs of id, first, last)."""
+def _refined(window: int, gram: int):
+    """Anchors of ``gram`` words of the windows that places of a hot hash stand for (structs of id, first, last), with all else that they stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t1, t2 = (batch.column(k).to_numpy() for k in (0, 1))
             for k, (text, places) in enumerate(zip(raw(batch.column(2)), batch.column(3).to_pylist(), strict=True)):
-                sums, inverse = suffix_dedup._cumulated(word_units(text)[0])
-                first = np.unique(np.concatenate([np.arange(x["first"], x["last"] + 1) for x in places]))
-                string = mixed((sums[first + window] - sums[first]) * inverse[first]).view(np.int64)
-                n = len(first)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t1[k])), pa.array(np.full(n, t2[k])), pa.array(np.full(n, places[0]["id"])), pa.array(first.astype(np.int32)), pa.array(string)], names=HOT_WINDOWS.names)
+                units = word_units(text)[0]
+                hot = np.zeros(len(units) + 2, dtype=np.int64)
+                for x in places:
+                    hot[x["first"] + 1] += 1
+                    hot[x["last"] + 2] -= 1
+                upto = np.cumsum(np.cumsum(hot) > 0)  # hot windows before each
+                _, first, last, rank, cover = suffix_dedup.anchors(units, window, gram)
+                own = upto[last + 1] > upto[first]
+                n = int(own.sum())
+                same = (np.full(n, x) for x in (t1[k], t2[k], places[0]["id"]))
+                rest = (first[own].astype(np.int32), last[own].astype(np.int32), rank[own].view(np.int64), cover[own].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*same, *rest)], names=ANCHORS.names)
 
     return run
 
@@ -267,32 +273,43 @@ def passages(docs: DataFrame, window: int = 50, *, id_col: str = "doc_id", text_
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    gram = min(WORD_GRAM, window)
     texts = _texts(docs, window, id_col, text_col)
-    firsts = checkpointed(_first_of_copies(texts))
-    anchored = written(texts.select(*_KEY, "id", "text").mapInArrow(_anchor_rows(window, gram), ANCHORS), "anchors")
+    one = checkpointed(_first_of_copies(texts)).withColumnRenamed("one", "id")
     text = F.xxhash64(*_KEY)
-    several = written(anchored.groupBy("rank").agg(F.min(text).alias("a"), F.max(text).alias("b"), F.count("*").alias("rows")).where("a <> b").select("rank", "rows"), "ranks")
-    crowd, rest = _split(several, anchored.count())
-    met = anchored.join(crowd, "rank", "left_semi").unionByName(anchored.join(crowd, "rank", "left_anti").join(rest, "rank", "left_semi"))
-    one = firsts.withColumnRenamed("one", "id")
-    places = written(met.join(one, [*_KEY, "id"], "left_semi"), "places")
-    discard(anchored)
-    discard(several)
-    release(spark)
-    # each different stretch once, by the first place that has it
-    place = F.struct("id", *_KEY, "first", "last")
-    covers = checkpointed(places.groupBy("rank", "cover").agg(F.min(place).alias("at"), F.max("id").alias("top"), F.count("*").alias("rows")))
-    hot = checkpointed(covers.groupBy("rank").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("rank"))
-    crowded, others = _split(hot.join(covers.groupBy("rank").agg(F.sum("rows").alias("rows")), "rank"), places.count())
-    listed = places.groupBy(*_KEY, "id").agg(F.lit(True).alias("__met"))
-    involved = written(texts.join(listed, [*_KEY, "id"], "left_semi").select(*_KEY, "text"), "involved")
-    of_hot = places.join(crowded, "rank", "left_semi").unionByName(places.join(crowded, "rank", "left_anti").join(others, "rank", "left_semi"))
-    asked_hot = of_hot.groupBy(*_KEY).agg(F.collect_set(F.struct("id", "first", "last")).alias("places"))
-    windows = written(involved.join(asked_hot, _KEY).select(*_KEY, "text", "places").mapInArrow(_hot_windows(window), HOT_WINDOWS), "windows")
-    again = checkpointed(windows.groupBy("string").agg(F.min(text).alias("a"), F.max(text).alias("b"), F.min(F.struct("id", *_KEY, "first", F.col("first").alias("last"))).alias("at"), F.max("id").alias("top"), F.count("*").alias("rows")).where("a <> b"))
-    cool = covers.join(hot, "rank", "left_anti").select(F.col("rank").alias("route"), "cover", "at", "top", "rows")
-    stretches = cool.unionByName(again.select(F.col("string").alias("route"), F.col("string").alias("cover"), "at", "top", "rows"))
+    gram, levels, involved = min(WORD_GRAM, window), [], None
+    source = texts.select(*_KEY, "id", "text").mapInArrow(_anchor_rows(window, gram), ANCHORS)
+    while True:
+        # anchors whose hash only one text has are done with
+        anchored = written(source, "anchors")
+        several = written(anchored.groupBy("rank").agg(F.min(text).alias("a"), F.max(text).alias("b"), F.count("*").alias("rows")).where("a <> b").select("rank", "rows"), "ranks")
+        crowd, rest = _split(several, anchored.count())
+        met = anchored.join(crowd, "rank", "left_semi").unionByName(anchored.join(crowd, "rank", "left_anti").join(rest, "rank", "left_semi"))
+        places = written(met if involved else met.join(one, [*_KEY, "id"], "left_semi"), "places")
+        discard(anchored)
+        discard(several)
+        release(spark)
+        # each different stretch once, by the first place that has it
+        place = F.struct("id", *_KEY, "first", "last")
+        covers = checkpointed(places.groupBy("rank", "cover").agg(F.min(place).alias("at"), F.max("id").alias("top"), F.count("*").alias("rows")))
+        if involved is None:
+            listed = places.select(*_KEY, "id").distinct()
+            involved = written(texts.join(listed, [*_KEY, "id"], "left_semi").select(*_KEY, "text"), "involved")
+        hot = checkpointed(covers.groupBy("rank").agg(F.count("*").alias("n"), F.sum("rows").alias("rows")).where(F.col("n") > HOT).select("rank", "rows"))
+        levels.append((places, covers.drop("rows"), hot.select("rank")))
+        if gram == window or not hot.limit(1).count():
+            break
+        # a hash with too many stretches for a shard: longer strings tell its windows apart, the longest is the window itself
+        gram += -(-(window - gram) // 2)
+        crowd, rest = _split(hot, places.count())
+        of_hot = places.join(crowd, "rank", "left_semi").unionByName(places.join(crowd, "rank", "left_anti").join(rest, "rank", "left_semi"))
+        asked = of_hot.groupBy(*_KEY).agg(F.collect_set(F.struct("id", "first", "last")).alias("places"))
+        source = involved.join(asked, _KEY).select(*_KEY, "text", "places").mapInArrow(_refined(window, gram), ANCHORS)
+    stretches = places = None
+    for k, (own, some, hot) in enumerate(levels):
+        if k < len(levels) - 1:  # the others go on to the next level
+            own, some = own.join(hot, "rank", "left_anti"), some.join(hot, "rank", "left_anti")
+        stretches, places = (some, own) if k == 0 else (stretches.unionByName(some), places.unionByName(own))
+    stretches, places = stretches.withColumnRenamed("rank", "route"), places.withColumnRenamed("rank", "route")
     asked = stretches.groupBy(F.col("at.t1").alias("t1"), F.col("at.t2").alias("t2")).agg(F.collect_set(F.struct("route", "cover", F.col("at.id").alias("doc"), F.col("at.first").alias("first"), F.col("at.last").alias("last"))).alias("places"))
     told = involved.join(asked, _KEY).select("text", "places").mapInArrow(_stretches(window), STRETCHES)
     runs = written(told.repartition("route").sortWithinPartitions("route").mapInArrow(_streamed(window, SHARD_WORDS), RUNS), "runs")
@@ -300,10 +317,11 @@ def passages(docs: DataFrame, window: int = 50, *, id_col: str = "doc_id", text_
     # a run counts for the places in documents after the first one with its windows
     both = ["route", "cover"]
     listed = runs.groupBy(*both).agg(F.collect_list(F.struct("begin", "end", "doc")).alias("runs"), F.min("doc").alias("least"))
-    useful = written(listed.join(stretches.select(*both, "top", "rows"), both).where("least < top").drop("least", "top"), "useful")
-    everywhere = places.join(hot, "rank", "left_anti").select(*_KEY, "id", "first", F.col("rank").alias("route"), "cover").unionByName(windows.select(*_KEY, "id", "first", F.col("string").alias("route"), F.col("string").alias("cover")))
+    tops = stretches.groupBy(*both).agg(F.max("top").alias("top"))
+    useful = listed.join(tops, both).where("least < top").select(*both, "runs")
+    useful = written(useful.join(places.groupBy(*both).agg(F.count("*").alias("rows")), both), "useful")
     crowd, rest = _split(useful, places.count())
-    hit = everywhere.join(crowd, both).unionByName(everywhere.join(crowd.select(*both), both, "left_anti").join(rest, both))
+    hit = places.join(crowd, both).unionByName(places.join(crowd.select(*both), both, "left_anti").join(rest, both))
     spans = hit.select(*_KEY, "id", "first", F.explode("runs").alias("run")).where("run.doc < id").select(*_KEY, "id", F.struct((F.col("first") + F.col("run.begin")).alias("begin"), (F.col("first") + F.col("run.end")).alias("end")).alias("span"))
     found = checkpointed(spans.groupBy(*_KEY, F.col("id").alias("one")).agg(F.collect_set("span").alias("found")))
     cut = involved.dropDuplicates(_KEY).join(found, _KEY)
