@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ahocorasick
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,61 +20,6 @@ def outer_compared(left: DataFrame, right: DataFrame, key: str, value: str) -> D
     return a.join(b, key, "full").select(key, "left", "right", side.alias("side"))
 
 
-#: Bytes of terms that every task looks for at once; more are met by their first characters.
-TERM_BYTES, KEY = 1_000_000, 5
-
-
-def contained_in(rows: DataFrame, others: DataFrame, text: str, other: str, *, either_way: bool = False, anti: bool = False, most: int = TERM_BYTES) -> DataFrame:
-    """Rows whose text holds some other text (or is held by one with ``either_way``); with ``anti`` those that hold none.
-
-    Terms of up to ``most`` bytes together go to every task, where one pass over a text finds any of them.  Beyond that texts and terms are joined by
-    a term's first characters, which a text that holds it has too.  Empty terms are in no text; a null text holds none.
-    """
-    o = others.select(F.col(other).alias("__o")).where("__o <> ''").distinct()
-    if (o.agg(F.sum(F.octet_length("__o"))).head()[0] or 0) <= most:
-        hit = F.coalesce(_holds([x["__o"] for x in o.collect()], either_way)(text), F.lit(False))
-        return rows.where(~hit if anti else hit)
-    texts = rows.select(F.col(text).alias("__t")).distinct()
-    held = _met(texts, o)
-    if either_way:
-        held = held.unionByName(_met(o.select(F.col("__o").alias("__t")), texts.select(F.col("__t").alias("__o")).where("__o <> ''"), of="__o")).distinct()
-    return rows.join(held, F.col(text) == F.col("__t"), "left_anti" if anti else "left_semi")
-
-
-def _holds(terms: list[str], either_way: bool):
-    @F.pandas_udf("boolean")
-    def run(texts: pd.Series) -> pd.Series:
-        found = ahocorasick.Automaton()
-        for t in terms:
-            found.add_word(t, True)
-        if terms:
-            found.make_automaton()
-        longest = max(map(len, terms), default=0)
-
-        def hit(x: str | None) -> bool:
-            if x is None or not terms:
-                return False
-            return next(found.iter(x), None) is not None or (either_way and 0 < len(x) <= longest and any(x in t for t in terms))
-
-        return texts.map(hit)
-
-    return run
-
-
-def _met(texts: DataFrame, terms: DataFrame, of: str = "__t") -> DataFrame:
-    """Texts (or with ``of`` terms) of pairs of which the text holds the term, joined by the term's first characters."""
-    keyed = terms.withColumn("__k", F.substring("__o", 1, KEY))
-    lengths = [x[0] for x in keyed.select(F.length("__k")).distinct().collect()]
-    n = F.length("__t")
-
-    def grams(k: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1)))
-        return F.when(n >= k, F.transform(starts, lambda i: F.substring("__t", i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-
-    pairs = texts.select("__t", F.explode(F.array_distinct(F.flatten(F.array(*map(grams, lengths))))).alias("__k")).join(keyed, "__k").where(F.contains("__t", F.col("__o")))
-    return pairs.select(F.col(of).alias("__t")).distinct()
-
-
 def by_position(rows: DataFrame, position: str, value: str, *keys: str) -> DataFrame:
     """Mean and standard error (population) at each position."""
     return rows.groupBy(*keys, position).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), sem(value).alias("sem"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import column, parse_claims
 from ..providers import Provider, lines
+from ..sources.scratch import folder
+from . import retrieval
 from .overlap import tokens
 from .summarize import called
 
@@ -28,16 +30,40 @@ def exploded(claims: DataFrame, *keys: str, stop: int | None = None) -> DataFram
 
 def contained_share(claim: str | Column, source: str | Column) -> Column:
     """Share of a claim's different words that its source has."""
-    c = F.array_distinct(tokens(column(claim)))
-    return F.when(F.size(c) > 0, F.size(F.array_intersect(c, tokens(column(source)))) / F.size(c)).otherwise(F.lit(0.0))
+    return _share(F.array_distinct(tokens(column(claim))), tokens(column(source)))
+
+
+def verified(claims: DataFrame, sources: DataFrame, item: str, source_text: str, *, method: str = "full_text", yes: float = 0.9, partial: float = 0.6, top: int = 3, words: int = 100) -> DataFrame:
+    """Adds ``predicted_label`` (Yes, PartialSupport or No) and ``faithful`` by words in common; a claim without a source has null ones.
+
+    With ``full_text`` a claim is held against its item's whole source, with ``bm25`` against the ``top`` passages of ``words`` words of that source
+    that are most like it.  Claims and sources are joined by ``item`` of which a source has one row.
+    """
+    if method == "full_text":
+        # a source becomes words once, not for every claim of it
+        told = claims.join(sources.select(item, F.array_distinct(tokens(F.col(source_text))).alias("__words")), item, "left")
+    elif method == "bm25":
+        told = _retrieved(claims, sources, item, source_text, top, words)
+    else:
+        raise ValueError(f"no method {method}")
+    share = F.when(F.col("__words").isNotNull(), _share(F.array_distinct(tokens("claim")), F.col("__words")))
+    label = F.when(share >= yes, "Yes").when(share >= partial, "PartialSupport").when(share.isNotNull(), "No")
+    return told.withColumn("predicted_label", label).withColumn("faithful", is_faithful("predicted_label")).drop("__words")
 
 
-def verified(claims: DataFrame, sources: DataFrame, item: str, source_text: str, *, yes: float = 0.9, partial: float = 0.6) -> DataFrame:
-    """Adds ``predicted_label`` (Yes, PartialSupport or No) and ``faithful`` by words in common; a claim without a source has null ones."""
-    joined = claims.join(sources.select(item, F.col(source_text).alias("__source")), item, "left")
-    share = F.when(F.col("__source").isNotNull(), contained_share("claim", "__source"))
-    label = F.when(share >= yes, "Yes").when(share >= partial, "PartialSupport").when(share.isNotNull(), "No")
-    return joined.withColumn("predicted_label", label).withColumn("faithful", is_faithful("predicted_label")).drop("__source")
+def _share(claim: Column, source: Column) -> Column:
+    return F.when(F.size(claim) > 0, F.size(F.array_intersect(claim, source)) / F.size(claim)).otherwise(F.lit(0.0))
+
+
+def _retrieved(claims: DataFrame, sources: DataFrame, item: str, source_text: str, top: int, words: int) -> DataFrame:
+    """Claims with the different words of the passages found for them in their item's source (``__words``)."""
+    cut = retrieval.windows(sources, item, source_text, words=words)
+    index = retrieval.build(cut, folder(claims.sparkSession, "claims-index"), passage_id="passage", text="text", scope=(item,))
+    asked = claims.where(F.col("claim").isNotNull()).select(item, "claim").distinct()
+    found = retrieval.search(index, asked, query_id="claim", text="claim", top=top)
+    joined = found.join(cut, [item, "passage"]).groupBy(item, "claim").agg(F.array_distinct(F.flatten(F.collect_list(tokens("text")))).alias("__words"))
+    known = sources.select(item, F.array().cast("array<string>").alias("__none")).distinct()
+    return claims.join(joined, [item, "claim"], "left").join(known, item, "left").withColumn("__words", F.coalesce("__words", "__none")).drop("__none").select(*claims.columns, "__words")
 
 
 def is_faithful(label: str | Column) -> Column:
@@ -56,21 +82,3 @@ def collection_faithfulness(by_summary: DataFrame, *keys: str) -> DataFrame:
     """Mean over summaries, not claims, and the standard error with the sample's deviation, both in percent."""
     grouped = by_summary.groupBy(*keys) if keys else by_summary.groupBy()
     return grouped.agg(F.count("*").alias("summaries"), (F.avg("strict") * 100).alias("strict"), (F.avg("lenient") * 100).alias("lenient"), (F.stddev_samp("strict") * 100 / F.sqrt(F.count("strict"))).alias("sem"))
-
-
-def bm25(queries: DataFrame, passages: DataFrame, *, query_id: str, passage_id: str, text: str, k1: float = 1.5, b: float = 0.75, top: int = 5) -> DataFrame:
-    """``query_id, passage_id, score`` of the best passages of each query; all statistics are of all passages."""
-    from pyspark.sql import Window
-
-    terms = passages.select(passage_id, F.explode(tokens(text)).alias("term"))
-    tf = terms.groupBy(passage_id, "term").agg(F.count("*").alias("tf"))
-    length = terms.groupBy(passage_id).agg(F.count("*").alias("dl"))
-    total = passages.agg(F.count("*").alias("n")).crossJoin(length.agg(F.avg("dl").alias("avgdl")))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    asked = queries.select(query_id, F.explode(F.array_distinct(tokens(text))).alias("term"))
-    hit = asked.join(df, "term").join(tf, "term").join(length, passage_id).crossJoin(F.broadcast(total))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    one = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hit.groupBy(query_id, passage_id).agg(F.sum(one).alias("score"))
-    best = F.row_number().over(Window.partitionBy(query_id).orderBy(F.col("score").desc(), passage_id))
-    return scored.withColumn("__r", best).where(F.col("__r") <= top).drop("__r")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import shlex
 from collections.abc import Callable, Iterable
 
@@ -12,8 +13,10 @@ from ..functions.ranges import documents_in
 from ..functions.stats import fixed, sem
 from ..functions.text import column
 from ..providers import Provider
+from ..sources.scratch import folder, saved
 from .analysis import not_done
 from .assessment import option_text
+from .containment import contained_in
 from .summarize import called
 
 #: Ranges that reports know, and the suffix of a run of claims.
@@ -118,25 +121,24 @@ def difference_quality(trusted: DataFrame, other: DataFrame, item: str, a: str =
     """``item, a, b, side, reasonable`` of matches that only one of two systems has.
 
     One is reasonable if the other system has a match of the item of which an end holds or is held by the same end; an extra
-    one also if its own two ends hold each other without case.  Names are short, and matches meet within their item only.
+    one also if its own two ends hold each other without case.   Matches meet within their item only.
     """
-    t, o = (x.select(item, a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct() for x in (trusted, other))
-    out = None
-    for side, one, two in (("missing", t, o), ("extra", o, t)):
-        seen = two.select(F.col(item).alias("__i"), F.col(a).alias("__a"), F.col(b).alias("__b"))
-        like = _holds_either(b, "__b") | _holds_either(a, "__a")
-        only = one.join(two, [item, a, b], "left_anti")
-        near = only.join(seen, (F.col(item) == F.col("__i")) & like, "left_semi").withColumn("near", F.lit(True))
-        told = only.join(near, [item, a, b], "left").withColumn("reasonable", F.coalesce("near", F.lit(False)))
-        if side == "extra":
-            told = told.withColumn("reasonable", F.col("reasonable") | F.contains(F.lower(b), F.lower(a)) | F.contains(F.lower(a), F.lower(b)))
-        told = told.select(item, a, b, F.lit(side).alias("side"), "reasonable")
-        out = told if out is None else out.unionByName(told)
-    return out
-
-
-def _holds_either(x: str, y: str) -> Column:
-    return F.contains(F.col(x), F.col(y)) | F.contains(F.col(y), F.col(x))
+    path = folder(trusted.sparkSession, "differences")
+    t, o = (saved(x.select(item, a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct(), f"{path}/{name}") for x, name in ((trusted, "trusted"), (other, "other")))
+    sides = (("missing", t, o), ("extra", o, t))
+    only = _all(one.join(two, [item, a, b], "left_anti").withColumn("side", F.lit(side)) for side, one, two in sides)
+    seen = _all(two.withColumn("side", F.lit(side)) for side, _, two in sides)
+    ends = F.explode(F.array(F.struct(F.lit("a").alias("end"), F.col(a).alias("name")), F.struct(F.lit("b").alias("end"), F.col(b).alias("name"))))
+    by_end = lambda rows: rows.withColumn("__x", ends).select("*", "__x.*").drop("__x")
+    near = contained_in(by_end(only), by_end(seen), "name", "name", by=("side", item, "end"), either_way=True)
+    told = only.join(near.select(item, a, b, "side", F.lit(True).alias("__near")).distinct(), [item, a, b, "side"], "left")
+    own = F.contains(F.lower(b), F.lower(a)) | F.contains(F.lower(a), F.lower(b))
+    good = F.coalesce("__near", F.lit(False)) | ((F.col("side") == "extra") & own)
+    return told.select(item, a, b, "side", good.alias("reasonable"))
+
+
+def _all(tables: Iterable[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, tables)
 
 
 def difference_shares(differences: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunking, experiments, overlap
-from .more import scratch
+from ..sources.scratch import folder as scratch
 from .queries import _CAPS, _LAG, _grams_sql, _ppm, _table, query
 
 
@@ -99,7 +99,7 @@ def _words_with_capitals() -> Column:
     return F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0)))
 
 
-_MATCHES = f"m AS (SELECT conv_id, turn, unnest(list_distinct({_CAPS.format('text')})) AS s FROM conversations), t AS (SELECT DISTINCT conv_id, s, upper(s) AS r FROM m WHERE turn % 2 = 0), o AS (SELECT DISTINCT conv_id, s, CASE WHEN length(s) % 2 = 0 THEN upper(s) ELSE 'Z' || reverse(s) END AS r FROM m WHERE turn % 3 = 0)"
+_MATCHES = f"m AS (SELECT conv_id, role, unnest(list_distinct({_CAPS.format('text')})) AS s FROM conversations), t AS (SELECT DISTINCT conv_id, s, upper(s) AS r FROM m WHERE role = 'user'), o AS (SELECT DISTINCT conv_id, s, CASE WHEN length(s) % 2 = 0 THEN upper(s) ELSE 'Z' || reverse(s) END AS r FROM m WHERE role <> 'user')"
 _LIKE = "(contains({0}.r, {1}.r) OR contains({1}.r, {0}.r) OR contains({0}.s, {1}.s) OR contains({1}.s, {0}.s))"
 
 
@@ -109,11 +109,11 @@ UNION ALL SELECT 'extra', EXISTS (SELECT 1 FROM t WHERE o.conv_id = t.conv_id AN
 SELECT count(*) AS total, count(*) FILTER (good) AS reasonable, count(*) FILTER (NOT good) AS concerning, CAST(coalesce(floor(count(*) FILTER (good) / count(*) * 1e8 + 0.5), 0) AS BIGINT) AS reasonable_pct FROM d"""
 )
 def match_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two made-up systems that match capitalised words of every second and every third turn."""
-    names = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(_words_with_capitals()).alias("summary_entity"))
+    """Two made-up systems that match capitalised words: one those of the user, the other those of all others."""
+    names = _table(spark, sf_dir, "conversations").select("conv_id", "role", F.explode(_words_with_capitals()).alias("summary_entity"))
     s = F.col("summary_entity")
-    trusted = names.where("turn % 2 = 0").select("conv_id", s, F.upper(s).alias("source_entity"))
-    other = names.where("turn % 3 = 0").select("conv_id", s, F.when(F.length(s) % 2 == 0, F.upper(s)).otherwise(F.concat(F.lit("Z"), F.reverse(s))).alias("source_entity"))
+    trusted = names.where("role = 'user'").select("conv_id", s, F.upper(s).alias("source_entity"))
+    other = names.where("role <> 'user'").select("conv_id", s, F.when(F.length(s) % 2 == 0, F.upper(s)).otherwise(F.concat(F.lit("Z"), F.reverse(s))).alias("source_entity"))
     told = experiments.difference_shares(experiments.difference_quality(trusted, other, "conv_id"))
     return told.select("total", "reasonable", "concerning", _ppm("reasonable_pct").alias("reasonable_pct"))
 

@@ -5,26 +5,17 @@ Round trips write to a new folder in the session's checkpoint folder (in a local
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sql as functions_sql
 from ..functions import stats, text
-from ..operators import analysis, assessment, chunking, claims, entities, ingest, overlap, summarize
+from ..operators import analysis, assessment, chunking, claims, entities, ingest, overlap, retrieval, summarize
 from ..sources import collections, sinks
+from ..sources.scratch import folder as scratch
 from ..streaming import fold as streams
 from . import runs
-from .queries import _CAPS, _LAG, _LIST, _NORM, _PACK, _SCORED, _WORDS, ORACLES, _grams_sql, _judged, _ppm, _steps, _table, query
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for a query's tables, in the shared folder that the session names."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="lumenfold-")
-    return f"{root.rstrip('/')}/lumenfold-core/{name}-{uuid.uuid4().hex}"
+from .queries import _CAPS, _CLAIMS, _LAG, _LIST, _NORM, _PACK, _SCORED, _WORDS, ORACLES, _grams_sql, _judged, _ppm, _steps, _table, query
 
 
 def _one(name: str, value: str) -> str:
@@ -172,9 +163,54 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY floor(score * 1
 def bm25_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns that are most like each benchmark text; scores are compared in millionths, ties go to the earlier turn."""
     passages = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("passage"), "text")
-    found = claims.bm25(_table(spark, sf_dir, "benchmark").select("item_id", "text"), passages, query_id="item_id", passage_id="passage", text="text", top=20)
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("score_ppm").desc(), "passage"))
-    return found.withColumn("score_ppm", _ppm("score")).withColumn("rank", rank.cast("long")).where("rank <= 3").select("item_id", "rank", "passage", "score_ppm")
+    index = retrieval.build(passages, scratch(spark, "bm25"), passage_id="passage", text="text")
+    found = retrieval.search(index, _table(spark, sf_dir, "benchmark").select("item_id", "text"), query_id="item_id", text="text", top=3)
+    return found.select("item_id", "rank", "passage", _ppm("score").alias("score_ppm"))
+
+
+_SIDES = f"""c AS (SELECT conv_id, turn, conv_id || CASE role WHEN 'user' THEN '/others' ELSE '/user' END AS k, unnest({_CLAIMS}) AS claim FROM conversations),
+s AS (SELECT k, array_to_string(list(text ORDER BY turn), ' ') AS text FROM (SELECT conv_id || CASE role WHEN 'user' THEN '/user' ELSE '/others' END AS k, turn, text FROM conversations) GROUP BY k)"""
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Claims of all turns, with the key of the other side of their conversation, and what each side said."""
+    rows = _table(spark, sf_dir, "conversations")
+    own, other = F.when(F.col("role") == "user", "/user").otherwise("/others"), F.when(F.col("role") == "user", "/others").otherwise("/user")
+    key = lambda side: F.concat(F.col("conv_id").cast("string"), side)
+    made = rows.select("conv_id", "turn", key(other).alias("k"), text.parse_claims(F.replace("text", F.lit(". "), F.lit("\n- 1. "))).alias("claims"))
+    said = rows.groupBy(key(own).alias("k")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
+    return claims.exploded(made, "conv_id", "turn", "k"), said.select("k", F.array_join(F.col("x.text"), " ").alias("src"))
+
+
+_FAITHFUL = "SELECT conv_id, turn, CAST(count(share) AS BIGINT) AS claims, CAST(count(*) FILTER (share >= 0.9) AS BIGINT) AS faithful, CAST(floor(coalesce(count(*) FILTER (share >= 0.6) / nullif(count(share), 0), 0) * 1e6 + 0.5) AS BIGINT) AS lenient_ppm FROM r GROUP BY conv_id, turn"
+
+
+@query(
+    f"""WITH {_SIDES}, w AS (SELECT conv_id, turn, s.k, list_distinct({_WORDS.format("claim")}) AS a, {_WORDS.format("s.text")} AS b FROM c LEFT JOIN s ON c.k = s.k),
+r AS (SELECT conv_id, turn, CASE WHEN k IS NULL THEN NULL WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0 END AS share FROM w) {_FAITHFUL}"""
+)
+def faithfulness_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of every turn, held against all that the other side of the conversation said."""
+    told = claims.verified(*_sides(spark, sf_dir), "k", "src")
+    return claims.faithfulness(told, "conv_id", "turn").select("conv_id", "turn", "claims", "faithful", _ppm("lenient").alias("lenient_ppm"))
+
+
+@query(
+    f"""WITH {_SIDES}, sw AS (SELECT k, [x FOR x IN string_split_regex(text, '\\s+') IF x <> ''] AS w FROM s),
+p AS (SELECT k, unnest(range((len(w) + 39) // 40)) AS passage, unnest([array_to_string(w[40 * i + 1 : 40 * i + 40], ' ') FOR i IN range((len(w) + 39) // 40)]) AS text FROM sw),
+pw AS (SELECT k, passage, {_WORDS.format("text")} AS w FROM p), tot AS (SELECT k, count(*) AS n, avg(CASE WHEN len(w) > 0 THEN len(w) END) AS avgdl FROM pw GROUP BY k),
+tf AS (SELECT k, passage, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT k, passage, len(w) AS dl, unnest(w) AS term FROM pw) GROUP BY k, passage, term), df AS (SELECT k, term, count(*) AS df FROM tf GROUP BY k, term),
+q AS (SELECT k, claim, unnest(list_distinct({_WORDS.format("claim")})) AS term FROM (SELECT DISTINCT k, claim FROM c)),
+sc AS (SELECT k, claim, passage, floor(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) * 1e6 + 0.5) AS score FROM q JOIN df USING (k, term) JOIN tf USING (k, term) JOIN tot USING (k) GROUP BY k, claim, passage),
+hit AS (SELECT k, claim, passage FROM sc QUALIFY row_number() OVER (PARTITION BY k, claim ORDER BY score DESC, passage) <= 2),
+got AS (SELECT k AS gk, claim AS found, flatten(list(w)) AS b FROM hit JOIN pw USING (k, passage) GROUP BY k, claim),
+r AS (SELECT conv_id, turn, CASE WHEN s.k IS NULL THEN NULL WHEN len({_WORDS.format("claim")}) > 0 THEN len(list_intersect(list_distinct({_WORDS.format("claim")}), coalesce(b, []))) / len(list_distinct({_WORDS.format("claim")})) ELSE 0 END AS share
+  FROM c LEFT JOIN s ON c.k = s.k LEFT JOIN got ON c.k = gk AND claim = found) {_FAITHFUL}"""
+)
+def faithfulness_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same claims, held against the two passages of 40 words of the other side that are most like each."""
+    told = claims.verified(*_sides(spark, sf_dir), "k", "src", method="bm25", top=2, words=40)
+    return claims.faithfulness(told, "conv_id", "turn").select("conv_id", "turn", "claims", "faithful", _ppm("lenient").alias("lenient_ppm"))
 
 
 # ---- assessments

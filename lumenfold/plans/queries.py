@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranges, stats, text
-from ..operators import analysis, assessment, chunking, claims, entities, overlap, summarize
+from ..operators import analysis, assessment, chunking, claims, containment, entities, overlap, summarize
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -420,7 +420,7 @@ def skip_existing_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, source FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))")
 def containment_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.contained_in(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark").withColumnRenamed("text", "b"), "text", "b").select("doc_id", "source")
+    return containment.contained_in(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark").withColumnRenamed("text", "b"), "text", "b").select("doc_id", "source")
 
 
 @query("SELECT source, doc_id, CAST(r AS BIGINT) AS rank, CAST(n_chars AS BIGINT) AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r <= 5")
@@ -516,21 +516,6 @@ def claim_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.exploded(rows, "conv_id", "turn", stop=2).withColumn("claim_index", F.col("claim_index").cast("long"))
 
 
-@query(
-    f"""WITH c AS (SELECT conv_id, turn, unnest({_CLAIMS}) AS claim FROM conversations), s AS (SELECT conv_id, text AS src FROM conversations WHERE turn = 0),
-w AS (SELECT conv_id, turn, list_distinct({_WORDS.format("claim")}) AS a, {_WORDS.format("src")} AS b FROM c JOIN s USING (conv_id)),
-r AS (SELECT conv_id, turn, CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0 END AS share FROM w)
-SELECT conv_id, turn, CAST(count(*) AS BIGINT) AS claims, CAST(count(*) FILTER (share >= 0.9) AS BIGINT) AS faithful, CAST(floor(count(*) FILTER (share >= 0.6) / count(*) * 1e6 + 0.5) AS BIGINT) AS lenient_ppm FROM r GROUP BY conv_id, turn"""
-)
-def faithfulness_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "conversations")
-    made = rows.select("conv_id", "turn", text.parse_claims(F.replace("text", F.lit(". "), F.lit("\n- 1. "))).alias("claims"))
-    source = rows.where("turn = 0").select("conv_id", F.col("text").alias("src"))
-    told = claims.verified(claims.exploded(made, "conv_id", "turn"), source, "conv_id", "src")
-    out = claims.faithfulness(told, "conv_id", "turn").where("claims > 0")
-    return out.select("conv_id", "turn", "claims", "faithful", _ppm("lenient").alias("lenient_ppm"))
-
-
 @query("WITH t AS (SELECT conv_id, turn, 'x <CULPRIT> ' || text || '</culprit> y <Evidence>' || role || chr(10) || '</EVIDENCE>' AS t FROM conversations) SELECT conv_id, turn, md5(trim(regexp_extract(t, '(?is)<CULPRIT>(.*?)</CULPRIT>', 1), ' ' || chr(10) || chr(9) || chr(13))) AS culprit, trim(regexp_extract(t, '(?is)<EVIDENCE>(.*?)</EVIDENCE>', 1), ' ' || chr(10)) AS evidence, '' AS accomplice FROM t")
 def tagged_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.concat(F.lit("x <CULPRIT> "), F.col("text"), F.lit("</culprit> y <Evidence>"), F.col("role"), F.lit("\n</EVIDENCE>"))

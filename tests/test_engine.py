@@ -267,9 +267,6 @@ def test_claims(spark):
     assert claims.collection_faithfulness(claims.faithfulness(told, "item", "n")).head().strict == 50.0
     orphan = claims.verified(each.withColumn("item", F.lit("q")), sources, "item", "t")
     assert orphan.count() == 2 and claims.faithfulness(orphan, "item").head().strict == 0
-    passages = spark.createDataFrame([(1, "a cat sat"), (2, "a dog ran far"), (3, "nothing")], "p int, t string")
-    best = claims.bm25(spark.createDataFrame([(9, "cat")], "q int, t string"), passages, query_id="q", passage_id="p", text="t")
-    assert [(x.q, x.p) for x in best.collect()] == [(9, 1)]
 
 
 def test_assessments(spark):
@@ -306,16 +303,6 @@ def test_analysis(spark):
     assert [tuple(x) for x in analysis.frequencies(rows, "item").collect()] == [("a", 3), ("b", 1)]
     side = {x.item: x.side for x in analysis.outer_compared(rows.where("pos = 1"), rows.where("pos = 2"), "item", "v").collect()}
     assert side == {"a": "both", "b": "left_only"}
-    terms = spark.createDataFrame([("bc",), ("",), ("zzabczz",)], "o string")
-    texts = spark.createDataFrame([("abc",), ("x",)], "t string")
-    assert analysis.contained_in(texts, terms, "t", "o").count() == 1 and analysis.contained_in(texts, terms, "t", "o", either_way=True, anti=True).collect()[0].t == "x"
-    long_terms = spark.createDataFrame([("one two three",), ("x y z",)], "o string")
-    long_texts = spark.createDataFrame([("zone two threex",), ("one two",), (None,)], "t string")
-    for most in (0, 1000):
-        assert {x.t for x in analysis.contained_in(texts, terms, "t", "o", either_way=True, most=most).collect()} == {"abc"}
-        assert {x.t for x in analysis.contained_in(texts, terms, "t", "o", anti=True, most=most).collect()} == {"x"}
-        assert [x.t for x in analysis.contained_in(long_texts, long_terms, "t", "o", most=most).collect()] == ["zone two threex"]
-        assert analysis.contained_in(long_texts, long_terms, "t", "o", most=most, anti=True).count() == 2
     assert [tuple(x) for x in analysis.statuses(spark.createDataFrame([("failed",), ("skipped",), ("failed",)], "status string")).collect()] == [(0, 2, 1)]
     assert one(spark, "a array<int>, b array<int>", [([1, 2], [2, 1]), ([1], [2])], analysis.set_agreement("a", "b")) == [(True,), (False,)]
     line = analysis.line_numbers(spark.createDataFrame([("d", "[1] a\nb\n[4] c\n[5] d")], "i string, t string"), "i", "t").head()
