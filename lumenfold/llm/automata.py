@@ -32,7 +32,7 @@ from ._common import checkpointed, discard, raw, release, small_batches, text_co
 from .suffix_dedup import WORD_GRAM, _joined, _split, keyed, word_units
 
 #: Words of a shard, after which the next anchor's hash starts another, and stretches of one hash beyond which its windows get longer anchors.
-SHARD_WORDS, HOT = 50_000, 500
+SHARD_WORDS, HOT = 50_000, 2_000
 #: Words of a reference that may be broadcast; its automata take some 100 bytes a word in each worker.
 BROADCAST_WORDS = 2_000_000
 _KEY = ["t1", "t2"]
@@ -135,18 +135,37 @@ class Automaton:
             yield size, least[state] if size else _NONE
 
 
-def _anchor_rows(window: int, gram: int):
-    rows = suffix_dedup._anchor_rows(window, gram, words=True)
+def _places(units: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """First and last window, hash and hash of the stretch of anchors that have all windows between them.
+
+    In a run of repeated words every place ties; of anchors of one hash those go whose windows their neighbours have.
+    """
+    _, first, last, rank, cover = suffix_dedup.anchors(units, window, gram)
+    if not len(first):
+        return first, last, rank, cover
+    keep, done = np.ones(len(first), dtype=bool), -1
+    for k in np.flatnonzero(np.concatenate((rank[1:] == rank[:-1], [False]))).tolist():
+        if k and keep[k - 1]:
+            done = int(last[k - 1])
+        keep[k] = first[k + 1] > max(int(first[k]), done + 1)
+        if keep[k]:
+            done = int(last[k])
+    return first[keep], last[keep], rank[keep], cover[keep]
+
+
+def _rows(t1: np.ndarray, t2: np.ndarray, names: np.ndarray, found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    rows = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+    first, last, rank, cover = (np.concatenate(x) for x in zip(*found, strict=True))
+    columns = (t1[rows], t2[rows], names[rows], first.astype(np.int32), last.astype(np.int32), rank.view(np.int64), cover.view(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=ANCHORS.names)
 
+
+def _anchor_rows(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(2).to_numpy(zero_copy_only=False)
-            # the row's number takes the place of the second half of the key, and is turned back
-            numbered = pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(batch.num_rows)), batch.column(3)], names=["a", "b", "c"])
-            second = batch.column(1).to_numpy()
-            for made in rows(iter([numbered])):
-                row = made.column(1).to_numpy()
-                yield pa.RecordBatch.from_arrays([made.column(0), pa.array(second[row]), pa.array(names[row]), *(made.column(k) for k in (3, 4, 5, 6))], names=ANCHORS.names)
+            if batch.num_rows:
+                same = (batch.column(k).to_numpy() for k in range(3))
+                yield _rows(*same, [_places(word_units(text)[0], window, gram) for text in raw(batch.column(3))])
 
     return run
 
@@ -164,12 +183,9 @@ def _refined(window: int, gram: int):
                     hot[x["first"] + 1] += 1
                     hot[x["last"] + 2] -= 1
                 upto = np.cumsum(np.cumsum(hot) > 0)  # hot windows before each
-                _, first, last, rank, cover = suffix_dedup.anchors(units, window, gram)
+                first, last, rank, cover = _places(units, window, gram)
                 own = upto[last + 1] > upto[first]
-                n = int(own.sum())
-                same = (np.full(n, x) for x in (t1[k], t2[k], places[0]["id"]))
-                rest = (first[own].astype(np.int32), last[own].astype(np.int32), rank[own].view(np.int64), cover[own].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*same, *rest)], names=ANCHORS.names)
+                yield _rows(t1[k : k + 1], t2[k : k + 1], np.array([places[0]["id"]]), [(first[own], last[own], rank[own], cover[own])])
 
     return run
 
