@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import capitalised_names, column, indel_ratio, normalize_entity
+from ..functions.text import capitalised_names, column, normalize_entity
+from . import alike
 
 #: Labels of entities that count.
 LABELS = ("PERSON", "ORG", "GPE", "PRODUCT", "EVENT", "FAC", "WORK_OF_ART")
@@ -67,15 +69,14 @@ def exact_pairs(summary: DataFrame, source: DataFrame, item: str, entity: str =
 def fuzzy_pairs(summary: DataFrame, source: DataFrame, item: str, entity: str = "entity", similar: float = SIMILAR) -> DataFrame:
     """Each summary entity's most similar source entity of its item from ``similar`` on; ties go to the earlier one.
 
-    A ratio of t needs lengths within t / (2 - t) of each other, so pairs are joined by item and checked by length before they are compared.
+    Different normal forms meet by a similarity join (:mod:`alike`), so a large item isn't compared all with all.
     """
     a = summary.select(item, F.col(entity).alias("summary_entity"), normalize_entity(entity).alias("a"))
-    b = source.select(F.col(item).alias("__item"), F.col(entity).alias("source_entity"), "ord", normalize_entity(entity).alias("b"))
-    la, lb, t = F.length("a"), F.length("b"), similar / (2 - similar)
-    near = a.join(b, (F.col(item) == F.col("__item")) & (F.least(la, lb) >= F.greatest(la, lb) * t - 1e-9))
-    scored = near.withColumn("ratio", indel_ratio("a", "b")).where(F.col("ratio") >= similar)
-    best = F.row_number().over(Window.partitionBy(item, "summary_entity").orderBy(F.col("ratio").desc(), "ord"))
-    return scored.withColumn("__r", best).where("__r = 1").select(item, "summary_entity", "source_entity", "ratio")
+    b = source.select(item, normalize_entity(entity).alias("b"), F.struct("ord", F.col(entity).alias("source_entity")).alias("x"))
+    near = alike.pairs(a, b, by=[item], a="a", b="b", similar=similar)
+    # of a normal form the earliest entity stands for all
+    scored = near.join(b.groupBy(item, "b").agg(F.min("x").alias("x")), [item, "b"]).groupBy(item, "a").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "x")).alias("best"))
+    return a.join(scored, [item, "a"]).select(item, "summary_entity", F.col("best.x.source_entity").alias("source_entity"), (-F.col("best.r")).alias("ratio"))
 
 
 def hybrid_pairs(summary: DataFrame, source: DataFrame, item: str, entity: str = "entity", matcher=None) -> DataFrame:
@@ -111,20 +112,19 @@ def source_only(source: str | Column, matched: str | Column) -> Column:
 
 
 @F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity by longest matching blocks, as the standard library defines it."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+def sequence_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Similarity by longest matching blocks, as the standard library defines it; it depends on the order of the two."""
+    for a, b in batches:
+        yield pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 def similar_names(names: DataFrame, block: list[str], name: str, order: str, similar: float = 0.7) -> DataFrame:
-    """Pairs of different rows of a block (a novel, say) whose names are alike, the earlier one first.
+    """``block, i, j, a, b, ratio``: pairs of rows of a block (a novel, say) whose names are alike, the row first in ``order`` first.
 
-    Lengths out of proportion are left out before names are compared: a ratio of t needs them within t / (2 - t).
+    Matching blocks are a common subsequence, so candidates are pairs of different names that have one long enough (:mod:`alike`); blocks are found for these alone.
+    Null names have no pairs.
     """
-    a = names.select(*block, F.col(name).alias("a"), F.col(order).alias("i"))
-    b = names.select(*[F.col(x).alias(f"__{x}") for x in block], F.col(name).alias("b"), F.col(order).alias("j"))
-    la, lb, t = F.length("a"), F.length("b"), similar / (2 - similar)
-    on = (F.col("i") < F.col("j")) & (F.least(la, lb) >= F.greatest(la, lb) * t - 1e-9)
-    for x in block:
-        on = on & (F.col(x) == F.col(f"__{x}"))
-    return a.join(b, on).select(*block, "i", "j", "a", "b").withColumn("ratio", sequence_ratio("a", "b")).where(F.col("ratio") >= similar)
+    rows = names.where(F.col(name).isNotNull()).select(*block, F.col(name).alias("x"), F.col(order).alias("k"))
+    near = alike.pairs(rows, rows, by=block, a="x", b="x", similar=similar).withColumn("ratio", sequence_ratio("a", "b")).where(F.col("ratio") >= similar)
+    one, two = (rows.select(*block, F.col("x").alias(x), F.col("k").alias(k)) for x, k in (("a", "i"), ("b", "j")))
+    return near.join(one, [*block, "a"]).join(two, [*block, "b"]).where("i < j").select(*block, "i", "j", "a", "b", "ratio")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cleaned_option, corrected, mapped, split_at_line, word_count
-from .entities import sequence_ratio
+from .entities import similar_names
 
 #: Words and phrases of questions about who did it, for :func:`lumenfold.functions.text.keyword_question`; what else to allow or block
 #: is a matter of the corpus.
@@ -38,12 +38,9 @@ def questions(annotations: DataFrame) -> DataFrame:
 
 
 def near_duplicates(rows: DataFrame, similar: float = 0.8) -> DataFrame:
-    """Questions of a novel that are like an earlier one: a report, nothing is dropped."""
-    a = rows.select("novel_id", F.col("ord").alias("i"), F.col("question").alias("a"))
-    b = rows.select(F.col("novel_id").alias("__n"), F.col("ord").alias("j"), F.col("question").alias("b"))
-    t = similar / (2 - similar)
-    near = (F.col("novel_id") == F.col("__n")) & (F.col("i") < F.col("j")) & (F.least(F.length("a"), F.length("b")) >= F.greatest(F.length("a"), F.length("b")) * t - 1e-9)
-    return a.join(b, near).drop("__n").withColumn("ratio", sequence_ratio("a", "b")).where(F.col("ratio") > similar)
+    """Questions of a novel that are like an earlier one (``novel_id, i, a, j, b, ratio``, over ``similar``): a report, nothing is dropped."""
+    found = similar_names(rows, ["novel_id"], "question", "ord", similar).where(F.col("ratio") > similar)
+    return found.select("novel_id", "i", "a", "j", "b", "ratio")
 
 
 def novel_items(

@@ -6,10 +6,11 @@ Arrow batches.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
+from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,35 +93,55 @@ def rouge_scores(pairs: DataFrame, *, keys: list[str], target: str = "target", p
     return made.select(*keys, F.explode(lines).alias("x")).select(*keys, "x.*")
 
 
-def lcs_length(a: list[str], b: list[str]) -> int:
-    """Longest common subsequence, a row of the table at a time."""
-    if not a or not b:
-        return 0
-    names = {w: k for k, w in enumerate(dict.fromkeys(b))}
-    right = np.fromiter((names[w] for w in b), dtype=np.int64, count=len(b))
-    row = np.zeros(len(b) + 1, dtype=np.int64)
-    for w in a:
-        hit = np.zeros(len(b) + 1, dtype=np.int64)
-        hit[1:] = row[:-1] + (right == names.get(w, -1))
-        row = np.maximum.accumulate(np.maximum(row, hit))
-    return int(row[-1])
-
-
-def lcs_members(a: list[str], b: list[str]) -> set[int]:
-    """Positions in ``a`` of one longest common subsequence; the table is filled a row at a time."""
-    if not a or not b:
-        return set()
-    names = {w: k for k, w in enumerate(dict.fromkeys(b))}
-    right = np.fromiter((names[w] for w in b), dtype=np.int64, count=len(b))
-    table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    for i, w in enumerate(a, 1):
-        table[i, 1:] = np.maximum.accumulate(np.maximum(table[i - 1, 1:], table[i - 1, :-1] + (right == names.get(w, -1))))
-    out, i, j = set(), len(a), len(b)
+def _rows(masks: dict, words: Sequence, row: int, full: int) -> Iterator[int]:
+    """Rows of the table of common subsequences, a bit for each word of the other side: 0 where the length grows."""
+    for w in words:
+        hit = row & masks.get(w, 0)
+        row = ((row + hit) | (row - hit)) & full
+        yield row
+
+
+def _masks(words: Sequence) -> dict:
+    """The places of each word, as bits."""
+    masks: dict = {}
+    for k, w in enumerate(words):
+        masks[w] = masks.get(w, 0) | 1 << k
+    return masks
+
+
+def lcs_length(a: Sequence, b: Sequence) -> int:
+    """Longest common subsequence, a whole row of the table at a time as the bits of one number."""
+    full = (1 << len(b)) - 1
+    row = full
+    for row in _rows(_masks(b), a, full, full):  # noqa: B007
+        pass
+    return len(b) - row.bit_count()
+
+
+def lcs_members(a: Sequence, b: Sequence) -> set[int]:
+    """Positions in ``a`` of one longest common subsequence.
+
+    Of the table's rows about the square root of their number is held: every so many, and those of the stretch that is walked back through.
+    """
+    n, full, masks = len(a), (1 << len(b)) - 1, _masks(b)
+    step = max(1, math.isqrt(n))
+    marks = [full]  # rows 0, step, 2 * step ...
+    for k, row in enumerate(_rows(masks, a, full, full), 1):
+        if k % step == 0:
+            marks.append(row)
+    out, i, j, start, rows = set(), n, len(b), n + 1, []
     while i and j:
+        if i - 1 < start:
+            start = (i - 1) // step * step
+            rows = [marks[start // step], *_rows(masks, a[start:i], marks[start // step], full)]
         if a[i - 1] == b[j - 1]:
             out.add(i - 1)
             i, j = i - 1, j - 1
-        elif table[i - 1, j] > table[i, j - 1]:
+            continue
+        low = (1 << j) - 1
+        above = j - (rows[i - 1 - start] & low).bit_count()
+        left = j - 1 - (rows[i - start] & (low >> 1)).bit_count()
+        if above > left:
             i -= 1
         else:
             j -= 1
@@ -149,7 +170,7 @@ def plain_sentences(text: str) -> list[str]:
 
 def _lsum(target: str, prediction: str) -> tuple[float, float, float]:
     left, right = ([plain_tokens(s) for s in plain_sentences(x or "")] for x in (target, prediction))
-    t_left, p_left = pd.Series([w for s in left for w in s]).value_counts().to_dict(), pd.Series([w for s in right for w in s]).value_counts().to_dict()
+    t_left, p_left = Counter(w for s in left for w in s), Counter(w for s in right for w in s)
     hits = 0
     for sentence in left:
         union: set[int] = set()
@@ -157,7 +178,7 @@ def _lsum(target: str, prediction: str) -> tuple[float, float, float]:
             union |= lcs_members(sentence, other)
         for k in sorted(union):
             w = sentence[k]
-            if t_left.get(w, 0) > 0 and p_left.get(w, 0) > 0:
+            if t_left[w] > 0 and p_left[w] > 0:
                 hits += 1
                 t_left[w] -= 1
                 p_left[w] -= 1
