@@ -36,13 +36,65 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
     ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    ],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    ],
+    "LGPL-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA",
+    ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
+    "CC0-1.0": ["Dedicated to the public domain under CC0 1.0 Universal.", "This work is marked with CC0 1.0 Universal, Creative Commons Public Domain Dedication."],
+    "BSD-2-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ],
     "BSD-3-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     ],
 }
+#: What tells licences of one family apart (fixed values: a mark and the wording that it stands for), besides the number of a version.
+MARKS = {
+    "affero": r"affero",
+    "lesser": r"lesser",
+    "library": r"library[^a-z0-9]+general",
+    "nc": r"non-?commercial|by-nc",
+    "sa": r"share-?alike|(by|nc)-sa",
+    "nd": r"no-?deriv|(by|nc)-nd",
+    "names": r"neither[^a-z0-9]+the[^a-z0-9]+name",
+    "advertising": r"advertising",
+}
+VERSION = r"(?:version|licen[cs]e|mpl|cc0|by|nc|sa|nd|attribution|noncommercial|sharealike|noderivatives)[\s,/*#;-]{1,6}(?:v\.? ?)?([0-9]+(?:\.[0-9]+)?)"
+#: How much less similar any other licence with the same marks must be.
+MARGIN = 0.02
+#: What a passage is called that is like a licence but has other marks, or is as much like another one.
+UNSURE = "unsure"
 #: Cosine from which a passage is a licence.
 SIMILAR = 0.8
 #: Lines of a passage.
@@ -60,6 +112,25 @@ def _plain_tokens(text: str) -> list[str]:
     return re.findall(r"[a-z]+|[0-9]+(?:\.[0-9]+)*", text.lower())
 
 
+def marks(text: Column) -> Column:
+    """The marks of a text and the numbers of its versions, in order and joined."""
+    t = F.lower(text)
+    words = [F.when(t.rlike(pattern), F.lit(mark)) for mark, pattern in MARKS.items()]
+    versions = F.transform(F.regexp_extract_all(t, F.lit(VERSION), F.lit(1)), lambda v: F.regexp_replace(v, r"\.0$", ""))
+    return F.array_join(F.concat(F.array_compact(F.array(*words)), F.array_sort(F.array_distinct(versions))), " ")
+
+
+def _told(text: Column) -> Column:
+    """How many of :data:`MARKS` a text has."""
+    t = F.lower(text)
+    return sum((t.rlike(pattern).cast("int") for pattern in MARKS.values()), F.lit(0))
+
+
+def plain_marks(text: str) -> str:
+    t = text.lower()
+    return " ".join([mark for mark, pattern in MARKS.items() if re.search(pattern, t)] + sorted({re.sub(r"\.0$", "", v) for v in re.findall(VERSION, t)}))
+
+
 def document_frequencies(files: DataFrame, templates: dict[str, list[str]], text_col: str = "text") -> tuple[int, dict[str, int]]:
     """Number of files, and of those that have each token of the templates: as many numbers as the templates have tokens."""
     vocabulary = sorted({t for texts in templates.values() for x in texts for t in _plain_tokens(x)})
@@ -110,7 +181,10 @@ def _windows(lines: Column, sure: str) -> Column:
 
 
 def matches(files: DataFrame, *, templates: dict[str, list[str]] = TEMPLATES, similar: float = SIMILAR, path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """``path, license, similarity, line, size, passage, is_file``: the best template of each passage that is similar enough.
+    """``path, license, similarity, line, size, passage, is_file, sure, told``: the best licence of each passage that is similar enough to a template.
+
+    A licence is named only if its template has the passage's marks (:data:`MARKS`, of which it has ``told``, and versions) and any other licence of which that holds is less similar by more than
+    :data:`MARGIN`; other passages are ``unsure``, so a licence without a template isn't taken for its next of kin.
 
     Similarities are rounded to nine places, so that summation order makes no difference; ties go to the first template.  ``line`` counts from 0, -1 is a whole licence file, and
     ``size`` is the number of lines.  Null texts are empty and have no passages; a null path is a file that is in no directory; rows that repeat a path each count.
@@ -135,8 +209,16 @@ def matches(files: DataFrame, *, templates: dict[str, list[str]] = TEMPLATES, si
     size = weighed.groupBy("n").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
     dots = weighed.join(models, "token").groupBy("n", "rank", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(size, "n").withColumn("similarity", F.round(F.col("dot") / F.col("size"), 9)).where(F.col("similarity") >= similar)
-    best = scored.groupBy("n").agg(F.max(F.struct("similarity", (-F.col("rank")).alias("r"), "license")).alias("best"))
-    return held.join(best, "n").select("path", F.col("best.license").alias("license"), F.col("best.similarity").alias("similarity"), "line", "size", "passage", "is_file")
+    marked = F.broadcast(spark.createDataFrame([(k, plain_marks(templates[name][place])) for k, (name, place, _) in enumerate(vectors)], "rank int, marks string"))
+    agreed = scored.join(marked, "rank").join(held.select("n", marks(F.col("passage")).alias("own")), "n").withColumn("agrees", F.col("marks") == F.col("own"))
+    by_licence = agreed.groupBy("n", "license").agg(F.max(F.struct("agrees", "similarity", (-F.col("rank")).alias("r"))).alias("x"))
+    # at most as many licences as there are templates
+    listed = by_licence.groupBy("n").agg(F.reverse(F.array_sort(F.collect_list(F.struct("x.agrees", "x.similarity", "x.r", "license")))).alias("of"))
+    first, second = F.get("of", F.lit(0)), F.get("of", F.lit(1))
+    sure = first["agrees"] & ~F.coalesce(second["agrees"] & (second["similarity"] > F.round(first["similarity"] - MARGIN, 9)), F.lit(False))
+    likest = F.aggregate("of", F.lit(0.0), lambda most, x: F.greatest(most, x["similarity"]))
+    best = listed.select("n", sure.alias("sure"), F.when(sure, first["license"]).otherwise(UNSURE).alias("license"), F.when(sure, first["similarity"]).otherwise(likest).alias("similarity"))
+    return held.join(best, "n").select("path", "license", "similarity", "line", "size", "passage", "is_file", "sure", _told(F.col("passage")).alias("told"))
 
 
 def parents(path: Column) -> Column:
@@ -148,11 +230,11 @@ def parents(path: Column) -> Column:
 def scan(files: DataFrame, *, templates: dict[str, list[str]] = TEMPLATES, similar: float = SIMILAR, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """``path, license, similarity, origin, origin_path`` of every file (row).
 
-    ``origin`` is ``header`` or ``file`` (its own text, the most similar passage, ties to the first line and then the fewest lines), ``inherited`` (the licence file of the nearest directory above, ties to the
+    ``origin`` is ``header`` or ``file`` (its own text: of the passages with most marks, without versions, one that is sure, then the most similar; ties to the first line and then the fewest lines; ``unsure`` if none of these is sure), ``inherited`` (the licence file of the nearest directory above, ties to the
     smallest path) or ``none``.  A null path inherits nothing.
     """
     found = checkpointed(matches(files, templates=templates, similar=similar, path_col=path_col, text_col=text_col))
-    order = F.struct(F.col("similarity"), (-F.col("line")).alias("l"), (-F.col("size")).alias("s"), F.col("license"))
+    order = F.struct("told", "sure", F.col("similarity"), (-F.col("line")).alias("l"), (-F.col("size")).alias("s"), F.col("license"))
     own = found.groupBy("path").agg(F.max_by(F.struct("license", "similarity", "is_file"), order).alias("own"))
     parts = F.split("path", "/")
     given = own.where("own.is_file and path is not null").withColumn("directory", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/"))

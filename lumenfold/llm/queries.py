@@ -189,9 +189,10 @@ SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive
 
 
 def _license_sql() -> str:
-    rows = ", ".join("({}, '{}', '{}')".format(k, name, x.replace("'", "''")) for k, (name, x) in enumerate((n, x) for n, texts in licenses.TEMPLATES.items() for x in texts))
+    rows = ", ".join("({}, '{}', '{}', '{}')".format(k, name, x.replace("'", "''"), licenses.plain_marks(x)) for k, (name, x) in enumerate((n, x) for n, texts in licenses.TEMPLATES.items() for x in texts))
     tok = r"regexp_extract_all(lower({0}), '[a-z]+|[0-9]+(?:\.[0-9]+)*')"
-    return f"""WITH tpl(rank, license, text) AS (VALUES {rows}),
+    words = ", ".join(f"CASE WHEN regexp_matches(lower(passage), '{pattern}') THEN '{mark}' END" for mark, pattern in licenses.MARKS.items())
+    return f"""WITH tpl(rank, license, text, marks) AS (VALUES {rows}),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, len(string_split(coalesce(text, 'x'), chr(10))) <= 2 AND text IS NOT NULL AS is_file,
   concat_ws('/', source, lang) AS directory, concat_ws('/', source, lang, CASE WHEN len(string_split(text, chr(10))) <= 2 THEN 'LICENSE.' ELSE '' END || CAST(doc_id AS VARCHAR)) AS path FROM documents),
 n AS (SELECT count(*) AS n FROM d),
@@ -209,8 +210,13 @@ lw AS (SELECT r, line, k, token, count(*) * coalesce(any_value(idf), (SELECT ln(
 ls AS (SELECT r, line, k, sqrt(sum(w * w)) AS size FROM lw GROUP BY r, line, k),
 dots AS (SELECT r, line, k, rank, license, sum(lw.w * tv.w) AS dot FROM lw JOIN tv USING (token) GROUP BY r, line, k, rank, license),
 sim AS (SELECT r, line, k, rank, license, round(dot / tn.size / ls.size, 9) AS s FROM dots JOIN tn USING (rank) JOIN ls USING (r, line, k)),
-one AS (SELECT * FROM sim WHERE s >= {licenses.SIMILAR} QUALIFY row_number() OVER (PARTITION BY r, line, k ORDER BY s DESC, rank) = 1),
-best AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY r ORDER BY s DESC, line, k, license DESC) = 1),
+pm AS (SELECT r, line, k, len([x FOR x IN [{words}] IF x IS NOT NULL]) AS told, array_to_string(list_concat([x FOR x IN [{words}] IF x IS NOT NULL], list_sort(list_distinct([regexp_replace(v, '\\.0$', '') FOR v IN regexp_extract_all(lower(passage), '{licenses.VERSION}', 1)]))), ' ') AS own FROM l WHERE (r, line, k) IN (SELECT (r, line, k) FROM sim WHERE s >= {licenses.SIMILAR})),
+agreed AS (SELECT r, line, k, rank, sim.license, s, told, tpl.marks = own AS agrees FROM sim JOIN tpl USING (rank) JOIN pm USING (r, line, k) WHERE s >= {licenses.SIMILAR}),
+lic AS (SELECT * FROM agreed QUALIFY row_number() OVER (PARTITION BY r, line, k, license ORDER BY agrees DESC, s DESC, rank) = 1),
+two AS (SELECT *, row_number() OVER w AS at, lead(agrees) OVER w AS next_agrees, lead(s) OVER w AS next_s, max(s) OVER (PARTITION BY r, line, k) AS likest FROM lic WINDOW w AS (PARTITION BY r, line, k ORDER BY agrees DESC, s DESC, rank)),
+sure AS (SELECT *, agrees AND NOT coalesce(next_agrees AND next_s > round(s - {licenses.MARGIN}, 9), false) AS sure FROM two WHERE at = 1),
+one AS (SELECT r, line, k, sure, CASE WHEN sure THEN license ELSE '{licenses.UNSURE}' END AS license, CASE WHEN sure THEN s ELSE likest END AS s, told FROM sure),
+best AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY r ORDER BY told DESC, sure DESC, s DESC, line, k, license DESC) = 1),
 given AS (SELECT directory, path AS g_path, license AS g_license, s AS g_s FROM d JOIN best USING (r) WHERE is_file QUALIFY row_number() OVER (PARTITION BY directory ORDER BY path) = 1)
 SELECT d.doc_id, path, coalesce(license, g_license) AS license, CAST(floor(coalesce(s, g_s) * 1e6 + 0.5) AS BIGINT) AS similarity_ppm,
   CASE WHEN license IS NOT NULL THEN CASE WHEN is_file THEN 'file' ELSE 'header' END WHEN g_license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
