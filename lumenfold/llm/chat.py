@@ -9,8 +9,10 @@ backslashes before a ``|`` one more, so no text holds a mark and every text can
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,11 +23,12 @@ TURN = "struct<role:string,text:string>"
 
 @dataclass(frozen=True)
 class Layout:
-    """Field paths that a record of this layout fills, and the SQL expression of its turns (an array of role and text)."""
+    """Field paths that a record of this layout fills, the SQL expression of its turns (an array of role and text), and paths (with all below them) that it may fill besides."""
 
     name: str
     paths: tuple[str, ...]
     turns: str
+    optional: tuple[str, ...] = ()
 
 
 def _listed(column: str, role: str, text: str, aliases: dict[str, str]) -> str:
@@ -39,10 +42,14 @@ def _pair(question: str, answer: str) -> str:
     return f"array(named_struct('role', 'user', 'text', coalesce({question}, '')), named_struct('role', 'assistant', 'text', coalesce({answer}, '')))"
 
 
+#: Fields about a record, not of its conversation: they are outside its fingerprint.
+METADATA = ("id", "uid", "uuid", "tags", "source", "dataset", "lang", "language", "category", "score", "model", "created", "timestamp", "meta", "metadata")
+_PARTS = "transform(messages, m -> named_struct('role', coalesce(m.role, ''), 'text', array_join(transform(filter(coalesce(m.content, array()), p -> p.text IS NOT NULL), p -> p.text), '')))"
 _SAID = {"human": "user", "gpt": "assistant", "bot": "assistant"}
 _ASKED = "concat(coalesce(instruction, ''), '\\n\\n', coalesce(input, ''))"
 LAYOUTS = (
-    Layout("messages", ("messages[].role", "messages[].content"), _listed("messages", "role", "content", {})),
+    Layout("messages", ("messages[].role", "messages[].content"), _listed("messages", "role", "content", {}), ("messages[].name", "messages[].weight")),
+    Layout("message_parts", ("messages[].role", "messages[].content[].type", "messages[].content[].text"), _PARTS, ("messages[].name", "messages[].weight", "messages[].content[]")),
     Layout("shared", ("conversations[].from", "conversations[].value"), _listed("conversations", "from", "value", _SAID)),
     Layout("completion", ("prompt", "completion"), _pair("prompt", "completion")),
     Layout("response", ("prompt", "response"), _pair("prompt", "response")),
@@ -53,56 +60,60 @@ LAYOUTS = (
 )
 
 
-def _any_filled(value: Column, field: str) -> Column:
-    return F.exists(value, lambda x: x[field].isNotNull())
-
-
-def _filled(kind: T.DataType, name: str, value: Column) -> list[tuple[str, Column]]:
-    """Nested paths of a field and whether a record fills them."""
+def _filled(kind: T.DataType, name: str, some) -> list[tuple[str, Column]]:
+    """Nested paths of a field, at any depth, and whether a record fills them; ``some`` makes a condition on a value one on the record."""
     if isinstance(kind, T.StructType):
-        return [x for f in kind.fields for x in _filled(f.dataType, f"{name}.{f.name}", value[f.name])]
+        return [x for f in kind.fields for x in _filled(f.dataType, f"{name}.{f.name}", lambda test, f=f: some(lambda v: test(v[f.name])))]
     if isinstance(kind, T.ArrayType):
-        if isinstance(kind.elementType, T.StructType):
-            return [(f"{name}[].{f.name}", _any_filled(value, f.name)) for f in kind.elementType.fields]
-        return [(f"{name}[]", F.size(value) > 0)]
-    return [(name, value.isNotNull())]
+        each = lambda test: some(lambda v: F.coalesce(F.exists(v, test), F.lit(False)))
+        if isinstance(kind.elementType, T.StructType | T.ArrayType):
+            return _filled(kind.elementType, f"{name}[]", each)
+        return [(f"{name}[]", some(lambda v: F.coalesce(F.size(v) > 0, F.lit(False))))]
+    return [(name, some(lambda v: v.isNotNull()))]
 
 
 def path_hash(paths: Column) -> Column:
     return F.xxhash64(F.array_join(F.array_sort(paths), "\n"))
 
 
-def fingerprint(records: DataFrame, fields: list[str]) -> Column:
-    """Hash of the sorted paths of the fields (with nested ones) that a record fills."""
-    paths = [x for f in fields for x in _filled(records.schema[f].dataType, f, F.col(f))]
-    return path_hash(F.array_compact(F.array(*[F.when(on, F.lit(path)) for path, on in paths])))
+def fingerprint(records: DataFrame, fields: list[str], optional: tuple[str, ...] = ()) -> Column:
+    """Hash of the sorted paths of the fields (with nested ones) that a record fills, without the ``optional`` ones and what is below them."""
+    paths = [x for f in fields for x in _filled(records.schema[f].dataType, f, lambda test, f=f: test(F.col(f"`{f}`")))]
+    kept = [(path, on) for path, on in paths if not any(path == o or path.startswith((f"{o}.", f"{o}[")) for o in optional)]
+    return path_hash(F.array_compact(F.array(*[F.when(on, F.lit(path)) for path, on in kept])) if kept else F.array().cast("array<string>"))
 
 
-def _turns_of(layout: Layout, fields: list[str]) -> Column | None:
-    roots = {p.split("[")[0].split(".")[0] for p in layout.paths}
-    return F.expr(layout.turns).cast(f"array<{TURN}>") if roots <= set(fields) else None
+def _turns_of(records: DataFrame, layout: Layout) -> Column | None:
+    """The turns' expression; None if the records lack its fields or have them in types that it isn't for."""
+    made = F.expr(layout.turns).cast(f"array<{TURN}>")
+    try:
+        records.select(made).schema  # noqa: B018  analysed, not run
+    except AnalysisException:
+        return None
+    return made
 
 
-def canonical(records: DataFrame, *, id_cols: list[str], layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+def canonical(records: DataFrame, *, id_cols: list[str], layouts: tuple[Layout, ...] = LAYOUTS, metadata: tuple[str, ...] = METADATA) -> DataFrame:
     """``id_cols, layout, turns``: the layout that each record's fingerprint selects and its canonical turns.
 
-    All other columns are the records' fields.  A role or text that is null counts as unfilled and is empty in the turns; a list layout is
-    also selected by records that fill only some of its paths in the list.  A record that no mapping knows has a null layout and no turns.
+    All other columns are the records' fields but for those named in ``metadata``.  A role or text that is null counts as unfilled and is empty in the turns; a list layout is
+    also selected by records that fill only some of its paths in the list.  Of contents that are lists of parts the texts are joined, parts without a text give none.  A record that no mapping
+    knows, and one whose fields have types that no mapping is for, has a null layout and no turns.
     """
-    fields = [c for c in records.columns if c not in id_cols]
-    seen = records.withColumn("__fp", fingerprint(records, fields))
+    fields = [c for c in records.columns if c not in id_cols and c not in metadata]
     layout, turns = F.lit(None).cast("string"), F.array().cast(f"array<{TURN}>")
+    prints = {}  # a fingerprint for each set of optional paths
     for x in reversed(layouts):
-        made = _turns_of(x, fields)
+        made = _turns_of(records.select(*[F.col(f"`{c}`") for c in fields]), x)
         if made is None:
             continue
+        name = prints.setdefault(x.optional, f"__fp{len(prints)}")
+        inner = [p for p in x.paths if p not in x.optional and not any(p.startswith((f"{o}.", f"{o}[")) for o in x.optional)]
         nested = all("[]." in p for p in x.paths)
-        subsets = [x.paths] if not nested else [tuple(p for k, p in enumerate(x.paths) if m >> k & 1) for m in range(1, 1 << len(x.paths))]
-        hits = [F.col("__fp") == path_hash(F.array(*map(F.lit, s))) for s in subsets]
-        is_it = hits[0]
-        for hit in hits[1:]:
-            is_it = is_it | hit
+        subsets = [inner] if not nested else [[p for k, p in enumerate(inner) if m >> k & 1] for m in range(1, 1 << len(inner))]
+        is_it = functools.reduce(lambda a, b: a | b, [F.col(name) == path_hash(F.array(*map(F.lit, s))) for s in subsets])
         layout, turns = F.when(is_it, F.lit(x.name)).otherwise(layout), F.when(is_it, made).otherwise(turns)
+    seen = records.withColumns({name: fingerprint(records, fields, optional) for optional, name in prints.items()}) if prints else records
     return seen.select(*id_cols, layout.alias("layout"), turns.alias("turns"))
 
 

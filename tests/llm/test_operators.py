@@ -617,6 +617,28 @@ def test_layouts(spark):
     assert got[8] == got[9] == got[10] == (None, [])
 
 
+def test_contents_of_parts_more_fields_and_types_without_a_mapping(spark):
+    parts = "messages array<struct<role:string,content:array<struct<type:string,text:string,image:struct<url:string>>>,name:string>>"
+    rows = [
+        (1, [("user", [("text", "a", None), ("image", None, ("u",)), ("text", "b", None)], "n"), ("assistant", [("text", "c", None)], None)], None),
+        (2, [("user", None, None), (None, [], None)], ["x"]),
+        (3, None, ["x"]),
+    ]
+    got = {x.id: (x.layout, [tuple(t) for t in x.turns]) for x in chat.canonical(spark.createDataFrame(rows, f"id int, {parts}, tags array<string>"), id_cols=["id"]).collect()}
+    assert got == {1: ("message_parts", [("user", "ab"), ("assistant", "c")]), 2: ("message_parts", [("user", ""), ("", "")]), 3: (None, [])}
+    tagged = spark.createDataFrame([(1, "p", "c", ["t"], "web", None), (2, "p", "c", None, None, 0.5)], "key int, prompt string, completion string, tags array<string>, source string, other double")
+    got = {x.key: (x.layout, [tuple(t) for t in x.turns]) for x in chat.canonical(tagged, id_cols=["key"]).collect()}
+    assert got == {1: ("completion", [("user", "p"), ("assistant", "c")]), 2: (None, [])}
+    for odd in ("messages string", "messages map<string,string>", "messages array<string>", "messages array<array<struct<role:string>>>", "messages struct<role:string,content:string>", "prompt array<int>, completion struct<a:int>", "x int", "`a.b` string"):
+        table = spark.createDataFrame([], f"id int, {odd}")
+        assert chat.canonical(table, id_cols=["id"]).columns == ["id", "layout", "turns"] and chat.canonical(table, id_cols=["id"]).count() == 0
+    texts = spark.createDataFrame([(1, "hello")], "id int, messages string")
+    assert [(x.layout, x.turns) for x in chat.canonical(texts, id_cols=["id"]).collect()] == [(None, [])]
+    deep = spark.createDataFrame([(1, [([("v",)],)])], "id int, a array<struct<b:array<struct<c:string>>>>")
+    own = chat.Layout("deep", ("a[].b[].c",), "transform(flatten(transform(a, x -> x.b)), y -> named_struct('role', 'user', 'text', y.c))")
+    assert [(x.layout, [tuple(t) for t in x.turns]) for x in chat.canonical(deep, id_cols=["id"], layouts=(own,)).collect()] == [("deep", [("user", "v")])]
+
+
 # ---- licences
 
 
@@ -638,16 +660,21 @@ def plain_matches(rows, similar):
     idf = lambda t: np.log((1 + len(files)) / (1 + (df[t] if t in vocabulary else 0))) + 1
     unit = lambda ts: {t: c * idf(t) for t, c in collections.Counter(ts).items()}
     cos = lambda a, b: sum(w * b.get(t, 0) for t, w in a.items()) / np.sqrt(sum(w * w for w in a.values()) * sum(w * w for w in b.values()))
-    models = [(n, unit(licenses._plain_tokens(t))) for n, ts in licenses.TEMPLATES.items() for t in ts]
+    models = [(n, unit(licenses._plain_tokens(t)), licenses.plain_marks(t)) for n, ts in licenses.TEMPLATES.items() for t in ts]
     for path, text in rows:
         lines = (text or "").split("\n")
         for size in licenses.WINDOWS:
             for k in range(len(lines) - size + 1):
-                u = unit(licenses._plain_tokens("\n".join(lines[k : k + size])))
-                if u:
-                    s, name = max(((cos(u, m), n) for n, m in models), key=lambda x: x[0])
+                passage = "\n".join(lines[k : k + size])
+                u, own, of = unit(licenses._plain_tokens(passage)), licenses.plain_marks(passage), {}
+                for n, m, told in models if u else ():
+                    s = round(cos(u, m), 9)
                     if s >= similar:
-                        yield path, k, size, name, round(s, 9)
+                        of[n] = max(of.get(n, (False, 0)), (told == own, s))
+                if of:
+                    (_, best), name = max((x, n) for n, x in of.items())
+                    sure = of[name][0] and all(not ok or s <= round(best - licenses.MARGIN, 9) for n, (ok, s) in of.items() if n != name)
+                    yield path, k, size, name if sure else "unsure", best if sure else max(s for _, s in of.values())
 
 
 def test_license_scores_are_brute_force_and_inheritance(spark):
@@ -670,11 +697,58 @@ def test_notices_wrapped_over_lines_and_whole_licences_are_found(spark):
     wrap = lambda text, width, mark: "\n".join(mark + x for x in textwrap.wrap(text, width))
     gpl, bsd, mit, apache = licenses.TEMPLATES["GPL-3.0"][2], licenses.TEMPLATES["BSD-3-Clause"][1], licenses.TEMPLATES["MIT"][2], licenses.TEMPLATES["Apache-2.0"][2]
     code = "\n".join(f"value{k} = compute(value{k + 1}, other)" for k in range(40))
-    rows = [("s/gpl.c", "/*\n" + wrap(gpl, 70, " * ") + "\n */\n" + code), ("s/bsd.py", code + "\n" + wrap(bsd[:145], 40, "# ") + "\n" + code), ("s/apache.js", wrap(apache, 60, "// ") + "\n" + code), ("t/LICENSE", "Copyright (c) 2020 A. Person\n" + wrap(mit, 78, "")), ("t/a.py", code), ("u/b.py", code)]
+    rows = [("s/gpl.c", "/*\n" + wrap(gpl, 70, " * ") + "\n */\n" + code), ("s/bsd.py", code + "\n" + wrap(bsd, 70, "# ") + "\n" + code), ("s/apache.js", wrap(apache, 60, "// ") + "\n" + code), ("t/LICENSE", "Copyright (c) 2020 A. Person\n" + wrap(mit, 78, "")), ("t/a.py", code), ("u/b.py", code)]
     got = {x.path: (x.license, x.origin) for x in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert got == {"s/gpl.c": ("GPL-3.0", "header"), "s/bsd.py": ("BSD-3-Clause", "header"), "s/apache.js": ("Apache-2.0", "header"), "t/LICENSE": ("MIT", "file"), "t/a.py": ("MIT", "inherited"), "u/b.py": (None, "none")}
 
 
+_GNU = "This {w} is free software{a} you can redistribute it and/or modify it under the terms of the GNU {n}General Public License as published by the Free Software Foundation{b} either version {v} of the License, or (at your option) any later version.\n\nThis {w} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU {n}General Public License for more details.\n\n"
+_GONE = "You should have received a copy of the GNU {n}General Public License along with this {w}{c}"
+_OLD, _NEW = "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.", ".  If not, see <https://www.gnu.org/licenses/>."
+_CC = "This work is licensed under a Creative Commons {} International License."
+
+
+def _gnu(name, version, word="program"):
+    old = version.startswith("2")
+    return (_GNU + _GONE).format(w=word, n=name, v=version, a=";" if old else ":", b=";" if old else ",", c=_OLD if old else _NEW)
+
+
+NOTICES = {
+    "GPL-2.0": _gnu("", "2"),
+    "GPL-3.0": _gnu("", "3"),
+    "AGPL-3.0": _gnu("Affero ", "3"),
+    "LGPL-2.1": _gnu("Lesser ", "2.1", "library"),
+    "LGPL-3.0": _gnu("Lesser ", "3"),
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "CC-BY-4.0": _CC.format("Attribution 4.0"),
+    "CC-BY-SA-4.0": _CC.format("Attribution-ShareAlike 4.0"),
+    "CC-BY-ND-4.0": _CC.format("Attribution-NoDerivatives 4.0"),
+    "CC-BY-NC-SA-4.0": _CC.format("Attribution-NonCommercial-ShareAlike 4.0"),
+    "CC-BY-NC-ND-4.0": _CC.format("Attribution-NonCommercial-NoDerivatives 4.0"),
+    "BSD-2-Clause": licenses.TEMPLATES["BSD-2-Clause"][1],
+    "BSD-3-Clause": licenses.TEMPLATES["BSD-3-Clause"][1],
+    # no templates: not taken for their next of kin
+    "GPL-1": _gnu("", "1"),
+    "LGPL-2.0": _gnu("Library ", "2", "library"),
+    "CC-BY-SA-3.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",
+    "BSD-4-Clause": licenses.TEMPLATES["BSD-3-Clause"][1].replace("3. Neither", "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization. 4. Neither"),
+    "BSD header": licenses.TEMPLATES["BSD-3-Clause"][0],
+}
+
+
+@pytest.mark.parametrize("width", [60, 75, 10_000])
+def test_licences_of_a_family_are_told_apart(spark, width):
+    wrap = lambda text: "\n".join("# " + x for part in text.split("\n\n") for x in [*textwrap.wrap(part, width), ""])
+    code = "\n".join(f"value{k} = compute(value{k + 1}, other)  # version {k}" for k in range(40))
+    rows = [(f"s/{name}", wrap(text) + "\n" + code) for name, text in NOTICES.items()]
+    got = {x.path[2:]: x.license for x in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    known = set(NOTICES) & set(licenses.TEMPLATES)
+    assert {name: got[name] for name in known} == {name: name for name in known}
+    # of the others a notice may be too unlike any template
+    assert {got[name] for name in set(NOTICES) - known} <= {"unsure", None} and got["BSD header"] == got["GPL-1"] == "unsure"
+
+
 # ---- archives
 
 
