@@ -3,7 +3,7 @@
 All is DataFrame expressions.  Passages are windows of one to ``WINDOWS[-1]`` neighbouring lines anywhere in a text, as notices are wrapped over lines
 (comment marks aren't tokens, so they don't matter); a file that is named like a licence is one passage as a whole too.  Inverse document frequencies of the templates' tokens come from all documents; any other token is as
 rare as one that no document has.  A passage can only be as similar as asked to a template if it has one of the
-template's heaviest tokens (without them the rest of its weight is too little), so passages without any such token are left out
+template's telling tokens (without them the rest of its weight is too little), so passages without any such token are left out
 before they are scored, which loses none; windows are made around the lines that have one.
 
 A file without a licence of its own takes that of the nearest directory above it that has a licence file.
@@ -156,10 +156,10 @@ def _weights(n: int, df: dict[str, int], templates: dict[str, list[str]]) -> tup
     return out, seen, math.log(1 + n) + 1
 
 
-def telling_tokens(vector: dict[str, float], similar: float) -> list[str]:
-    """The heaviest tokens without all of which the cosine must stay below ``similar``."""
+def telling_tokens(vector: dict[str, float], similar: float, df: dict[str, int]) -> list[str]:
+    """Tokens without all of which the cosine must stay below ``similar``: those in few documents for their weight, so that few passages have one."""
     left, out = 1.0, []
-    for token, weight in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
+    for token, weight in sorted(vector.items(), key=lambda x: (df.get(x[0], 0) / (x[1] * x[1]), -x[1], x[0])):
         if math.sqrt(max(left, 0)) < similar:
             break
         out.append(token)
@@ -191,7 +191,7 @@ def matches(files: DataFrame, *, templates: dict[str, list[str]] = TEMPLATES, si
     """
     n, df = document_frequencies(files, templates, text_col)
     vectors, idf, other = _weights(n, df, templates)
-    telling = sorted({t for _, _, v in vectors for t in telling_tokens(v, similar)})
+    telling = sorted({t for _, _, v in vectors for t in telling_tokens(v, similar, df)})
     text = text_column(text_col)
     named = F.coalesce(F.lower(F.element_at(F.split(F.col(path_col), "/"), -1)).rlike(FILE_NAMES), F.lit(False))
     lines = F.split(text, "\n", -1)

@@ -213,8 +213,8 @@ sim AS (SELECT r, line, k, rank, license, round(dot / tn.size / ls.size, 9) AS s
 pm AS (SELECT r, line, k, len([x FOR x IN [{words}] IF x IS NOT NULL]) AS told, array_to_string(list_concat([x FOR x IN [{words}] IF x IS NOT NULL], list_sort(list_distinct([regexp_replace(v, '\\.0$', '') FOR v IN regexp_extract_all(lower(passage), '{licenses.VERSION}', 1)]))), ' ') AS own FROM l WHERE (r, line, k) IN (SELECT (r, line, k) FROM sim WHERE s >= {licenses.SIMILAR})),
 agreed AS (SELECT r, line, k, rank, sim.license, s, told, tpl.marks = own AS agrees FROM sim JOIN tpl USING (rank) JOIN pm USING (r, line, k) WHERE s >= {licenses.SIMILAR}),
 lic AS (SELECT * FROM agreed QUALIFY row_number() OVER (PARTITION BY r, line, k, license ORDER BY agrees DESC, s DESC, rank) = 1),
-two AS (SELECT *, row_number() OVER w AS at, lead(agrees) OVER w AS next_agrees, lead(s) OVER w AS next_s, max(s) OVER (PARTITION BY r, line, k) AS likest FROM lic WINDOW w AS (PARTITION BY r, line, k ORDER BY agrees DESC, s DESC, rank)),
-sure AS (SELECT *, agrees AND NOT coalesce(next_agrees AND next_s > round(s - {licenses.MARGIN}, 9), false) AS sure FROM two WHERE at = 1),
+two AS (SELECT *, row_number() OVER w AS place, lead(agrees) OVER w AS next_agrees, lead(s) OVER w AS next_s, max(s) OVER (PARTITION BY r, line, k) AS likest FROM lic WINDOW w AS (PARTITION BY r, line, k ORDER BY agrees DESC, s DESC, rank)),
+sure AS (SELECT *, agrees AND NOT coalesce(next_agrees AND next_s > round(s - {licenses.MARGIN}, 9), false) AS sure FROM two WHERE place = 1),
 one AS (SELECT r, line, k, sure, CASE WHEN sure THEN license ELSE '{licenses.UNSURE}' END AS license, CASE WHEN sure THEN s ELSE likest END AS s, told FROM sure),
 best AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY r ORDER BY told DESC, sure DESC, s DESC, line, k, license DESC) = 1),
 given AS (SELECT directory, path AS g_path, license AS g_license, s AS g_s FROM d JOIN best USING (r) WHERE is_file QUALIFY row_number() OVER (PARTITION BY directory ORDER BY path) = 1)
