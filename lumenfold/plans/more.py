@@ -698,7 +698,7 @@ def _lead_step(before: str | None, chunk: str) -> str:
 @query(ORACLES["iterative_fold"])
 def stream_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The iterative fold as a stateful stream of turns."""
-    return _drained(streams.summaries(_stream(spark, sf_dir, "conversations"), "conv_id", "turn", "text", _lead_step), spark, "stream-summaries")
+    return _drained(streams.summaries(_stream(spark, sf_dir, "conversations"), "conv_id", "turn", "text", _lead_step), spark, "stream-summaries").drop("status")
 
 
 @query(

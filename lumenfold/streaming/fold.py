@@ -4,84 +4,54 @@ steps, running totals, resumable appends.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.overlap import plain_tokens
 from ..sources.collections import USAGE
 from ..sources.sinks import append_new
+from .ordered import in_order
 
 Step = Callable[[str | None, str], str]
-STATE = "next long, last string, waiting string"
 
 
-def _in_order(state: GroupState, rows: list[tuple[int, str]]) -> tuple[int, str | None, list[tuple[int, str]], dict[str, str]]:
-    """Next step wanted, last output, steps that can be taken now, and those that wait for an earlier one; a step that comes again is dropped."""
-    at, last, waiting = state.get if state.exists else (0, None, "{}")
-    held = {int(k): v for k, v in json.loads(waiting).items()}
-    for k, text in rows:
-        if k >= at:
-            held.setdefault(int(k), text)
-    ready = []
-    while at in held:
-        ready.append((at, held.pop(at)))
-        at += 1
-    return at, last, ready, {str(k): v for k, v in held.items()}
+def summaries(chunks: DataFrame, item: str, step: str, text: str, summary: Step, *, first: int = 0, patience: int | None = None, idle: int | None = None) -> DataFrame:
+    """``item, summary_index, summary, status`` as chunks (numbered from ``first``) arrive in any order; each step is made once, in order (see :func:`ordered.in_order`).
 
+    ``summary_index`` counts from 1 for the first chunk.
+    """
+    values = T.StructType([T.StructField("summary", T.StringType())])
 
-def summaries(chunks: DataFrame, item: str, step: str, text: str, summary: Step) -> DataFrame:
-    """``item, summary_index, summary`` as chunks (numbered from 0) arrive in any order; each step is made once, in order.
+    def made(last: str | None, _: int, chunk: str) -> tuple[str, tuple]:
+        now = summary(last, chunk)
+        return now, (now,)
 
-    State is the last summary and the chunks that wait for an earlier one, by item.
-    """
-    schema = T.StructType([T.StructField(item, chunks.schema[item].dataType), T.StructField("summary_index", T.LongType()), T.StructField("summary", T.StringType())])
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = [x for f in frames for x in zip(f[step].tolist(), f[text].fillna("").tolist(), strict=True)]
-        at, last, ready, waiting = _in_order(state, rows)
-        out = []
-        for k, chunk in ready:
-            last = summary(last, chunk)
-            out.append((key[0], k + 1, last))
-        state.update((at, last, json.dumps(waiting)))
-        if out:
-            yield pd.DataFrame(out, columns=schema.names)
-
-    return chunks.groupBy(item).applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def continuity(steps: DataFrame, item: str, step: str, text: str) -> DataFrame:
-    """``item, step, overlap, f1`` of each step's bigrams with the step's before, as steps arrive in any order."""
-    schema = T.StructType([T.StructField(item, steps.schema[item].dataType), T.StructField("step", T.LongType()), T.StructField("overlap", T.LongType()), T.StructField("f1", T.DoubleType())])
-
-    def grams(x: str) -> dict[tuple[str, str], int]:
-        w, out = plain_tokens(x), {}
-        for pair in zip(w, w[1:], strict=False):
-            out[pair] = out.get(pair, 0) + 1
-        return out
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = [x for f in frames for x in zip(f[step].tolist(), f[text].fillna("").tolist(), strict=True)]
-        at, last, ready, waiting = _in_order(state, rows)
-        out = []
-        for k, now in ready:
-            if last is not None:
-                a, b = grams(last), grams(now)
-                hits, total = sum(min(n, b.get(g, 0)) for g, n in a.items()), sum(a.values()) + sum(b.values())
-                out.append((key[0], k, hits, 2 * hits / total if total else 0.0))
-            last = now
-        state.update((at, last, json.dumps(waiting)))
-        if out:
-            yield pd.DataFrame(out, columns=schema.names)
-
-    return steps.groupBy(item).applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.NoTimeout)
+    out = in_order(chunks, item, step, text, values, made, first=first, patience=patience, idle=idle)
+    return out.select(item, (F.col("step") - first + 1).alias("summary_index"), "summary", "status")
+
+
+def _bigrams(x: str) -> Counter:
+    w = plain_tokens(x)
+    return Counter(zip(w, w[1:], strict=False))
+
+
+def continuity(steps: DataFrame, item: str, step: str, text: str, *, first: int = 0, patience: int | None = None, idle: int | None = None) -> DataFrame:
+    """``item, step, overlap, f1, status`` of each step's bigrams with the step's before, as steps arrive in any order; the step after a gap has no row."""
+    values = T.StructType([T.StructField("overlap", T.LongType()), T.StructField("f1", T.DoubleType())])
+
+    def made(last: str | None, _: int, now: str) -> tuple[str, tuple | None]:
+        if last is None:
+            return now, None
+        a, b = _bigrams(last), _bigrams(now)
+        hits, total = (a & b).total(), a.total() + b.total()
+        return now, (hits, 2 * hits / total if total else 0.0)
+
+    return in_order(steps, item, step, text, values, made, first=first, patience=patience, idle=idle, across=False)
 
 
 def spending_stream(spark: SparkSession, path: str) -> DataFrame:
