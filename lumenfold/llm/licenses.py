@@ -180,6 +180,21 @@ def _windows(lines: Column, sure: str) -> Column:
     return F.array_distinct(F.flatten(F.transform(told, lambda k: F.concat(*[around(k, w) for w in WINDOWS]))))
 
 
+def _able(passage: Column, idf: dict[str, float], other: float, similar: float) -> Column:
+    """Whether a passage can be ``similar`` to a template: what no template has weighs too much otherwise.
+
+    The cosine is at most the share of the templates' tokens in the passage's length; each other token adds at least its weight once.
+    """
+    known, weights = F.array(*map(F.lit, idf)), F.create_map(*[F.lit(x) for item in idf.items() for x in item])
+
+    def holds(ts: Column) -> Column:
+        square = lambda t: F.pow((F.size(ts) - F.size(F.array_remove(ts, t))) * F.try_element_at(weights, t), F.lit(2.0))
+        inside = F.aggregate(F.array_intersect(ts, known), F.lit(0.0), lambda sum_, t: sum_ + square(t))
+        return F.size(F.array_except(ts, known)) * (other * other) <= inside * ((1 / (similar * similar) - 1) * (1 + 1e-6)) + 1e-6
+
+    return F.get(F.transform(F.array(tokens(passage)), holds), F.lit(0))
+
+
 def matches(files: DataFrame, *, templates: dict[str, list[str]] = TEMPLATES, similar: float = SIMILAR, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """``path, license, similarity, line, size, passage, is_file, sure, told``: the best licence of each passage that is similar enough to a template.
 
@@ -199,7 +214,7 @@ def matches(files: DataFrame, *, templates: dict[str, list[str]] = TEMPLATES, si
     some = files.where(text.rlike(sure)).select(F.col(path_col).alias("path"), named.alias("is_file"), lines.alias("lines"))
     passages = some.select("path", "is_file", "lines", F.explode(_windows(F.col("lines"), sure)).alias("w")).select("path", "is_file", "w.line", "w.size", F.array_join(F.slice("lines", F.col("w.line") + 1, F.col("w.size")), "\n").alias("passage"))
     whole = some.where("is_file").select("path", "is_file", F.lit(-1).alias("line"), F.size("lines").alias("size"), F.array_join("lines", "\n").alias("passage"))
-    held = checkpointed(passages.unionByName(whole).withColumn("n", F.monotonically_increasing_id()))
+    held = checkpointed(passages.unionByName(whole).where(_able(F.col("passage"), idf, other, similar)).withColumn("n", F.monotonically_increasing_id()))
     # the templates' few weights are broadcast, a row for each token (and template)
     spark = files.sparkSession
     known = F.broadcast(spark.createDataFrame([(t, x) for t, x in idf.items()], "token string, idf double"))
