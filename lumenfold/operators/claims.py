@@ -33,11 +33,12 @@ def contained_share(claim: str | Column, source: str | Column) -> Column:
     return _share(F.array_distinct(tokens(column(claim))), tokens(column(source)))
 
 
-def verified(claims: DataFrame, sources: DataFrame, item: str, source_text: str, *, method: str = "full_text", yes: float = 0.9, partial: float = 0.6, top: int = 3, words: int = 100) -> DataFrame:
+def verified(claims: DataFrame, sources: DataFrame, item: str, source_text: str, *, method: str = "full_text", yes: float = 0.9, partial: float = 0.6, top: int = 3, words: int = 100, literal: bool = False) -> DataFrame:
     """Adds ``predicted_label`` (Yes, PartialSupport or No) and ``faithful`` by words in common; a claim without a source has null ones.
 
     With ``full_text`` a claim is held against its item's whole source, with ``bm25`` against the ``top`` passages of ``words`` words of that source
-    that are most like it.  Claims and sources are joined by ``item`` of which a source has one row.
+    that are most like it.  A claim without words (of ASCII letters or digits) is in no source; with ``literal`` it is in one that has it as it stands.
+    Claims and sources are joined by ``item`` of which a source has one row.
     """
     if method == "full_text":
         # a source becomes words once, not for every claim of it
@@ -46,9 +47,13 @@ def verified(claims: DataFrame, sources: DataFrame, item: str, source_text: str,
         told = _retrieved(claims, sources, item, source_text, top, words)
     else:
         raise ValueError(f"no method {method}")
-    share = F.when(F.col("__words").isNotNull(), _share(F.array_distinct(tokens("claim")), F.col("__words")))
+    share = _share(F.array_distinct(tokens("claim")), F.col("__words"))
+    if literal:
+        told = told.join(sources.select(item, F.col(source_text).alias("__source")), item, "left")
+        share = F.when((F.size(tokens("claim")) == 0) & (F.col("claim") != "") & F.contains("__source", "claim"), F.lit(1.0)).otherwise(share)
+    share = F.when(F.col("__words").isNotNull(), share)
     label = F.when(share >= yes, "Yes").when(share >= partial, "PartialSupport").when(share.isNotNull(), "No")
-    return told.withColumn("predicted_label", label).withColumn("faithful", is_faithful("predicted_label")).drop("__words")
+    return told.withColumn("predicted_label", label).withColumn("faithful", is_faithful("predicted_label")).drop("__words", "__source")
 
 
 def _share(claim: Column, source: Column) -> Column:

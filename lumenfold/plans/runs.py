@@ -108,7 +108,7 @@ def claims_run(summaries: DataFrame, out: str, source: str, *, provider: Provide
     return _stored(summaries.sparkSession, out, run_id(source, "claims", {"template": template}), ["item_id", "summary_index"], summaries, make, overwrite)
 
 
-def faithfulness_run(extracted: DataFrame, sources: DataFrame, out: str, source: str, *, last_only: bool = False, claim_stop: int | None = None, method: str = "full_text", overwrite: bool = False) -> tuple[str, DataFrame]:
+def faithfulness_run(extracted: DataFrame, sources: DataFrame, out: str, source: str, *, last_only: bool = False, claim_stop: int | None = None, method: str = "full_text", literal: bool = True, overwrite: bool = False) -> tuple[str, DataFrame]:
     """Faithfulness by summary; range, limits and the way of verification are part of the run's name, so settings don't meet in one folder."""
     if last_only:
         top = extracted.groupBy("item_id").agg(F.max("summary_index").alias("__l"))
@@ -116,12 +116,12 @@ def faithfulness_run(extracted: DataFrame, sources: DataFrame, out: str, source:
 
     def make(some: DataFrame) -> DataFrame:
         each = claims.exploded(some, "item_id", "summary_index", stop=claim_stop)
-        told = claims.verified(each, sources.select("item_id", "content"), "item_id", "content", method=method)
+        told = claims.verified(each, sources.select("item_id", "content"), "item_id", "content", method=method, literal=literal)
         scored = claims.faithfulness(told, "item_id", "summary_index")
         none = some.join(scored.select("item_id", "summary_index"), ["item_id", "summary_index"], "left_anti").select("item_id", "summary_index", F.lit(0).cast("long").alias("claims"), F.lit(0).cast("long").alias("faithful"), F.lit(0.0).alias("strict"), F.lit(0.0).alias("lenient"))
         return scored.unionByName(none)
 
-    return _stored(extracted.sparkSession, out, run_id(source, "faithfulness", {"last_only": last_only, "claim_stop": claim_stop, "method": method}), ["item_id", "summary_index"], extracted, make, overwrite)
+    return _stored(extracted.sparkSession, out, run_id(source, "faithfulness", {"last_only": last_only, "claim_stop": claim_stop, "method": method, "literal": literal}), ["item_id", "summary_index"], extracted, make, overwrite)
 
 
 def solve_run(segments: DataFrame, out: str, source: str, *, spec: str, solver: Provider, template: str = "{text}", overwrite: bool = False) -> tuple[str, DataFrame]:

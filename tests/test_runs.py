@@ -40,6 +40,17 @@ def test_runs_go_on_where_they_were(spark, tmp_path):
     assert {x.item_id: x.culprit.assessment["culprit_correct"] for x in judged.collect()} == {"a": "Yes", "b": "No"}
 
 
+def test_claims_without_words_are_held_as_they_stand(spark, tmp_path):
+    """Claims of a last turn that have no ASCII letter or digit, as ``Ñ.`` has none, are in the text that they are from."""
+    sources = spark.createDataFrame([("a", "El oso. Ñ.\n... Ça va"), ("b", "Ann left. Ñ")], "item_id string, content string")
+    extracted = spark.createDataFrame([("a", 1, ["El oso", "Ñ.", "..."]), ("b", 1, ["Ann left", "Ü", "Ñ"]), ("c", 1, ["Ñ"])], "item_id string, summary_index int, claims array<string>")
+    for method in ("full_text", "bm25"):
+        _, told = runs.faithfulness_run(extracted, sources, str(tmp_path), "tales", method=method)
+        assert {x.item_id: (x.claims, x.faithful) for x in told.collect()} == {"a": (3, 3), "b": (3, 2), "c": (0, 0)}
+    _, told = runs.faithfulness_run(extracted, sources, str(tmp_path), "tales", literal=False)
+    assert {x.item_id: x.faithful for x in told.collect()} == {"a": 1, "b": 1, "c": 0}
+
+
 def test_ingested_novels_and_passages(spark):
     novels = spark.createDataFrame([(1, "T", "\n".join(f"[{k}] line {k} Zed" for k in range(1, 11))), (2, "U", "[1] x\n[2] y"), (3, "V", "q")], "novel_id int, title string, text string")
     q = "array<struct<question:string,answer:string,answer_position:int,options:map<string,string>>>"
