@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_operators import odd_docs
 
@@ -76,3 +77,12 @@ def test_odd_rows(spark):
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns and kept.where("doc_id = 6").count() == 0 and kept.where("doc_id = 5").count() == 1
     assert simhash.near_copies(docs.limit(0)).count() == 0
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark):
+    """A worker holds several times a batch of whole texts; 1,000 rows of them took an executor over its memory."""
+    from lumenfold.llm._common import small_batches
+
+    small_batches(spark)
+    sizes = spark.range(2000).coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [x.num_rows]}) for x in batches), "n long").collect()
+    assert sum(x.n for x in sizes) == 2000 and max(x.n for x in sizes) <= 250
