@@ -131,21 +131,28 @@ def converted(data: bytes, strict: bool = True) -> Iterator[tuple]:
 _ARROW_ENTRY = pa.schema([(f.name, pa.binary() if isinstance(f.dataType, T.BinaryType) else pa.string()) for f in ENTRY])
 
 
-def from_arc(files: DataFrame, content_col: str = "content", *, strict: bool = True) -> DataFrame:
-    """:data:`ENTRY` columns of the records of ARC files, a file a row (as Spark's binaryFile source gives them).
+def from_arc(files: DataFrame, content_col: str = "content", *, strict: bool = True, payload: bool = True) -> DataFrame:
+    """:data:`ENTRY` columns of the records of ARC files, a file a row (as Spark's binaryFile source gives them); without ``payload`` its size, ``payload_bytes``, instead.
 
     Null and empty contents have no records; an unknown version or a declared length beyond the file fails, or ends the file if not ``strict``.
     """
     small_batches(files.sparkSession, 64)
+    place, schema, arrow = ENTRY.names.index("payload"), ENTRY, _ARROW_ENTRY
+    if not payload:
+        schema = T.StructType([f if f.name != "payload" else T.StructField("payload_bytes", T.LongType()) for f in ENTRY])
+        arrow = _ARROW_ENTRY.set(place, pa.field("payload_bytes", pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in raw(batch.column(0)):
                 rows = list(converted(data, strict))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW_ENTRY, strict=True)], schema=_ARROW_ENTRY)
+                    columns = list(zip(*rows, strict=True))
+                    if not payload:
+                        columns[place] = [len(x) for x in columns[place]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return files.select(content_col).mapInArrow(run, ENTRY)
+    return files.select(content_col).mapInArrow(run, schema)
 
 
 def rendered(refers_to: Column, refers_to_uri: Column, marks: dict[str, Column]) -> Column:
@@ -177,9 +184,9 @@ def rendered(refers_to: Column, refers_to_uri: Column, marks: dict[str, Column])
 
 
 def write_warc(records: DataFrame, path: str, record_col: str = "record", compression: str = "gzip", file_records: int = SIZE_CLASSES[0][1]) -> None:
-    """Writes records (rendered text, null ones left out) as WARC files of at most ``file_records`` each, compressed as a whole (or ``none``), to a new folder or beside older ones."""
+    """Writes records (rendered text, null ones left out) as WARC files of at most ``file_records`` each, compressed as a whole and fast (or ``none``), to a new folder or beside older ones."""
     whole = records.select(F.col(record_col).alias("value")).where("value is not null")
-    whole.write.mode("append").option("lineSep", _GAP.decode()).option("compression", compression).option("maxRecordsPerFile", file_records).text(path)
+    whole.write.mode("append").option("lineSep", _GAP.decode()).option("compression", compression).option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", file_records).text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -247,12 +254,12 @@ def archive_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     spark = pages.sparkSession
     path = path or f"{scratch_dir(spark).rstrip('/')}/lumenfold-scratch/warc-{uuid.uuid4().hex}"
 
-    def entries(some: DataFrame) -> DataFrame:
-        told = from_arc(pages_as_arc(some, id_col=id_col, url_col=url_col, html_col=html_col))
-        told = told.withColumn("page", F.expr(r"try_cast(regexp_extract(cast(http_head as string), 'X-Page: (-?\\d*)', 1) as bigint)")).withColumn("size", F.octet_length("payload"))
+    def entries(some: DataFrame, payload: bool = True) -> DataFrame:
+        told = from_arc(pages_as_arc(some, id_col=id_col, url_col=url_col, html_col=html_col), payload=payload)
+        told = told.withColumn("page", F.expr(r"try_cast(regexp_extract(cast(http_head as string), 'X-Page: (-?\\d*)', 1) as bigint)")).withColumn("size", F.octet_length("payload") if payload else F.col("payload_bytes"))
         return told.withColumn("alike", F.when((F.col("size") >= REVISIT_BYTES) & F.col("page").isNotNull(), F.col("payload_digest")))
 
-    alike = entries(pages).where("alike is not null").groupBy("alike").agg(F.min(F.struct("page", "uri", "record_id")).alias("first"), F.count("*").alias("n"))
+    alike = entries(pages, payload=False).where("alike is not null").groupBy("alike").agg(F.min(F.struct("page", "uri", "record_id")).alias("first"), F.count("*").alias("n"))
     first = checkpointed(alike.where("n > 1").select(F.col("alike").alias("same"), "first"))
     size, least, of_class = F.coalesce(F.octet_length(F.col(html_col).cast("string")), F.lit(0)), -1, []
     for most, _ in SIZE_CLASSES:

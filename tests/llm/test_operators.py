@@ -857,3 +857,12 @@ def test_license_query_equals_its_sql_on_more_rows(spark):
     want = sorted(str(tuple(r[at.index(n)] for n in names)) for r in told.fetchall())
     got = sorted(str(tuple(r[n] for n in names)) for r in queries.op2_license_scan(spark, "/root/testdata/sf0.01").collect())
     assert got == want and sum("header" in x for x in want) > 20 and sum("inherited" in x for x in want) > 3
+
+
+def test_archive_entries_without_payloads(spark):
+    """The pass that looks for copies needs sizes and digests only, so no payload goes back to the JVM."""
+    files = spark.createDataFrame([(bytearray(warc.arc_file([("http://a/", "1.2.3.4", "20240101000000", "text/html", b"HTTP/1.1 200 OK\r\n\r\nabc"), ("dns:b", "-", "20240101000000", "text/plain", b"")])),)], "content binary")
+    whole, lean = warc.from_arc(files), warc.from_arc(files, payload=False)
+    assert "payload" not in lean.columns
+    assert lean.collect() == whole.selectExpr(*[c if c != "payload" else "octet_length(payload) AS payload_bytes" for c in whole.columns]).collect()
+    assert [x.payload_bytes for x in lean.collect()] == [3, 0]
