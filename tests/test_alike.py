@@ -6,13 +6,14 @@ import difflib
 import random
 import tracemalloc
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import indel_ratio, normalize_entity
-from lumenfold.operators import alike, entities, ingest, overlap
+from lumenfold.operators import alike, entities, ingest, matching, overlap
 from lumenfold.plans import more, queries
 
 SF = "/root/testdata/sf0.001"
@@ -112,8 +113,29 @@ def test_fuzzy_queries_are_brute_force(spark):
     assert {(x.conv_id, x.how): x.n for x in more.entity_hybrid(spark, SF).collect()} == kinds
 
 
+def brute_links(rows, similar):
+    """Per row: the first row of its name, and how many rows it is alike, the earlier one first."""
+    ratios, out = {}, {}
+    for block, k, x in rows:
+        if block is None or x is None:
+            out[k] = (None, 0)
+            continue
+        same = [(j, y) for b, j, y in rows if b == block and y is not None]
+        for j, y in same:
+            pair = (x, y) if k < j else (y, x)
+            if pair not in ratios:
+                ratios[pair] = difflib.SequenceMatcher(None, *pair).ratio() >= similar
+        out[k] = (min(j for j, y in same if y == x), sum(ratios[(x, y) if k < j else (y, x)] for j, y in same if j != k))
+    return out
+
+
+def page_names(spark):
+    host = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
+    return spark.read.parquet(f"{SF}/pages.parquet").select(host.alias("host"), "page_id", F.substring_index("url", "/", -1).alias("name"))
+
+
 def test_similar_names_are_brute_force(spark):
-    rows = spark.read.parquet(f"{SF}/pages.parquet").select(F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)).alias("host"), "page_id", F.substring_index("url", "/", -1).alias("name")).collect()
+    rows = page_names(spark).collect()
     want = set()
     for x in rows:
         for y in rows:
@@ -121,7 +143,63 @@ def test_similar_names_are_brute_force(spark):
                 r = difflib.SequenceMatcher(None, x.name, y.name).ratio()
                 if r >= 0.7:
                     want.add((x.host, x.page_id, y.page_id, int(r * 1e6 + 0.5)))
-    assert {tuple(x) for x in more.similar_questions(spark, SF).collect()} == want and want
+    pairs = entities.similar_names(page_names(spark), ["host"], "name", "page_id")
+    assert {tuple(x) for x in pairs.select("host", "i", "j", F.floor(F.col("ratio") * 1e6 + 0.5)).collect()} == want and want
+
+
+def test_similar_questions_count_all_pairs(spark):
+    want = brute_links([tuple(x) for x in page_names(spark).collect()], 0.7)
+    got = more.similar_questions(spark, SF).collect()
+    assert len(got) == len(want) and {x.page_id: (x.class_id, x.links) for x in got} == want and any(n for _, n in want.values())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.text("abc", min_size=1, max_size=40), st.text("abcd", min_size=1, max_size=40)), min_size=1, max_size=20), st.sampled_from([0.3, 0.5, 0.7, 0.9, 1.0]))
+def test_blocks_are_those_of_the_library(pairs, similar):
+    least = matching.least_common(80, similar)
+    names = matching._Names([x for p in pairs for x in p])
+    one, two = np.arange(0, 2 * len(pairs), 2), np.arange(1, 2 * len(pairs), 2)
+    got = names.alike(one, two, least[[len(a) + len(b) for a, b in pairs]], similar)
+    assert got.tolist() == [difflib.SequenceMatcher(None, a, b).ratio() >= similar for a, b in pairs]
+
+
+@pytest.mark.parametrize(("similar", "part", "at_once"), [(0.7, 4096, 1 << 20), (0.7, 40, 500), (0.5, 60, 90), (0.9, 25, 1 << 20), (1.0, 30, 40)])
+def test_links_are_those_of_all_pairs(spark, monkeypatch, similar, part, at_once):
+    """Names of every kind: endings longer than stems, one character short, copies on both sides of others, alike in one order only, long ones, none."""
+    monkeypatch.setattr(matching, "PART", part)
+    monkeypatch.setattr(matching, "AT_ONCE", at_once)
+    monkeypatch.setattr(matching, "BLOCKS_OF", 64)
+    rng = random.Random(5)
+    word = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    ends = ["?utm_source=feed", "?page=2&ref=x", "#top", ".html", "", "/ab/ab/ab", "é日本語の終わり"]
+    names = [word("0123456789", rng.choice([5, 6, 7])) + rng.choice(ends) for _ in range(110)]
+    names += [word("aab", rng.randrange(0, 12)) + rng.choice(["", "-ba-ba", "?aaab"]) for _ in range(50)] + [word("ab ", rng.choice([60, 64, 65, 70])) for _ in range(8)]
+    names += [x + word("abcé", 2) for x in [word("abcdefgh", 210)] * 2] + ["tide", "diet", "tide", "diet"] * 3 + ["", "", None] + rng.sample(names, 20)
+    rng.shuffle(names)
+    rows = [(rng.choice("iiik"), k, x) for k, x in enumerate(names)] + [(None, 10_000, "abc")]
+    table = spark.createDataFrame(rows, "item string, k long, name string").repartition(3)
+    got = matching.links(table, ["item"], "name", "k", similar)
+    want = brute_links(rows, similar)
+    assert {x.k: (x.class_id, x.links) for x in got.collect()} == want and got.count() == len(rows)
+    assert matching.links(table.limit(0), ["item"], "name", "k", similar).count() == 0
+
+
+def test_names_in_one_order_only(spark):
+    """``diet`` then ``tide`` have one matching block, ``tide`` then ``diet`` two."""
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    assert ratio("tide", "diet") != ratio("diet", "tide")
+    similar = max(ratio("tide", "diet"), ratio("diet", "tide"))
+    rows = [("i", k, x) for k, x in enumerate(["tide", "diet", "diet", "tide", "tide", "diet", "x", "tide"])]
+    got = matching.links(spark.createDataFrame(rows, "item string, k long, name string"), ["item"], "name", "k", similar).collect()
+    assert {x.k: (x.class_id, x.links) for x in got} == brute_links(rows, similar)
+
+
+def test_links_of_a_large_host(spark):
+    """Eight million links of one host, counted without a row for each."""
+    names = [f"{k * 7919 % 1_000_003:06d}?utm_source=feed" for k in range(4000)] + [f"{k * 7919 % 100_003:05d}" for k in range(500)]
+    rows = [("i", k, x) for k, x in enumerate(names)]
+    got = {x.k: x.links for x in matching.links(spark.createDataFrame(rows, "item string, k long, name string"), ["item"], "name", "k").collect()}
+    assert {got[k] for k in range(4000)} == {3999} and len(got) == 4500
 
 
 def test_near_questions_of_a_novel(spark):
